@@ -60,9 +60,11 @@ def lexicon_probs(text, negative: Sequence[str] = NEGATIVE_WORDS,
     """[g, 1, h] / (g + h + 1) with g negative and h positive hits.
 
     Rational shares, so any engine computes the same doubles."""
-    tok = tokens(text)
-    g = hits(tok, negative).cast("double")
-    h = hits(tok, positive).cast("double")
+    # One pass over all tokens keeps only lexicon words; the two counts then
+    # run over that (short) array.
+    found = F.filter(tokens(text), lambda t: t.isin(list(negative) + list(positive)))
+    g = hits(found, negative).cast("double")
+    h = hits(found, positive).cast("double")
     z = g + h + F.lit(1.0)
     return F.array(g / z, F.lit(1.0) / z, h / z)
 

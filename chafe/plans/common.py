@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.lexicon import assign_category, keyword_category, score_columns
 from ..functions.text import clean_text, long_enough
 from ..operators.prep import build_review_items
+from ..session import spread
 from ..sources.adapters import domain_tables
 from ..sources.tables import load_table
 
@@ -27,7 +28,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = load_table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(load_table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
     return docs.withColumn("clean_body", clean_text("text")).where(long_enough("clean_body")) \
         .drop("text")
 

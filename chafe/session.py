@@ -17,6 +17,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -69,3 +70,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Round-robin a DataFrame over the cluster before CPU-heavy row work
+    when its scan yields fewer partitions than there are cores (a single
+    large row group, say).  On big inputs the scan already has thousands
+    of partitions and this is a no-op."""
+    target = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .tables import load_table
 
 # ---- fixed values of the stand-in mapping -------------------------------------
@@ -64,7 +65,7 @@ def task_types(spark: SparkSession, base: str) -> DataFrame:
 def review_comments(spark: SparkSession, base: str) -> DataFrame:
     lines = load_table(spark, base, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    docs = load_table(spark, base, "documents").select("doc_id", "text")
+    docs = spread(load_table(spark, base, "documents").select("doc_id", "text"))
     user = F.when(F.pmod(F.col("l_suppkey"), F.lit(10)) == 0,
                   F.concat(F.lit("ci-runner-"), F.col("l_suppkey").cast("string"), F.lit("[bot]"))) \
         .otherwise(F.concat(F.lit("dev"), F.col("l_suppkey").cast("string")))
@@ -78,7 +79,7 @@ def review_comments(spark: SparkSession, base: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, base: str) -> DataFrame:
-    conv = load_table(spark, base, "conversations")
+    conv = spread(load_table(spark, base, "conversations"))
     user = F.when(F.col("role") == "assistant", F.lit("copilot")) \
         .when(F.col("role") == "system", F.lit("system")) \
         .otherwise(F.concat(F.lit("reviewer"), F.col("conv_id").cast("string")))
