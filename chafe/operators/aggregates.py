@@ -73,9 +73,10 @@ def value_counts(df: DataFrame, c: str, top: int | None = None) -> DataFrame:
 
 def shares(df: DataFrame, c: str) -> DataFrame:
     """A3: count and percentage of all rows per value."""
-    total = total_of(df)
-    return (df.groupBy(c).agg(F.count(F.lit(1)).alias("count"))
-              .withColumn("pct", F.lit(100.0) * F.col("count") / total))
+    # the total is summed over the (small) count table, not a second scan
+    counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("count"))
+    return counts.withColumn("pct", F.lit(100.0) * F.col("count")
+                             / F.sum("count").over(Window.partitionBy()))
 
 
 def category_counts(df: DataFrame, category: str = "friction_category") -> DataFrame:
@@ -192,10 +193,11 @@ def label_counts(df: DataFrame, by: str, label: str = "sentiment_label") -> Data
 # ---- A20 / A21 ----------------------------------------------------------------
 def negative_rate(df: DataFrame, by: str = "pr_type", negative: str = "is_negative") -> DataFrame:
     """Negative rate per group next to the overall rate."""
-    rate = F.avg(F.col(negative).cast("double"))
-    overall = total_of(df, rate)
-    return (df.groupBy(by).agg(rate.alias("negative_rate"))
-              .withColumn("overall_rate", overall))
+    neg = F.col(negative).cast("int")
+    g = df.groupBy(by).agg(F.sum(neg).alias("_k"), F.count(neg).alias("_n"))
+    whole = Window.partitionBy()
+    return g.select(by, (F.col("_k") / F.col("_n")).alias("negative_rate"),
+                    (F.sum("_k").over(whole) / F.sum("_n").over(whole)).alias("overall_rate"))
 
 
 def pr_type_stats(df: DataFrame, by: str = "pr_type", value: str = "friction_score",
@@ -223,28 +225,34 @@ def top_k(counts: DataFrame, by: str, item: str, n: str = "n", k: int = 3) -> Da
 def band_outcomes(pr: DataFrame, score: str = "friction_score", hours: str = "time_to_merge_hours",
                   items: str = "comment_count", merged: str = "is_merged",
                   cuts=OUTCOME_BANDS) -> DataFrame:
-    """Per friction band: median hours, median items, merge rate, n."""
-    return (pr.withColumn("band", friction_band(score, cuts))
-              .groupBy("band")
-              .agg(F.percentile(hours, 0.5).alias("median_hours"),
-                   F.percentile(items, 0.5).alias("median_items"),
-                   F.avg(F.col(merged).cast("double")).alias("merge_rate"),
-                   F.count(F.lit(1)).alias("n")))
+    """Per friction band: median hours, median items, merge rate, n.
+    Medians are exact and distributed (no band is gathered in one task)."""
+    from .ranks import exact_quantiles
+    from ..session import cut_lineage
+    b = cut_lineage(pr.withColumn("band", friction_band(score, cuts)).where(F.col("band").isNotNull()))
+    base = b.groupBy("band").agg(F.avg(F.col(merged).cast("double")).alias("merge_rate"),
+                                 F.count(F.lit(1)).alias("n"))
+    mh = exact_quantiles(b, hours, [0.5], by=["band"], names=["median_hours"]).drop("n")
+    mi = exact_quantiles(b, items, [0.5], by=["band"], names=["median_items"]).drop("n")
+    return base.join(mh, "band", "left").join(mi, "band", "left")
 
 
 def quartile_contrast(pr: DataFrame, score: str = "friction_score",
                       items: str = "comment_count") -> DataFrame:
-    """Top vs bottom friction quartile: median/mean items, ratio."""
-    q = pr.select(F.percentile_approx(score, [0.25, 0.75], 100000).alias("q"))
-    cuts = q.scalar()
+    """Top vs bottom friction quartile: median/mean items and counts.
+    Cut points are exact quantiles of the score (scalar subqueries)."""
+    from ..session import cut_lineage
+    from .ranks import exact_quantiles
+    pr = cut_lineage(pr)
+    q = exact_quantiles(pr, score, [0.25, 0.75], names=["lo", "hi"])
+    lo, hi = q.select("lo").scalar(), q.select("hi").scalar()
     tagged = pr.withColumn("quartile",
-                           F.when(F.col(score) <= F.element_at(cuts, 1), F.lit("bottom"))
-                            .when(F.col(score) >= F.element_at(cuts, 2), F.lit("top")))
-    return (tagged.where(F.col("quartile").isNotNull())
-                  .groupBy("quartile")
-                  .agg(F.percentile(items, 0.5).alias("median_items"),
-                       F.avg(items).alias("mean_items"),
-                       F.count(F.lit(1)).alias("n")))
+                           F.when(F.col(score) <= lo, F.lit("bottom"))
+                            .when(F.col(score) >= hi, F.lit("top"))).where(F.col("quartile").isNotNull())
+    base = tagged.groupBy("quartile").agg(F.avg(items).alias("mean_items"),
+                                          F.count(F.lit(1)).alias("n"))
+    med = exact_quantiles(tagged, items, [0.5], by=["quartile"], names=["median_items"]).drop("n")
+    return base.join(med, "quartile", "left")
 
 
 def band_counts(df: DataFrame, by: str = "agent", score: str = "friction_score") -> DataFrame:

@@ -91,14 +91,18 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "r
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float],
                     by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy 'linear' / SQL
-    ``percentile``) per ``by`` key, without gathering a group in one task.
+    ``percentile``) per ``by`` key, without gathering a group in one task."""
+    return quantiles_from_ranks(rank_table(df, value, by=by), value, qs, by, names)
 
-    Position ``h = q (N - 1)``; the distinct value covering sorted positions
-    ``[below_t, below_t + t)`` that contains floor(h) and ceil(h) is found by
-    a filter on the rank table, then interpolated."""
+
+def quantiles_from_ranks(rt: DataFrame, value: str, qs: Sequence[float],
+                         by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """Position ``h = q (N - 1)``; the distinct value covering sorted
+    positions ``[below_t, below_t + t)`` that contains floor(h) (and the one
+    containing ceil(h)) is found by a filter on the rank table, then the two
+    are interpolated."""
     by = list(by)
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
-    rt = rank_table(df, value, by=by)
     n = rt.groupBy(*by).agg(F.sum("t").alias("_n"))
     rt = rt.join(n, on=by, how="inner") if by else rt.withColumn("_n", n.scalar())
     lo_hi = []

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf_udf, corr_p_udf, norm_two_sided_udf
 from .aggregates import distinct_values
+from ..session import cut_lineage
 from .ranks import rank_table
 
 ALPHA = 0.05
@@ -129,47 +130,38 @@ def point_biserial(df: DataFrame, x: str, flag: str, test: str = "pointbiserial"
 # ---- X5: chi-square independence ----------------------------------------------------
 def chi2_independence(df: DataFrame, a: str, b: str, test: str | None = None) -> DataFrame:
     """chi2 = N (sum O^2 / (R C) - 1) over observed cells only (zero cells add
-    nothing), dof = (rows - 1)(cols - 1) over non-empty rows/columns; Yates
-    correction when dof == 1 (every cell of a 2x2 table has the same |O-E|)."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()) \
-        .groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
+    nothing), dof = (rows - 1)(cols - 1) over non-empty rows/columns.
+
+    One aggregate over the cell table joined to its two marginals (the cell
+    aggregation is computed once; Spark reuses its exchange).  Yates'
+    correction applies when dof == 1: in a 2x2 table every cell has the same
+    |O - E| = d, so any observed cell gives d, and sum 1/E over the four cells
+    is N^3 / (r (N - r) c (N - c))."""
+    # the cell table (rows x columns, small) is written once and read three times
+    cells = cut_lineage(df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+                        .groupBy(a, b).agg(F.count(F.lit(1)).alias("o")))
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
-    # Marginal tables are as large as the number of distinct keys; AQE
-    # broadcasts them at run time when they are small.
     full = cells.join(rows, a).join(cols, b)
-    n_tot = cells.agg(F.sum("o")).scalar()
-    e = _d("r") * _d("c") / n_tot.cast("double")
-    agg = full.agg(F.sum(_d("o") * _d("o") / (_d("r") * _d("c"))).alias("_s"),
+    agg = full.agg(F.sum("o").alias("N"),
+                   F.sum(_d("o") * _d("o") / (_d("r") * _d("c"))).alias("_s"),
                    F.countDistinct(a).alias("_nr"), F.countDistinct(b).alias("_nc"),
-                   F.max(F.abs(_d("o") - e)).alias("_d"),
-                   F.sum(F.lit(1.0) / e).alias("_inv_obs"),
-                   F.max(_d("r")).alias("_rmax"))
-    N = n_tot.cast("double")
+                   F.min(F.struct(_d("o").alias("o"), _d("r").alias("r"), _d("c").alias("c"))).alias("_cell"))
+    N = _d("N")
+    o, r, c = F.col("_cell.o"), F.col("_cell.r"), F.col("_cell.c")
     dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("long")
     plain = N * (F.col("_s") - 1.0)
-    # 2x2: sum over all four cells of 1/E = N^3 / (R1 R2 C1 C2); with |O-E| = d
-    # for every cell, Yates gives max(d - 0.5, 0)^2 * sum 1/E.
-    sum_inv_e = _yates_inv_e(df, a, b, cells)
-    yates = F.pow(F.greatest(F.col("_d") - 0.5, F.lit(0.0)), 2) * sum_inv_e
+    d = F.abs(o - r * c / N)
+    yates = F.pow(F.greatest(d - 0.5, F.lit(0.0)), 2) * N * N * N / (r * (N - r) * c * (N - c))
     stat = F.when(dof == 1, yates).otherwise(plain)
     ok = (F.col("_nr") >= 2) & (F.col("_nc") >= 2)
     out = agg.select(F.lit(test or f"chi2_{a}_{b}").alias("test"),
-                     n_tot.cast("long").alias("n"), dof.alias("dof"),
+                     F.col("N").cast("long").alias("n"), dof.alias("dof"),
                      F.when(ok, stat).alias("statistic"))
     out = out.withColumn("p_value", chi2_sf_udf("statistic", "dof"))
     return out.withColumn("significant", _sig(F.col("p_value")))
 
 
-def _yates_inv_e(df, a, b, cells) -> Column:
-    rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
-    cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
-    rp = rows.agg(F.exp(F.sum(F.log(_d("r")))).alias("x")).scalar()
-    cp = cols.agg(F.exp(F.sum(F.log(_d("c")))).alias("x")).scalar()
-    n = cells.agg(F.sum("o").cast("double")).scalar()
-    return n * n * n / (rp * cp)
-
-
 # ---- X6-X8: Spearman ------------------------------------------------------------------
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), test: str | None = None,
              min_n: int = 10) -> DataFrame:
@@ -181,7 +173,8 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), test: str |
     not cancel catastrophically at large N."""
     by = list(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    pairs = d.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
+    # the pair table feeds two rank tables and the join: written once
+    pairs = cut_lineage(d.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w")))
     rx = rank_table(pairs, x, by=by, weight="w").select(*by, x, F.col("avg_rank").alias("rx"))
     ry = rank_table(pairs, y, by=by, weight="w").select(*by, y, F.col("avg_rank").alias("ry"))
     j = pairs.join(rx, [*by, x]).join(ry, [*by, y])

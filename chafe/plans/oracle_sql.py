@@ -162,3 +162,237 @@ conv AS (SELECT conv_id * 1000 + turn AS doc_id, role AS source, {clean('text')}
 SELECT doc_id, source, length(clean_body) AS clean_len, md5(clean_body) AS clean_md5
 FROM (SELECT doc_id, source, clean_body FROM clean_docs
       UNION ALL SELECT * FROM conv WHERE length(clean_body) > 10)"""
+
+
+def _avg_rank(v: str, part: str = "") -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    pv = f"PARTITION BY {part + ', ' if part else ''}{v}"
+    return f"(rank() OVER ({p}ORDER BY {v}) + (count(*) OVER ({pv}) - 1) / 2.0)"
+
+
+def kruskal_sql(src: str, g: str, v: str, name: str) -> str:
+    return f"""r AS (SELECT {g} AS g, {v} AS v, {_avg_rank(v)} AS rk FROM {src}
+           WHERE {v} IS NOT NULL AND {g} IS NOT NULL),
+grp AS (SELECT g, count(*)::DOUBLE AS n, sum(rk) AS R FROM r GROUP BY g),
+ties AS (SELECT sum(c * c * c - c) AS T FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v)),
+tot AS (SELECT sum(n) AS N, count(*) AS k, min(n) AS mn, sum(R * R / n) AS s FROM grp)
+SELECT '{name}' AS test, CAST(N AS BIGINT) AS n, CAST(k - 1 AS BIGINT) AS dof,
+       round(CASE WHEN k >= 2 AND mn >= 2 THEN
+         (12.0 / (N * (N + 1)) * s - 3 * (N + 1)) / (1 - T / (N * N * N - N)) END, {D}) AS statistic
+FROM tot, ties"""
+
+
+def chi2_sql(src: str, a: str, b: str, name: str) -> str:
+    return f"""cells AS (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS o FROM {src}
+               WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
+ra AS (SELECT a, sum(o) AS r FROM cells GROUP BY a),
+cb AS (SELECT b, sum(o) AS c FROM cells GROUP BY b),
+tot AS (SELECT sum(o) AS N FROM cells)
+SELECT '{name}' AS test, CAST(N AS BIGINT) AS n,
+       CAST(((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1) AS BIGINT) AS dof,
+       round(N * (sum(o * o / (r * c)) - 1), {D}) AS statistic
+FROM cells JOIN ra USING (a) JOIN cb USING (b), tot GROUP BY N"""
+
+
+def spearman_sql(src: str, x: str, y: str, name: str, by: str = "") -> str:
+    sel_by = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""sr AS (SELECT {sel_by}{_avg_rank(x, by)} AS rx, {_avg_rank(y, by)} AS ry FROM {src}
+              WHERE {x} IS NOT NULL AND {y} IS NOT NULL)
+SELECT {sel_by}{"" if by else f"'{name}' AS test, "}count(*) AS n, round(corr(rx, ry), {D}) AS statistic
+FROM sr {grp}"""
+
+
+SI = f"WITH {SCORED_ITEMS}"
+NEG_ITEMS = "(SELECT * FROM scored_items WHERE friction_category <> 'N/A')"
+AGENT_VALUES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+HUMAN = """(SELECT * REPLACE (CASE WHEN agent = '5-LOW' THEN 'Human' ELSE agent END AS agent)
+           FROM scored_items)"""
+HOURS = """(SELECT *, (epoch_us(merged_at) - epoch_us(created_at)) / 3600000000.0 AS time_to_merge_hours
+           FROM scored_items)"""
+PR_TIME = f"""(SELECT id_pr, avg(friction_score) AS friction_score,
+                  any_value(time_to_merge_hours) AS time_to_merge_hours, any_value(agent) AS agent
+           FROM {HOURS} WHERE time_to_merge_hours > 0 AND time_to_merge_hours < 8760 GROUP BY id_pr)"""
+PR_ITER = """(SELECT id_pr, avg(friction_score) AS friction_score, count(clean_body) AS comment_count,
+                  any_value(agent) AS agent FROM scored_items GROUP BY id_pr)"""
+PR_OUT = """(SELECT id_pr, avg(friction_score) AS friction_score, count(clean_body) AS comment_count,
+                  any_value((epoch_us(closed_at) - epoch_us(created_at)) / 3600000000.0) AS time_to_merge_hours,
+                  max(CAST(contains(lower(state), 'merge') AS INTEGER)) AS is_merged
+           FROM scored_items GROUP BY id_pr)"""
+
+
+def _band(score: str, cuts=(0.2, 0.4)) -> str:
+    return f"CASE WHEN {score} < {cuts[0]} THEN 'low' WHEN {score} < {cuts[1]} THEN 'medium' ELSE 'high' END"
+
+
+ORACLE.update({
+    "url_keys": f"""WITH {ITEMS}
+SELECT item_id AS id, {url_repo('pull_request_url')} AS repo_path, {url_number('pull_request_url')} AS pr_number
+FROM comments
+UNION ALL
+SELECT -page_id - 1 AS id, {url_repo('url')} AS repo_path, {url_number('url')} AS pr_number FROM pages""",
+    "repo_keys": f"WITH {ITEMS} SELECT id, {repo_path('repo_url')} AS repo_path FROM prs0",
+    "quick_close_filter": f"""WITH {ITEMS}
+SELECT id, round(pr_duration_seconds, {D}) AS pr_duration_seconds FROM prs1
+WHERE pr_duration_seconds IS NULL OR pr_duration_seconds >= 60""",
+    "task_type_join": f"""WITH {ITEMS} SELECT pr_type, count(*) AS "count" FROM prs GROUP BY pr_type""",
+    "items_union": f"""WITH {ITEMS}
+SELECT item_id, source, id_pr, agent, pr_type, state, length(clean_body) AS clean_len,
+       md5(clean_body) AS clean_md5 FROM items""",
+    "baseline_union": f"""{SI}
+SELECT agent, round(avg(friction_score), {D}) AS mean, count(friction_score) AS "count",
+       round(stddev_samp(friction_score), {D}) AS std FROM {HUMAN} GROUP BY agent""",
+    "bot_filter": f"""WITH {ITEMS},
+u AS (SELECT 'comment' AS source, "user", user_type FROM comments
+      UNION ALL SELECT 'review', "user", user_type FROM reviews)
+SELECT source, (coalesce(regexp_matches(lower("user"), {_q(BOT_RE)}), false)
+                OR coalesce(user_type = 'Bot', false)) AS is_bot, count(*) AS n
+FROM u GROUP BY ALL""",
+    "quality_funnel": f"""WITH d AS (SELECT text, {clean('text')} AS clean_body FROM documents),
+s AS (SELECT * FROM {scored('d')}),
+c AS (SELECT count(*) AS s0, count(*) FILTER (WHERE text IS NOT NULL) AS s1,
+             count(*) FILTER (WHERE text IS NOT NULL AND length(clean_body) > 10) AS s2,
+             count(*) FILTER (WHERE text IS NOT NULL AND length(clean_body) > 10 AND is_negative) AS s3
+      FROM s)
+SELECT step_no, step, CASE step_no WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS n_rows
+FROM (VALUES (0, 'input'), (1, 'has_text'), (2, 'long_enough'), (3, 'negative')) v(step_no, step), c""",
+    "value_counts": """SELECT event_type, count(*) AS "count" FROM events GROUP BY 1""",
+    "shares": f"""SELECT event_type, count(*) AS "count",
+       round(100.0 * count(*) / (SELECT count(*) FROM events), {D}) AS pct FROM events GROUP BY 1""",
+    "sentiment_summary": f"""{SI}
+SELECT source, count(*) AS n, CAST(sum(CAST(is_negative AS INTEGER)) AS BIGINT) AS n_negative,
+       round(avg(CAST(is_negative AS INTEGER)), {D}) AS negative_rate,
+       round(avg(friction_score), {D}) AS mean_friction FROM scored_items GROUP BY source""",
+    "sentiment_by_source": f"""{SI}
+SELECT coalesce(source, 'all') AS source, count(*) AS n,
+       CAST(sum(CAST(is_negative AS INTEGER)) AS BIGINT) AS n_negative,
+       round(avg(CAST(is_negative AS INTEGER)), {D}) AS negative_rate,
+       round(avg(friction_score), {D}) AS mean_friction,
+       round(avg(CAST(sentiment_label = 'neutral' AS INTEGER)), {D}) AS neutral_rate,
+       round(avg(CAST(sentiment_label = 'positive' AS INTEGER)), {D}) AS positive_rate
+FROM scored_items GROUP BY ROLLUP (source)""",
+    "merge_rates": f"""{SI}
+SELECT agent, round(avg(CAST(coalesce(contains(lower(state), 'merge'), false) AS INTEGER)), {D}) AS merge_rate,
+       count(state IS NOT NULL OR true) AS "count" FROM scored_items GROUP BY agent""",
+    "category_counts": f"""{SI}
+SELECT friction_category, count(*) AS "count",
+       round(100.0 * count(*) / (SELECT count(*) FROM {NEG_ITEMS}), {D}) AS pct
+FROM {NEG_ITEMS} GROUP BY 1""",
+    "category_stats": f"""{SI}
+SELECT friction_category, round(round(avg(friction_score), 4), {D}) AS mean_friction,
+       round(round(stddev_samp(friction_score), 4), {D}) AS std_friction, count(*) AS "count"
+FROM {NEG_ITEMS} GROUP BY 1""",
+    "category_matrix": f"""{SI}
+SELECT friction_category, {", ".join(f"count(*) FILTER (WHERE agent = {_q(a)}) AS {chr(34)}{a}{chr(34)}" for a in AGENT_VALUES)}
+FROM {NEG_ITEMS} GROUP BY 1""",
+    "category_share": f"""{SI}
+SELECT friction_category, agent, count(*) AS n,
+       round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY agent), {D}) AS pct
+FROM {NEG_ITEMS} GROUP BY 1, 2""",
+    "monthly_trend": f"""{SI}
+SELECT strftime(created_at, '%Y-%m') AS year_month, agent, round(avg(friction_score), {D}) AS mean,
+       count(*) AS "count" FROM scored_items WHERE created_at IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5""",
+    "per_pr_time": f"""{SI} SELECT id_pr, round(friction_score, {D}) AS friction_score,
+       round(time_to_merge_hours, {D}) AS time_to_merge_hours, agent FROM {PR_TIME}""",
+    "per_pr_iterations": f"""{SI} SELECT id_pr, round(friction_score, {D}) AS friction_score,
+       comment_count, agent FROM {PR_ITER}""",
+    "label_counts": f"""{SI} SELECT sentiment_label, source, count(*) AS "count" FROM scored_items GROUP BY 1, 2""",
+    "mean_matrix_source": f"""{SI}
+SELECT agent, round(avg(friction_score) FILTER (WHERE source = 'comment'), {D}) AS comment,
+       round(avg(friction_score) FILTER (WHERE source = 'review'), {D}) AS review,
+       round(avg(friction_score) FILTER (WHERE source = 'comment')
+             - avg(friction_score) FILTER (WHERE source = 'review'), {D}) AS comment_minus_review
+FROM scored_items GROUP BY agent""",
+    "mean_matrix_type": f"""{SI}
+SELECT pr_type, {", ".join(f"round(avg(friction_score) FILTER (WHERE agent = {_q(a)}), {D}) AS {chr(34)}{a}{chr(34)}" for a in AGENT_VALUES)}
+FROM scored_items GROUP BY 1""",
+    "negative_rate": f"""{SI}
+SELECT pr_type, round(avg(CAST(is_negative AS INTEGER)), {D}) AS negative_rate,
+       round((SELECT avg(CAST(is_negative AS INTEGER)) FROM scored_items), {D}) AS overall_rate
+FROM scored_items GROUP BY 1""",
+    "type_stats": f"""{SI}
+SELECT pr_type, round(round(avg(friction_score), 4), {D}) AS mean_friction,
+       round(round(stddev_samp(friction_score), 4), {D}) AS std_friction, count(*) AS "count",
+       round(round(avg(CAST(is_negative AS INTEGER)), 4), {D}) AS negative_rate
+FROM scored_items GROUP BY 1""",
+    "top_topics": f"""WITH {SCORED_DOCS},
+c AS (SELECT lang, source, count(*) AS n FROM scored_docs GROUP BY 1, 2)
+SELECT * FROM (SELECT lang, source, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS rank
+               FROM c WHERE n > 0) WHERE rank <= 3""",
+    "band_outcomes": f"""{SI}
+SELECT {_band('friction_score')} AS band, round(avg(is_merged), {D}) AS merge_rate, count(*) AS n,
+       round(quantile_cont(time_to_merge_hours, 0.5), {D}) AS median_hours,
+       round(quantile_cont(comment_count, 0.5), {D}) AS median_items
+FROM {PR_OUT} GROUP BY 1""",
+    "quartile_contrast": f"""{SI}, pr AS (SELECT * FROM {PR_OUT}),
+q AS (SELECT quantile_cont(friction_score, 0.25) AS lo, quantile_cont(friction_score, 0.75) AS hi FROM pr)
+SELECT quartile, round(avg(comment_count), {D}) AS mean_items, count(*) AS n,
+       round(quantile_cont(comment_count, 0.5), {D}) AS median_items
+FROM (SELECT pr.*, CASE WHEN friction_score <= q.lo THEN 'bottom' WHEN friction_score >= q.hi THEN 'top' END AS quartile
+      FROM pr, q) WHERE quartile IS NOT NULL GROUP BY 1""",
+    "band_counts": f"""{SI}
+SELECT agent, count(*) FILTER (WHERE {_band('friction_score', (0.2, 0.5))} = 'low') AS low,
+       count(*) FILTER (WHERE {_band('friction_score', (0.2, 0.5))} = 'medium') AS medium,
+       count(*) FILTER (WHERE {_band('friction_score', (0.2, 0.5))} = 'high') AS high
+FROM scored_items GROUP BY agent""",
+    "triage": f"""{SI} SELECT agent, count(*) AS n_triage FROM scored_items WHERE friction_score > 0.4 GROUP BY agent""",
+    "kruskal_events": f"WITH {kruskal_sql('events', 'event_type', 'value', 'kruskal_events')}",
+    "kruskal_agents": f"{SI}, {kruskal_sql('scored_items', 'agent', 'friction_score', 'kruskal_agents')}",
+    "kruskal_categories": f"{SI}, {kruskal_sql(NEG_ITEMS, 'friction_category', 'friction_score', 'kruskal_categories')}",
+    "mann_whitney_pairs": f"""WITH g AS (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL),
+pairs AS (SELECT a.event_type AS ga, b.event_type AS gb FROM g a JOIN g b ON a.event_type < b.event_type),
+x AS (SELECT p.ga, p.gb, e.event_type, e.value FROM pairs p JOIN events e
+      ON e.event_type = p.ga OR e.event_type = p.gb WHERE e.value IS NOT NULL),
+r AS (SELECT *, {_avg_rank('value', 'ga, gb')} AS rk FROM x),
+s AS (SELECT ga, gb, count(*) FILTER (WHERE event_type = ga) AS n_a, count(*) FILTER (WHERE event_type = gb) AS n_b,
+             sum(rk) FILTER (WHERE event_type = ga) AS ra FROM r GROUP BY ga, gb)
+SELECT ga || ' vs ' || gb AS pair, ga AS group_a, gb AS group_b, n_a, n_b,
+       round(ra - n_a * (n_a + 1) / 2.0, {D}) AS statistic FROM s""",
+    "mann_whitney_two": f"""{SI},
+x AS (SELECT CASE WHEN agent = '5-LOW' THEN 'Human' ELSE 'AI' END AS g, friction_score AS v FROM scored_items),
+r AS (SELECT *, {_avg_rank('v')} AS rk FROM x)
+SELECT 'Human vs AI' AS pair, count(*) FILTER (WHERE g = 'Human') AS n_a, count(*) FILTER (WHERE g = 'AI') AS n_b,
+       round(sum(rk) FILTER (WHERE g = 'Human') - count(*) FILTER (WHERE g = 'Human') * (count(*) FILTER (WHERE g = 'Human') + 1) / 2.0, {D}) AS statistic
+FROM r""",
+    "point_biserial": f"""WITH {SCORED_DOCS}
+SELECT 'pointbiserial' AS test, count(*) AS n, round(corr(friction_score, toxic), {D}) AS statistic
+FROM scored_docs JOIN labels USING (doc_id) WHERE toxic IS NOT NULL""",
+    "chi2_category_agent": f"{SI}, {chi2_sql(NEG_ITEMS, 'friction_category', 'agent', 'chi2_category_agent')}",
+    "chi2_lang_source": f"WITH {chi2_sql('documents', 'lang', 'source', 'chi2_lang_source')}",
+    "spearman_time": f"{SI}, {spearman_sql(PR_TIME, 'friction_score', 'time_to_merge_hours', 'spearman_time')}",
+    "spearman_iterations": f"{SI}, {spearman_sql(PR_ITER, 'friction_score', 'comment_count', 'spearman_iterations')}",
+    "spearman_by_group": f"""WITH ev AS (SELECT event_type, value,
+       floor((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_type)) / 86400000000) AS time_numeric
+       FROM events),
+{spearman_sql('ev', 'time_numeric', 'value', 'spearman_by_group', by='event_type')} HAVING count(*) >= 10""",
+    "box_stats": f"""WITH q AS (SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS q1,
+       quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events
+       WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY 1)
+SELECT event_type, n, round(q1, {D}) AS q1, round(median, {D}) AS median, round(q3, {D}) AS q3,
+       round(min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)), {D}) AS whisker_low,
+       round(max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)), {D}) AS whisker_high,
+       count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM events JOIN q USING (event_type) WHERE value IS NOT NULL GROUP BY event_type, n, q1, median, q3""",
+    "box_stats_agents": f"""{SI}, q AS (SELECT agent, count(friction_score) AS n, quantile_cont(friction_score, 0.25) AS q1,
+       quantile_cont(friction_score, 0.5) AS median, quantile_cont(friction_score, 0.75) AS q3 FROM scored_items
+       GROUP BY 1)
+SELECT agent, n, round(q1, {D}) AS q1, round(median, {D}) AS median, round(q3, {D}) AS q3,
+       round(min(friction_score) FILTER (WHERE friction_score >= q1 - 1.5 * (q3 - q1)), {D}) AS whisker_low,
+       round(max(friction_score) FILTER (WHERE friction_score <= q3 + 1.5 * (q3 - q1)), {D}) AS whisker_high,
+       count(*) FILTER (WHERE friction_score < q1 - 1.5 * (q3 - q1) OR friction_score > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM scored_items JOIN q USING (agent) GROUP BY agent, n, q1, median, q3""",
+    "histogram": f"""WITH r AS (SELECT event_type, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
+       CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
+       FROM events WHERE value IS NOT NULL GROUP BY 1),
+b AS (SELECT event_type, lo, hi, CAST(least(floor((value - lo) / ((hi - lo) / 30.0)), 29) AS INTEGER) AS bin
+      FROM events JOIN r USING (event_type) WHERE value IS NOT NULL)
+SELECT event_type, bin, count(*) AS n, round(lo + bin * (hi - lo) / 30.0, {D}) AS bin_lo,
+       round(lo + (bin + 1) * (hi - lo) / 30.0, {D}) AS bin_hi FROM b GROUP BY event_type, bin, lo, hi""",
+    "density": f"""WITH st AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h,
+       min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL GROUP BY 1),
+v AS (SELECT event_type, value, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT st.*, p.point, st.lo + p.point * (st.hi - st.lo) / 99.0 AS x FROM st, range(100) p(point) WHERE st.h > 0)
+SELECT g.event_type, CAST(g.point AS INTEGER) AS point, round(max(g.x), {D}) AS x,
+       round(sum(v.c * exp(-0.5 * ((g.x - v.value) / g.h) ^ 2) / (g.n * g.h * sqrt(2 * pi()))), {D}) AS density
+FROM g JOIN v USING (event_type) GROUP BY g.event_type, g.point""",
+})

@@ -49,3 +49,327 @@ def clean_text_len(spark, d):
     both = docs.select("doc_id", "source", "clean_body").unionByName(c)
     return both.select("doc_id", "source", F.length("clean_body").alias("clean_len"),
                        F.md5("clean_body").alias("clean_md5"))
+
+
+# ---- prep: keys, filters, joins, union -----------------------------------------
+from ..operators import prep as P  # noqa: E402
+from ..operators import stats as X  # noqa: E402
+from ..operators import distributions as Dn  # noqa: E402
+from ..sources import adapters as AD  # noqa: E402
+
+
+@register("url_keys")
+def url_keys(spark, d):
+    c = AD.review_comments(spark, d).select(F.col("id"), F.col("pull_request_url").alias("url"))
+    pages = load_table(spark, d, "pages").select((-F.col("page_id") - 1).alias("id"), "url")
+    u = c.unionByName(pages)
+    repo, num = tx.pr_key_from_url("url")
+    return u.select("id", repo.alias("repo_path"), num.alias("pr_number"))
+
+
+@register("repo_keys")
+def repo_keys(spark, d):
+    return AD.pull_requests(spark, d).select("id", tx.repo_from_url("repo_url").alias("repo_path"))
+
+
+@register("quick_close_filter")
+def quick_close_filter(spark, d):
+    kept = P.drop_quick_close(AD.pull_requests(spark, d))
+    return rounded(kept.select("id", "pr_duration_seconds"))
+
+
+@register("task_type_join")
+def task_type_join(spark, d):
+    prs = P.with_task_type(P.drop_quick_close(AD.pull_requests(spark, d)), AD.task_types(spark, d))
+    return A.value_counts(prs, "pr_type")
+
+
+@register("items_union")
+def items_union(spark, d):
+    it = review_items(spark, d)
+    return it.select("item_id", "source", "id_pr", "agent", "pr_type", "state",
+                     F.length("clean_body").alias("clean_len"), F.md5("clean_body").alias("clean_md5"))
+
+
+def _human_split(items):
+    human = items.where(F.col("agent") == "5-LOW")
+    ai = items.where(F.col("agent") != "5-LOW")
+    return P.with_baseline(ai, human)
+
+
+@register("baseline_union")
+def baseline_union(spark, d):
+    return rounded(A.group_summary(_human_split(scored_items(spark, d)), "agent"))
+
+
+@register("bot_filter")
+def bot_filter(spark, d):
+    c = AD.review_comments(spark, d).select(F.lit("comment").alias("source"), "user", "user_type")
+    r = AD.reviews(spark, d).select(F.lit("review").alias("source"), "user", "user_type")
+    u = c.unionByName(r).withColumn("is_bot", tx.is_bot("user", "user_type"))
+    return u.groupBy("source", "is_bot").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("quality_funnel")
+def quality_funnel_q(spark, d):
+    docs = load_table(spark, d, "documents")
+    scored = docs.withColumn("clean_body", tx.clean_text("text"))
+    from ..functions.lexicon import argmax_label, lexicon_probs
+    steps = [("has_text", F.col("text").isNotNull()),
+             ("long_enough", tx.long_enough("clean_body")),
+             ("negative", argmax_label(lexicon_probs("clean_body")) == "negative")]
+    return quality_funnel(scored, steps)
+
+
+# ---- aggregates ---------------------------------------------------------------
+@register("value_counts")
+def value_counts_q(spark, d):
+    return A.value_counts(load_table(spark, d, "events"), "event_type")
+
+
+@register("shares")
+def shares_q(spark, d):
+    return rounded(A.shares(load_table(spark, d, "events"), "event_type"))
+
+
+@register("sentiment_summary")
+def sentiment_summary_q(spark, d):
+    return rounded(A.sentiment_summary(scored_items(spark, d), "source"))
+
+
+@register("sentiment_by_source")
+def sentiment_by_source_q(spark, d):
+    return rounded(A.sentiment_by_source(scored_items(spark, d)))
+
+
+def _with_merged(df):
+    return df.withColumn("is_merged", tx.merged_flag("state"))
+
+
+@register("merge_rates")
+def merge_rates_q(spark, d):
+    return rounded(A.merge_rates(_with_merged(scored_items(spark, d))))
+
+
+@register("category_counts")
+def category_counts_q(spark, d):
+    return rounded(A.category_counts(scored_items(spark, d)))
+
+
+@register("category_stats")
+def category_stats_q(spark, d):
+    return rounded(A.category_stats(scored_items(spark, d)))
+
+
+AGENTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("category_matrix")
+def category_matrix_q(spark, d):
+    s = scored_items(spark, d).where(F.col("friction_category") != "N/A")
+    return A.count_matrix(s, "friction_category", "agent")
+
+
+@register("category_share")
+def category_share_q(spark, d):
+    s = scored_items(spark, d).where(F.col("friction_category") != "N/A")
+    return rounded(A.column_share(s, "friction_category", "agent"))
+
+
+@register("monthly_trend")
+def monthly_trend_q(spark, d):
+    return rounded(A.monthly_trend(scored_items(spark, d), "created_at"))
+
+
+def _with_hours(df, end="merged_at"):
+    h = tx.duration_h("created_at", end)
+    return df.withColumn("time_to_merge_hours", h).where(tx.valid_hours("time_to_merge_hours"))
+
+
+@register("per_pr_time")
+def per_pr_time_q(spark, d):
+    return rounded(A.per_pr_time(_with_hours(scored_items(spark, d))))
+
+
+@register("per_pr_iterations")
+def per_pr_iterations_q(spark, d):
+    return rounded(A.per_pr_iterations(scored_items(spark, d)))
+
+
+@register("label_counts")
+def label_counts_q(spark, d):
+    return A.label_counts(scored_items(spark, d), "source")
+
+
+@register("mean_matrix_source")
+def mean_matrix_source_q(spark, d):
+    return rounded(A.mean_matrix(scored_items(spark, d), "agent", "source",
+                                 values=["comment", "review"], diff=("comment", "review")))
+
+
+@register("mean_matrix_type")
+def mean_matrix_type_q(spark, d):
+    return rounded(A.mean_matrix(scored_items(spark, d), "pr_type", "agent"))
+
+
+@register("negative_rate")
+def negative_rate_q(spark, d):
+    return rounded(A.negative_rate(scored_items(spark, d)))
+
+
+@register("type_stats")
+def type_stats_q(spark, d):
+    return rounded(A.pr_type_stats(scored_items(spark, d)))
+
+
+@register("top_topics")
+def top_topics_q(spark, d):
+    s = scored_documents(spark, d)
+    counts = A.count_long(s, "lang", "source")
+    return A.top_k(counts, "source", "lang", k=3)
+
+
+def _pr_outcomes(spark, d):
+    s = _with_merged(scored_items(spark, d))
+    s = s.withColumn("time_to_merge_hours", tx.duration_h("created_at", "closed_at"))
+    return s.groupBy("id_pr").agg(F.avg("friction_score").alias("friction_score"),
+                                  F.count("clean_body").alias("comment_count"),
+                                  F.any_value("time_to_merge_hours").alias("time_to_merge_hours"),
+                                  F.max("is_merged").alias("is_merged"))
+
+
+@register("band_outcomes")
+def band_outcomes_q(spark, d):
+    return rounded(A.band_outcomes(_pr_outcomes(spark, d)))
+
+
+@register("quartile_contrast")
+def quartile_contrast_q(spark, d):
+    return rounded(A.quartile_contrast(_pr_outcomes(spark, d)))
+
+
+@register("band_counts")
+def band_counts_q(spark, d):
+    return A.band_counts(scored_items(spark, d))
+
+
+@register("triage")
+def triage_q(spark, d):
+    s = scored_items(spark, d).where(tx.triage("friction_score"))
+    return s.groupBy("agent").agg(F.count(F.lit(1)).alias("n_triage"))
+
+
+# ---- statistics -------------------------------------------------------------------
+STAT_COLS = ["test", "n", "dof", "statistic"]
+
+
+def _stat(df, cols=STAT_COLS):
+    return rounded(df.select(*cols))
+
+
+@register("kruskal_events")
+def kruskal_events(spark, d):
+    return _stat(X.kruskal(load_table(spark, d, "events"), "event_type", "value", test="kruskal_events"))
+
+
+@register("kruskal_agents")
+def kruskal_agents(spark, d):
+    return _stat(X.kruskal(scored_items(spark, d), "agent", "friction_score", test="kruskal_agents"))
+
+
+@register("kruskal_categories")
+def kruskal_categories(spark, d):
+    s = scored_items(spark, d).where(F.col("friction_category") != "N/A")
+    return _stat(X.kruskal(s, "friction_category", "friction_score", test="kruskal_categories"))
+
+
+@register("mann_whitney_pairs")
+def mann_whitney_pairs_q(spark, d):
+    r = X.mann_whitney_pairs(load_table(spark, d, "events"), "event_type", "value")
+    return rounded(r.select("pair", "group_a", "group_b", "n_a", "n_b", "statistic"))
+
+
+@register("mann_whitney_two")
+def mann_whitney_two_q(spark, d):
+    s = _human_split(scored_items(spark, d))
+    r = X.mann_whitney(s, F.col("agent") == "Human", "friction_score")
+    return rounded(r.select("pair", "n_a", "n_b", "statistic"))
+
+
+@register("point_biserial")
+def point_biserial_q(spark, d):
+    s = scored_documents(spark, d).join(load_table(spark, d, "labels"), "doc_id")
+    return _stat(X.point_biserial(s, "friction_score", "toxic"), ["test", "n", "statistic"])
+
+
+@register("chi2_category_agent")
+def chi2_category_agent(spark, d):
+    s = scored_items(spark, d).where(F.col("friction_category") != "N/A")
+    return _stat(X.chi2_independence(s, "friction_category", "agent", test="chi2_category_agent"))
+
+
+@register("chi2_lang_source")
+def chi2_lang_source(spark, d):
+    s = load_table(spark, d, "documents")
+    return _stat(X.chi2_independence(s, "lang", "source", test="chi2_lang_source"))
+
+
+@register("spearman_time")
+def spearman_time(spark, d):
+    pr = A.per_pr_time(_with_hours(scored_items(spark, d)))
+    return _stat(X.spearman(pr, "friction_score", "time_to_merge_hours", test="spearman_time"),
+                 ["test", "n", "statistic"])
+
+
+@register("spearman_iterations")
+def spearman_iterations(spark, d):
+    pr = A.per_pr_iterations(scored_items(spark, d))
+    return _stat(X.spearman(pr, "friction_score", "comment_count", test="spearman_iterations"),
+                 ["test", "n", "statistic"])
+
+
+@register("spearman_by_group")
+def spearman_by_group(spark, d):
+    ev = X.days_since_first(load_table(spark, d, "events"), "ts", ["event_type"])
+    r = X.spearman_by(ev, "event_type", "time_numeric", "value")
+    return rounded(r.select("event_type", "n", "statistic"))
+
+
+@register("tests_table")
+def tests_table(spark, d):
+    ev = load_table(spark, d, "events")
+    ev = ev.withColumn("is_click", (F.col("event_type") == "click").cast("int"))
+    long = X.tests_long(X.kruskal(ev, "event_type", "value", test="kruskal_events"),
+                        X.chi2_independence(ev.withColumn("hour", F.hour("ts")), "event_type", "hour",
+                                            test="chi2_type_hour"),
+                        X.point_biserial(ev, "value", "is_click"),
+                        X.spearman(ev, "user_id", "value", test="spearman_user_value"))
+    return long
+
+
+@register("tests_wide")
+def tests_wide_q(spark, d):
+    long = tests_table(spark, d)
+    return X.tests_wide(long, ["kruskal_events", "chi2_type_hour", "pointbiserial",
+                               "spearman_user_value"])
+
+
+# ---- distributions -----------------------------------------------------------------
+@register("box_stats")
+def box_stats_q(spark, d):
+    return rounded(Dn.box_stats(load_table(spark, d, "events"), "event_type", "value"))
+
+
+@register("box_stats_agents")
+def box_stats_agents(spark, d):
+    return rounded(Dn.box_stats(scored_items(spark, d), "agent", "friction_score"))
+
+
+@register("histogram")
+def histogram_q(spark, d):
+    return rounded(Dn.histogram(load_table(spark, d, "events"), "event_type", "value"))
+
+
+@register("density")
+def density_q(spark, d):
+    return rounded(Dn.density(load_table(spark, d, "events"), "event_type", "value"))
