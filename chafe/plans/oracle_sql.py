@@ -396,3 +396,44 @@ SELECT g.event_type, CAST(g.point AS INTEGER) AS point, round(max(g.x), {D}) AS
        round(sum(v.c * exp(-0.5 * ((g.x - v.value) / g.h) ^ 2) / (g.n * g.h * sqrt(2 * pi()))), {D}) AS density
 FROM g JOIN v USING (event_type) GROUP BY g.event_type, g.point""",
 })
+
+from ..operators.topics import STOP_WORDS  # noqa: E402
+
+TERMS = f"""tok AS (
+  SELECT doc_id, source, lang, list_filter(regexp_extract_all(lower(clean_body), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+         lambda w: w NOT IN {_inlist(STOP_WORDS)}) AS t FROM clean_docs),
+dterms AS (
+  SELECT doc_id, source, lang, list_concat(t, CASE WHEN len(t) >= 2 THEN
+           list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END) AS terms
+  FROM tok),
+cnt AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(terms) AS term FROM dterms) GROUP BY 1, 2),
+kept AS (SELECT * FROM cnt WHERE term IN (SELECT term FROM cnt GROUP BY term HAVING count(*) >= 2)),
+pt AS (SELECT source, sum(n) AS tn FROM kept GROUP BY 1),
+pf AS (SELECT term, sum(n) AS f FROM kept GROUP BY 1),
+a AS (SELECT floor((SELECT sum(n) FROM kept) / (SELECT count(DISTINCT source) FROM clean_docs)) AS avg_n),
+sc AS (SELECT k.source, k.term, k.n, sqrt(k.n / pt.tn) * ln(1 + a.avg_n / pf.f) AS score
+       FROM kept k JOIN pt USING (source) JOIN pf USING (term), a),
+top AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM sc)"""
+
+ORACLE.update({
+    "topic_terms": f"WITH {CLEAN_DOCS}, {TERMS} SELECT source, term, n FROM kept",
+    "ctfidf_top": f"""WITH {CLEAN_DOCS}, {TERMS}
+SELECT source, term, n, round(score, {D}) AS score, rank FROM top WHERE rank <= 10""",
+    "topic_info": f"""WITH {CLEAN_DOCS}, {TERMS},
+t10 AS (SELECT * FROM top WHERE rank <= 10),
+rep AS (SELECT source, string_agg(term, ', ' ORDER BY rank) AS representation,
+               string_agg(term, '_' ORDER BY rank) FILTER (WHERE rank <= 4) AS name4 FROM t10 GROUP BY 1),
+dt AS (SELECT DISTINCT doc_id, source, unnest(terms) AS term FROM dterms),
+hits AS (SELECT source, doc_id, count(*) AS h FROM dt JOIN t10 USING (source, term) GROUP BY 1, 2),
+best AS (SELECT source, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY k) AS representative_docs
+         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h DESC, doc_id) AS k FROM hits)
+         WHERE k <= 3 GROUP BY 1),
+sizes AS (SELECT source, count(*) AS "count" FROM clean_docs GROUP BY 1)
+SELECT source, "count", source || coalesce('_' || name4, '') AS name, coalesce(representation, '') AS representation,
+       coalesce(representative_docs, '') AS representative_docs
+FROM sizes LEFT JOIN rep USING (source) LEFT JOIN best USING (source)""",
+    "model_score": ORACLE["friction_by_group"],
+    "model_category": f"""WITH {SCORED_DOCS}
+SELECT {keyword_category('substr(clean_body, 1, 1000)')} AS friction_category, count(*) AS "count"
+FROM scored_docs WHERE is_negative GROUP BY 1""",
+})

@@ -373,3 +373,76 @@ def histogram_q(spark, d):
 @register("density")
 def density_q(spark, d):
     return rounded(Dn.density(load_table(spark, d, "events"), "event_type", "value"))
+
+
+# ---- topics --------------------------------------------------------------------
+from ..operators import scoring as U  # noqa: E402
+from ..operators import topics as Tp  # noqa: E402
+
+
+@register("topic_terms")
+def topic_terms_q(spark, d):
+    return Tp.topic_terms(clean_documents(spark, d), "clean_body", "source")
+
+
+@register("ctfidf_top")
+def ctfidf_top_q(spark, d):
+    docs = clean_documents(spark, d)
+    sc = Tp.ctfidf(Tp.topic_terms(docs, "clean_body", "source"), "source",
+                   docs.select("source").distinct().count())
+    return rounded(Tp.top_terms(sc, "source", 10))
+
+
+@register("topic_info")
+def topic_info_q(spark, d):
+    return Tp.topic_info(clean_documents(spark, d), "clean_body", "source", "doc_id")
+
+
+@register("topic_clusters")
+def topic_clusters(spark, d):
+    emb = load_table(spark, d, "embeddings")
+    model = Tp.fit_topic_model(emb, "embedding", k=20)
+    t = Tp.assign_topics(model, emb)
+    return t.groupBy("topic").agg(F.count(F.lit(1)).alias("n"),
+                                  F.countDistinct("label").alias("n_labels"))
+
+
+@register("topic_agent_matrix")
+def topic_agent_matrix(spark, d):
+    """A11 on fitted clusters: embeddings' topics x label as the agent."""
+    emb = load_table(spark, d, "embeddings")
+    t = Tp.assign_topics(Tp.fit_topic_model(emb, "embedding", k=20), emb)
+    t = t.where(F.col("topic") != Tp.OUTLIER_TOPIC)
+    return A.count_matrix(t, "topic", "label")
+
+
+@register("topic_merge")
+def topic_merge(spark, d):
+    docs = clean_documents(spark, d)
+    sc = Tp.ctfidf(Tp.topic_terms(docs, "clean_body", "lang"), "lang",
+                   docs.select("lang").distinct().count())
+    return Tp.merge_topics(sc, "lang", threshold=0.1)
+
+
+# ---- model scoring ----------------------------------------------------------------
+@register("model_score")
+def model_score(spark, d):
+    s = U.score_sentiment(clean_documents(spark, d), "clean_body")
+    return rounded(A.group_summary(s, "source"))
+
+
+@register("model_category")
+def model_category(spark, d):
+    s = U.score_sentiment(clean_documents(spark, d), "clean_body").where(F.col("is_negative"))
+    c = U.classify(s, "clean_body")
+    return c.groupBy("friction_category").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("trained_score")
+def trained_score(spark, d):
+    docs = clean_documents(spark, d)
+    lab = docs.join(load_table(spark, d, "labels"), "doc_id")
+    model = U.fit_scorer(lab, "clean_body", "toxic", num_features=1 << 14, max_iter=20)
+    s = U.apply_scorer(model, docs)
+    return s.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum(F.col("is_negative").cast("int")).alias("n_negative"))
