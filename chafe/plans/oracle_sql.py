@@ -437,3 +437,15 @@ FROM sizes LEFT JOIN rep USING (source) LEFT JOIN best USING (source)""",
 SELECT {keyword_category('substr(clean_body, 1, 1000)')} AS friction_category, count(*) AS "count"
 FROM scored_docs WHERE is_negative GROUP BY 1""",
 })
+
+ORACLE.update({
+    "mean_matrix_type_source": f"""{SI}
+SELECT pr_type, round(avg(friction_score) FILTER (WHERE source = 'comment'), {D}) AS comment,
+       round(avg(friction_score) FILTER (WHERE source = 'review'), {D}) AS review
+FROM scored_items GROUP BY pr_type""",
+    "spearman_temporal_agents": f"""{SI},
+ev AS (SELECT agent, friction_score,
+       floor((epoch_us(created_at) - min(epoch_us(created_at)) OVER (PARTITION BY agent)) / 86400000000) AS time_numeric
+       FROM scored_items WHERE created_at IS NOT NULL),
+{spearman_sql('ev', 'time_numeric', 'friction_score', 'x', by='agent')} HAVING count(*) >= 10""",
+})

@@ -446,3 +446,18 @@ def trained_score(spark, d):
     s = U.apply_scorer(model, docs)
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
                                    F.sum(F.col("is_negative").cast("int")).alias("n_negative"))
+
+
+@register("mean_matrix_type_source")
+def mean_matrix_type_source(spark, d):
+    return rounded(A.mean_matrix(scored_items(spark, d), "pr_type", "source",
+                                 values=["comment", "review"]))
+
+
+@register("spearman_temporal_agents")
+def spearman_temporal_agents(spark, d):
+    """X8 on the item pipeline: days since the agent's first item vs friction."""
+    s = scored_items(spark, d).where(F.col("created_at").isNotNull())
+    s = X.days_since_first(s, "created_at", ["agent"])
+    return rounded(X.spearman_by(s, "agent", "time_numeric", "friction_score")
+                   .select("agent", "n", "statistic"))
