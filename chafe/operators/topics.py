@@ -37,6 +37,7 @@ STOP_WORDS = [
 ]
 # Terms: lowercase runs of two or more letters, digits or underscores.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
+TERM_SPLIT = r"[^\p{L}\p{N}_]+"
 MIN_TOPIC_SIZE = 5
 OUTLIER_TOPIC = -1
 # ---------------------------------------------------------------------------
@@ -51,8 +52,10 @@ def doc_terms(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS,
               ngrams: int = 2) -> DataFrame:
     """Per-row array of uni- and bi-grams after stop-word removal."""
     sw = list(stop_words)
-    tok = F.filter(F.regexp_extract_all(F.lower(col_(text)), F.lit(TERM_PATTERN), 0),
-                   lambda w: ~w.isin(sw))
+    # maximal runs of word characters, then runs of length >= 2: the same
+    # tokens as extracting TERM_PATTERN, but a split is cheaper in Java
+    tok = F.filter(F.split(F.lower(col_(text)), TERM_SPLIT),
+                   lambda w: (F.length(w) >= 2) & ~w.isin(sw))
     df = df.withColumn("_tok", tok)
     terms = F.col("_tok")
     if ngrams >= 2:
@@ -64,28 +67,46 @@ def doc_terms(df: DataFrame, text: str, stop_words: Sequence[str] = STOP_WORDS,
     return df.withColumn("terms", terms).drop("_tok")
 
 
+def term_counts(df: DataFrame, text: str, topic: str, min_df: int = 2,
+                stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(topic, term, n, f) for terms found in at least ``min_df`` topics;
+    ``f`` is the term's count over all topics.
+
+    Partial aggregation on (topic, term) collapses a hot term map-side;
+    the document frequency and ``f`` then come from one window over
+    ``term`` on the aggregated table (each term has at most #topics rows).
+    Checkpointed: c-TF-IDF and topic info read it several times."""
+    t = doc_terms(df.select(topic, text), text, stop_words)
+    # explode_outer: a plain explode makes the optimizer add size(terms) > 0
+    # and push it (the whole tokenizer) below earlier repartitions
+    counts = t.select(topic, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull()) \
+        .groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("term")
+    kept = counts.withColumn("_df", F.count(F.lit(1)).over(w)) \
+        .withColumn("f", F.sum("n").over(w)) \
+        .where(F.col("_df") >= min_df).drop("_df")
+    return cut_lineage(kept)
+
+
 def topic_terms(df: DataFrame, text: str, topic: str, min_df: int = 2,
                 stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """T5: (topic, term, n) counts, keeping terms that occur in at least
     ``min_df`` topics (texts of one topic count as one document)."""
-    t = doc_terms(df.select(topic, text), text, stop_words)
-    counts = t.select(topic, F.explode("terms").alias("term")) \
-        .groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
-    keep = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")) \
-        .where(F.col("_df") >= min_df).select("term")
-    return counts.join(keep, "term", "left_semi")
+    return term_counts(df, text, topic, min_df, stop_words).select(topic, "term", "n")
 
 
 def ctfidf(terms: DataFrame, topic: str, n_topics=None) -> DataFrame:
     """``sqrt(n / sum_topic n) * ln(1 + A / f)``, f = the term's count
-    over all topics, A = floor(total count / number of topics)."""
-    per_topic = terms.groupBy(topic).agg(F.sum("n").alias("_tn"))
-    per_term = terms.groupBy("term").agg(F.sum("n").alias("_f"))
-    total = terms.agg(F.sum("n")).scalar()
+    over all topics, A = floor(total count / number of topics).  Without
+    ``n_topics`` the topics present in ``terms`` are counted."""
+    if "f" not in terms.columns:
+        terms = terms.withColumn("f", F.sum("n").over(Window.partitionBy("term")))
+    per_topic = terms.groupBy(topic).agg(F.sum("n").alias("_tn"))  # one row per topic
+    total = per_topic.agg(F.sum("_tn")).scalar()
     k = n_topics if n_topics is not None else per_topic.agg(F.count(F.lit(1))).scalar()
     avg = F.floor(total / k)
-    j = terms.join(per_topic, topic).join(per_term, "term")
-    score = F.sqrt(F.col("n") / F.col("_tn")) * F.log(F.lit(1.0) + avg / F.col("_f"))
+    j = terms.join(per_topic, topic)
+    score = F.sqrt(F.col("n") / F.col("_tn")) * F.log(F.lit(1.0) + avg / F.col("f"))
     return j.select(topic, "term", "n", score.alias("score"))
 
 
@@ -100,14 +121,14 @@ def topic_info(df: DataFrame, text: str, topic: str, doc_id: str, k: int = 10,
     """Topic, count, name (topic + top 4 terms), representation (top k
     terms) and representative documents (those containing most top terms,
     ties to the lowest id)."""
-    n_topics = df.select(topic).distinct().count()
-    sc = ctfidf(topic_terms(df, text, topic, min_df), topic, n_topics)
+    sc = ctfidf(term_counts(df, text, topic, min_df), topic)
     top = top_terms(sc, topic, k)
     rep = top.groupBy(topic).agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_r"))
     rep = rep.select(topic, F.transform("_r", lambda s: s["term"]).alias("_terms"))
     sizes = df.groupBy(topic).agg(F.count(F.lit(1)).alias("count"))
     dt = doc_terms(df.select(doc_id, topic, text), text).select(
-        doc_id, topic, F.explode(F.array_distinct("terms")).alias("term"))
+        doc_id, topic, F.explode_outer(F.array_distinct("terms")).alias("term")) \
+        .where(F.col("term").isNotNull())
     hits = dt.join(top.select(topic, "term"), [topic, "term"]) \
         .groupBy(topic, doc_id).agg(F.count(F.lit(1)).alias("_h"))
     w = Window.partitionBy(topic).orderBy(F.desc("_h"), F.asc(doc_id))

@@ -387,9 +387,7 @@ def topic_terms_q(spark, d):
 
 @register("ctfidf_top")
 def ctfidf_top_q(spark, d):
-    docs = clean_documents(spark, d)
-    sc = Tp.ctfidf(Tp.topic_terms(docs, "clean_body", "source"), "source",
-                   docs.select("source").distinct().count())
+    sc = Tp.ctfidf(Tp.term_counts(clean_documents(spark, d), "clean_body", "source"), "source")
     return rounded(Tp.top_terms(sc, "source", 10))
 
 
@@ -418,9 +416,7 @@ def topic_agent_matrix(spark, d):
 
 @register("topic_merge")
 def topic_merge(spark, d):
-    docs = clean_documents(spark, d)
-    sc = Tp.ctfidf(Tp.topic_terms(docs, "clean_body", "lang"), "lang",
-                   docs.select("lang").distinct().count())
+    sc = Tp.ctfidf(Tp.term_counts(clean_documents(spark, d), "clean_body", "lang"), "lang")
     return Tp.merge_topics(sc, "lang", threshold=0.1)
 
 

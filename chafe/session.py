@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session used by this library should carry.  Shuffle partition
@@ -65,7 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable (not local) checkpoint: survives executor loss, freezes the
     rows of non-deterministic steps such as sampled range boundaries."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Without a persisted copy the eager checkpoint computes the plan twice:
+    # once for its count job and again for the job writing the files.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist(blocking=False)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -79,5 +86,7 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     of partitions and this is a no-op."""
     target = min_parts or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        # persisted so the optimizer cannot push the (expensive) text
+        # predicates below the repartition, back into the lone scan task
+        return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
     return df
