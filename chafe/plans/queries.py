@@ -457,3 +457,14 @@ def spearman_temporal_agents(spark, d):
     s = X.days_since_first(s, "created_at", ["agent"])
     return rounded(X.spearman_by(s, "agent", "time_numeric", "friction_score")
                    .select("agent", "n", "statistic"))
+
+
+# ---- report ------------------------------------------------------------------------
+@register("summary_report")
+def summary_report(spark, d):
+    """The run summary lines over the scored items and the rank tests."""
+    from ..session import cut_lineage
+    from ..sources.sinks import results_long, summary_lines
+    s = cut_lineage(scored_items(spark, d))  # five consumers below: score once
+    tests = results_long({"kruskal_agents": X.kruskal(s, "agent", "friction_score")})
+    return summary_lines(s, tests)

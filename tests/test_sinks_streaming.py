@@ -40,3 +40,25 @@ def test_streaming_matches_batch(spark):
                              for r in df.select("doc_id", "friction_score", "friction_category").collect())
     assert rows(got) == rows(want)
     assert os.path.isdir(f"{root}/ckpt")
+
+
+def test_source_helpers_and_model_save(spark):
+    import pytest as _pytest
+
+    from chafe.operators import topics as Tp
+    from chafe.sources.tables import inspect_source, load_table, pick_column, require_rows
+    emb = load_table(spark, SF, "embeddings")
+    dtypes, first = inspect_source(emb, k=2)
+    assert [c for c, _ in dtypes][:2] == ["vec_id", "embedding"] and first.count() == 1
+    assert pick_column(emb, ["user", "vec_id", "label"]) == "vec_id"
+    assert pick_column(emb, ["nope"]) is None
+    with _pytest.raises(ValueError):
+        require_rows(emb.where("vec_id < 0"), "embeddings")
+    model = Tp.fit_topic_model(emb, "embedding", k=4)
+    path = tempfile.mkdtemp(prefix="chafe-model-", dir="/tmp") + "/m"
+    S.save_model(model, path)
+    from pyspark.ml import PipelineModel
+    again = PipelineModel.load(path)
+    a = Tp.assign_topics(model, emb).select("vec_id", "topic").collect()
+    b = Tp.assign_topics(again, emb).select("vec_id", "topic").collect()
+    assert sorted(a) == sorted(b)
