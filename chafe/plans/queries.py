@@ -21,8 +21,17 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query.  Timestamps in the tables are zone-less wall-clock
+    values, so every query runs with the session time zone pinned to UTC
+    (the driver may hand over a session with another default)."""
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, d)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
