@@ -127,18 +127,33 @@ def count_long(df: DataFrame, row: str, column: str) -> DataFrame:
 def count_matrix(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:
     """Row x column count matrix, zero filled.  One shuffle: the
     pivot is written as conditional counts over an explicit value list."""
-    values = list(values) if values is not None else distinct_values(df, column)
-    aggs = [F.count(F.when(F.col(column) == F.lit(v), 1)).alias(str(v)) for v in values]
-    return df.groupBy(row).agg(*aggs)
+    long = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"))
+    if values is None:
+        # the (row, column) table is small: write it once, read the
+        # column values from it, then pivot it
+        from ..session import cut_lineage
+        long = cut_lineage(long)
+        values = distinct_values(long, column)
+    aggs = [F.coalesce(F.sum(F.when(F.col(column) == F.lit(v), F.col("_n"))), F.lit(0)).cast("long")
+            .alias(str(v)) for v in values]
+    return long.groupBy(row).agg(*aggs)
 
 
 def mean_matrix(df: DataFrame, row: str, column: str, value: str = "friction_score",
                 values: Sequence | None = None, diff: tuple | None = None) -> DataFrame:
     """Row x column mean matrix; empty cells stay null.  ``diff``
     adds ``a - b`` of two column values (e.g. comment minus review)."""
-    values = list(values) if values is not None else distinct_values(df, column)
-    aggs = [F.avg(F.when(F.col(column) == F.lit(v), F.col(value))).alias(str(v)) for v in values]
-    out = df.groupBy(row).agg(*aggs)
+    if values is None:
+        from ..session import cut_lineage
+        long = cut_lineage(df.groupBy(row, column).agg(F.sum(value).alias("_s"),
+                                                       F.count(value).alias("_c")))
+        values = distinct_values(long, column)
+        aggs = [(F.sum(F.when(F.col(column) == F.lit(v), F.col("_s")))
+                 / F.sum(F.when(F.col(column) == F.lit(v), F.col("_c")))).alias(str(v)) for v in values]
+        out = long.groupBy(row).agg(*aggs)
+    else:
+        aggs = [F.avg(F.when(F.col(column) == F.lit(v), F.col(value))).alias(str(v)) for v in values]
+        out = df.groupBy(row).agg(*aggs)
     if diff:
         a, b = diff
         out = out.withColumn(f"{a}_minus_{b}", F.col(str(a)) - F.col(str(b)))

@@ -57,7 +57,8 @@ def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), group: str | N
             names.append(f"c{i}")
     counts = base.groupBy(*by, value).agg(*aggs)
 
-    n = n_parts or shuffle_partitions(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    n = n_parts or max(shuffle_partitions(df.sparkSession), sc.defaultParallelism)
     ranged = counts.repartitionByRange(n, *[F.col(b) for b in by], v) \
         .withColumn("_pid", F.spark_partition_id())
     ranged = cut_lineage(ranged)

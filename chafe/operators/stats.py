@@ -31,10 +31,18 @@ def _d(c) -> Column:
 
 
 # ---- X1 / X4: Kruskal-Wallis ----------------------------------------------------
+def grouped_counts(df: DataFrame, by: str, value: str, groups: Sequence | None = None):
+    """(value, group, w) counts, written once; the group list is read from
+    this small table instead of a second pass over the facts."""
+    long = cut_lineage(df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
+                       .groupBy(value, by).agg(F.count(F.lit(1)).alias("w")))
+    return long, (list(groups) if groups is not None else distinct_values(long, by))
+
+
 def kruskal_parts(df: DataFrame, by: str, value: str, groups: Sequence | None = None) -> DataFrame:
     """One row: N, k, H (tie corrected) and the group minimum size."""
-    groups = list(groups) if groups is not None else distinct_values(df, by)
-    rt = rank_table(df.where(F.col(by).isNotNull()), value, group=by, groups=groups)
+    long, groups = grouped_counts(df, by, value, groups)
+    rt = rank_table(long, value, group=by, groups=groups, weight="w")
     k = len(groups)
     aggs = [F.sum("t").alias("N"),
             F.sum(_d("t") * _d("t") * _d("t") - _d("t")).alias("T")]
@@ -75,8 +83,8 @@ def mann_whitney_pairs(df: DataFrame, by: str, value: str, groups: Sequence | No
 
     ``U_ab = sum_v n_a(v) (n_b(< v) + n_b(v) / 2)`` over the distinct-value
     table, every pair in one aggregate."""
-    groups = list(groups) if groups is not None else distinct_values(df, by)
-    rt = rank_table(df.where(F.col(by).isNotNull()), value, group=by, groups=groups)
+    long, groups = grouped_counts(df, by, value, groups)
+    rt = rank_table(long, value, group=by, groups=groups, weight="w")
     pairs = list(combinations(range(len(groups)), 2))
     aggs = [F.sum(f"c{i}").alias(f"n{i}") for i in range(len(groups))]
     for i, j in pairs:
