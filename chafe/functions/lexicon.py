@@ -59,14 +59,19 @@ def lexicon_probs(text, negative: Sequence[str] = NEGATIVE_WORDS,
                   positive: Sequence[str] = POSITIVE_WORDS) -> Column:
     """[g, 1, h] / (g + h + 1) with g negative and h positive hits.
 
-    Rational shares, so any engine computes the same doubles."""
-    # One pass over all tokens keeps only lexicon words; the two counts then
-    # run over that (short) array.
-    found = F.filter(tokens(text), lambda t: t.isin(list(negative) + list(positive)))
+    Rational shares, so any engine computes the same doubles.  Most texts
+    hold no lexicon word: a code-generated ``arrays_overlap`` test answers
+    [0, 1, 0] for them, and only the rest pay for the per-token lambda."""
+    words = list(negative) + list(positive)
+    tok = tokens(text)
+    found = F.filter(tok, lambda t: t.isin(words))
     g = hits(found, negative).cast("double")
     h = hits(found, positive).cast("double")
     z = g + h + F.lit(1.0)
-    return F.array(g / z, F.lit(1.0) / z, h / z)
+    lex = F.array(*[F.lit(w) for w in words])
+    neutral = F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))
+    return F.when(F.arrays_overlap(tok, lex), F.array(g / z, F.lit(1.0) / z, h / z)) \
+        .when(tok.isNotNull(), neutral)
 
 
 def friction(probs, labels: Sequence[str] = SENTIMENT_LABELS) -> Column:
