@@ -83,7 +83,9 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     """Round-robin a DataFrame over the cluster before CPU-heavy row work
     when its scan yields fewer partitions than there are cores (a single
     large row group, say).  On big inputs the scan already has thousands
-    of partitions and this is a no-op."""
+    of partitions and this is a no-op.  Spark's cache manager reuses an
+    existing cache for an identical plan, so repeated queries over the same
+    scan share one cached copy."""
     target = min_parts or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         # persisted so the optimizer cannot push the (expensive) text

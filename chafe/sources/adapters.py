@@ -63,8 +63,8 @@ def task_types(spark: SparkSession, base: str) -> DataFrame:
 
 
 def review_comments(spark: SparkSession, base: str) -> DataFrame:
-    lines = load_table(spark, base, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    lines = spread(load_table(spark, base, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
     docs = spread(load_table(spark, base, "documents").select("doc_id", "text"))
     user = F.when(F.pmod(F.col("l_suppkey"), F.lit(10)) == 0,
                   F.concat(F.lit("ci-runner-"), F.col("l_suppkey").cast("string"), F.lit("[bot]"))) \
