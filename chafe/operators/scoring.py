@@ -126,3 +126,18 @@ def embed(df: DataFrame, text: str, make_predict_fn: Callable, dim: int,
                            batch_size=batch_size, input_tensor_shapes=None)
     return df.withColumn(out, fn(col_(text)))
 
+
+
+def score_distinct(df: DataFrame, text: str, score_fn: Callable | None = None) -> DataFrame:
+    """Score each distinct text once and join the scores back.
+
+    Exact (the join key is the text itself).  It costs one shuffle of the
+    distinct texts (de-duplicated map-side first) and a join; it pays off
+    when texts repeat (templates, bot messages, quoted replies) and not when
+    almost every text is unique, so it is opt-in.  ``score_fn(df, text)``
+    adds score columns (default: the native lexicon scorer)."""
+    from ..functions.lexicon import score_columns
+    fn = score_fn or score_columns
+    texts = df.select(text).where(F.col(text).isNotNull()).distinct()
+    scored = fn(texts, text)
+    return df.join(scored, text, "left")

@@ -20,6 +20,8 @@ from ..session import cut_lineage
 from .ranks import rank_table
 
 ALPHA = 0.05
+PAIR_SCHEMA = ("pair string, group_a string, group_b string, n_a bigint, n_b bigint, "
+               "statistic double, p_value double, significant boolean, method string")
 
 
 def _sig(p: Column) -> Column:
@@ -42,6 +44,9 @@ def grouped_counts(df: DataFrame, by: str, value: str, groups: Sequence | None =
 def kruskal_parts(df: DataFrame, by: str, value: str, groups: Sequence | None = None) -> DataFrame:
     """One row: N, k, H (tie corrected) and the group minimum size."""
     long, groups = grouped_counts(df, by, value, groups)
+    if not groups:  # empty input: no statistic
+        return df.sparkSession.createDataFrame(
+            [(0, 0, None, None)], "n bigint, k int, statistic double, min_group_n bigint")
     rt = rank_table(long, value, group=by, groups=groups, weight="w")
     k = len(groups)
     aggs = [F.sum("t").alias("N"),
@@ -84,6 +89,8 @@ def mann_whitney_pairs(df: DataFrame, by: str, value: str, groups: Sequence | No
     ``U_ab = sum_v n_a(v) (n_b(< v) + n_b(v) / 2)`` over the distinct-value
     table, every pair in one aggregate."""
     long, groups = grouped_counts(df, by, value, groups)
+    if len(groups) < 2:  # no pair to test
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     rt = rank_table(long, value, group=by, groups=groups, weight="w")
     pairs = list(combinations(range(len(groups)), 2))
     aggs = [F.sum(f"c{i}").alias(f"n{i}") for i in range(len(groups))]

@@ -172,3 +172,12 @@ def test_odd_dof_and_normal():
     assert pv.chi2_sf(3.5, 3) == pytest.approx(0.32076212080563893, rel=1e-12)
     assert 2 * pv.norm_sf(1.959963984540054) == pytest.approx(0.05, rel=1e-12)
     assert pv.t_sf_two_sided(2.0, 10) == pytest.approx(0.07338803477074, rel=1e-9)
+
+
+def test_degenerate_group_counts(spark):
+    one = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, v double")
+    assert X.mann_whitney_pairs(one, "g", "v").count() == 0
+    assert X.kruskal(one, "g", "v").first().statistic is None
+    empty = one.where("v < 0")
+    r = X.kruskal(empty, "g", "v").first()
+    assert r.n == 0 and r.statistic is None
