@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col_, friction_band, OUTCOME_BANDS
+from ..functions.text import friction_band, OUTCOME_BANDS
 
 MAX_PIVOT_VALUES = 1000
 

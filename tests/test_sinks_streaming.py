@@ -62,3 +62,13 @@ def test_source_helpers_and_model_save(spark):
     a = Tp.assign_topics(model, emb).select("vec_id", "topic").collect()
     b = Tp.assign_topics(again, emb).select("vec_id", "topic").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_full_study_run(spark):
+    from chafe.study import run_study
+    out = tempfile.mkdtemp(prefix="chafe-study-", dir="/tmp")
+    res = run_study(spark, SF, out)
+    assert len(res["tables"]) >= 12
+    tests = spark.read.option("header", "true").csv(f"{out}/data/statistical_tests")
+    assert tests.count() == 6
+    assert spark.read.text(res["summary"]).count() > 5
