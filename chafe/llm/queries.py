@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash_dedup
+from . import line_dedup, simhash_dedup, toxicity
 from .common import table
 
 
@@ -14,7 +15,43 @@ def op1_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, d, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_toxicity": op8_toxicity,
+}
+
+ORACLE: dict[str, str] = {
+    # A-Z only: translate() leaves all other letters alone.  The line's ends
+    # are stripped of ASCII white space (U+0020, U+0009 to U+000D).
+    "op5_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nth
+  FROM documents),
+keyed AS (
+  SELECT doc_id, nth, line,
+         translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+rep AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT doc_id, nth, line, (rep.k IS NOT NULL AND doc_id <> keeper) AS gone
+  FROM keyed LEFT JOIN rep ON keyed.k = rep.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
 }
-ORACLE: dict[str, str] = {}
