@@ -136,9 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     top = np.sort(top[z[top] >= MIN_Z])
     slot = np.zeros(BUCKETS, np.int32)
     slot[top] = np.arange(1, len(top) + 1)
-    picker = ToxicityModel(slot, np.empty(0), 0.0)
+    slots = spark.sparkContext.broadcast(slot)
 
     def pick(b: pa.RecordBatch) -> pa.RecordBatch:
+        picker = ToxicityModel(slots.value, np.empty(0), 0.0)
         return pa.RecordBatch.from_arrays(
             [pa.array([picker.features(t).astype(np.int32).tobytes() for t in b.column(0).to_pylist()], pa.binary()),
              b.column(1)], ["f", "y"])
@@ -155,11 +156,12 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -
     """``docs`` with ``__score`` (0 to 1).  Null text scores as empty; with
     nothing learnt (no labels, or one class only) every score is 0."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: a broadcast is unpickled before the task's closure is
+    shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        m = shared.value
+        m = ToxicityModel(*shared.value)
         return texts.map(lambda t: m.score(t), na_action=None).astype(float)
     return docs.withColumn("__score", score(F.col(text)))
 
