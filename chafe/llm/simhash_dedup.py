@@ -1,19 +1,22 @@
 """Operator 1 - SimHash near-dedup with a segment-popcount embedding.
 
 Each text becomes a 64-bit SimHash over its word shingles.  Distinct
-fingerprints are embedded as 16 popcounts, one for each 4-bit segment.  The
-Manhattan distance of two such points never exceeds the Hamming distance of
-the fingerprints, so a range join on the integer grid of points is a lossless
-candidate search.  Radius 2 is split between the sides: a fingerprint
-enters every grid cell within Manhattan distance 1 of its point (33 cells), and
-two points within distance 2 meet in at least one cell.
+fingerprints are embedded as 24 popcounts, one for each segment of 3 or 2
+bits.  The Manhattan distance of two such points never exceeds the Hamming
+distance of the fingerprints, so a range join on the integer grid of points is
+a lossless candidate search.  Radius 2 is split between the sides: a
+fingerprint enters every grid cell within Manhattan distance 1 of its point
+(49 cells), and two points within distance 2 meet in at least one cell.  Two
+unrelated fingerprints meet with probability about 2e-9, so false candidates
+stay below the number of entries up to some 10^10 documents.
 
 Verification is exact and never pairs a crowded cell: within a shared cell a
 fingerprint stands for the bit patterns of that cell one flip (or none) away
 from it.  Two fingerprints within Hamming distance 2 share such a pattern, and
 two that share one are within distance 2.  Linking each sharer to the least
-one gives a star for every pattern, linear in the number of fingerprints
-however many near copies a group has, with the same components as all pairs.
+one gives a star for every pattern (of 65 fingerprints at most), linear in the
+number of fingerprints however many near copies a group has, with the same
+components as all pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from .components import connected_components
 SHINGLE_WORDS = 3
 MAX_BITS = 2           # the cell ranges below are built for this radius
 SEED = 42
+SEGMENTS = [3] * 16 + [2] * 8          # widths in bits
 _CHUNK = 1 << 15       # shingles counted at a time (bounds memory on long texts)
 
 
@@ -71,41 +75,51 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _long(v: int) -> Column:
+    """A 64-bit pattern (or a plain number) as a signed long."""
     return F.lit(v - (1 << 64) if v >= 1 << 63 else v).cast("long")
 
 
-def _unset(x: Column, mask: Column) -> Column:
-    return x.bitwiseAND(F.bitwise_not(mask))
+def _weights() -> list[int]:
+    """Place value of each segment in a cell number.  A coordinate runs from -1
+    to width + 1 (one step past the popcounts), so its radix is width + 3; the
+    product of all radices is below 2^63."""
+    out, w = [], 1
+    for width in SEGMENTS:
+        out.append(w)
+        w *= width + 3
+    return out
+
+
+_WEIGHTS = _weights()
+_BIT_WEIGHTS = [w for w, width in zip(_WEIGHTS, SEGMENTS) for _ in range(width)]
 
 
 def segment_point(fp: Column) -> Column:
-    """The 16 segment popcounts, each in a nibble and raised by 1 so that
-    stepping one up or down in any nibble never carries."""
-    ones = _long(0x1111111111111111)
-    nibbles = fp.bitwiseAND(ones)
-    for k in (1, 2, 3):
-        nibbles = nibbles + F.shiftrightunsigned(fp, k).bitwiseAND(ones)
-    return nibbles + ones
+    """Cell number of the point of popcounts (each coordinate raised by 1):
+    every set bit adds its segment's place value."""
+    point = F.lit(sum(_WEIGHTS)).cast("long")
+    for i, w in enumerate(_BIT_WEIGHTS):
+        point = point + F.shiftrightunsigned(fp, i).bitwiseAND(_long(1)) * _long(w)
+    return point
 
 
 def _entries(fps: DataFrame) -> DataFrame:
     """(fp, cell, pattern): the 65 patterns within one flip of a fingerprint,
-    each in its grid cell.  Flipping bit i moves the point by one step in the
-    segment of i, up if the bit was 0 and down if it was 1."""
-    point = segment_point(F.col("fp"))
-    flips = F.array(_long(0), *[_long(1 << i) for i in range(64)])
-    return fps.select("fp", point.alias("point"), F.posexplode(flips).alias("i", "flip")) \
-        .select("fp",
-                F.when(F.col("i") == 0, F.col("point")).otherwise(
-                    F.col("point") + F.when(F.col("fp").bitwiseAND(F.col("flip")) == 0, F.lit(1)).otherwise(-1)
-                    * F.expr("shiftleft(1L, cast(4 * floor((i - 1) / 4) as int))")).alias("cell"),
-                F.col("fp").bitwiseXOR(F.col("flip")).alias("pattern"))
+    each in its grid cell.  A flip moves the point one step in its segment, up
+    if the bit was 0 and down if it was 1."""
+    flips = F.array(*[F.struct(_long(f).alias("flip"), _long(w).alias("step"))
+                      for f, w in [(0, 0), *((1 << i, w) for i, w in enumerate(_BIT_WEIGHTS))]])
+    one = fps.select("fp", segment_point(F.col("fp")).alias("point")).select("fp", "point", F.explode(flips).alias("f"))
+    up = F.col("fp").bitwiseAND(F.col("f.flip")) == 0
+    return one.select("fp", F.when(up, F.col("point") + F.col("f.step"))
+                      .otherwise(F.col("point") - F.col("f.step")).alias("cell"),
+                      F.col("fp").bitwiseXOR(F.col("f.flip")).alias("pattern"))
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """(fp, cell): the grid cells within Manhattan distance 1 that hold a pattern."""
+    """(fp, cell): the grid cells within Manhattan distance 1."""
     point = F.col("point")
-    steps = [s for k in range(16) for s in (_long(1 << (4 * k)), -_long(1 << (4 * k)))]
+    steps = [s for w in _WEIGHTS for s in (_long(w), _long(-w))]
     return fps.select("fp", segment_point(F.col("fp")).alias("point")) \
         .select("fp", F.explode(F.array(point, *[point + s for s in steps])).alias("cell"))
 
@@ -121,11 +135,12 @@ def links(fps: DataFrame) -> DataFrame:
                       .where(F.col("lo") != F.col("hi")).select("cell"))
     # fingerprints with a candidate partner; all others are done.  Both inputs
     # are scans, so the join can split a cell that a large group crowds.
-    near = written(_cells(fps).join(crowded, "cell").select("fp").distinct())
+    # (merge hints: a generator's rows are not in the planner's size estimate.)
+    near = written(_cells(fps).hint("merge").join(crowded, "cell").select("fp").distinct())
     entries = _entries(near)
     stars = entries.groupBy("cell", "pattern").agg(F.min("fp").alias("a"), F.max("fp").alias("hi")) \
         .where(F.col("a") != F.col("hi")).select("cell", "pattern", "a")
-    return entries.join(stars, ["cell", "pattern"]).where(F.col("fp") != F.col("a")) \
+    return entries.hint("merge").join(stars, ["cell", "pattern"]).where(F.col("fp") != F.col("a")) \
         .select("a", F.col("fp").alias("b")) \
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
 
