@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash_dedup, toxicity
+from . import decontaminate, line_dedup, sentencepiece_unigram, simhash_dedup, toxicity
 from .common import table
 
 
@@ -15,19 +16,45 @@ def op1_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, d, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, contaminated, item_ids, similarity) for every document."""
+    docs = table(spark, d, "documents")
+    hits = decontaminate.contaminated(docs, table(spark, d, "benchmark")).groupBy("doc_id") \
+        .agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return own.join(hits.withColumnRenamed("doc_id", "__id"), own["doc_id"].eqNullSafe(F.col("__id")), "left") \
+        .select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"),
+                F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "similarity")
+
+
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n_ids, n_byte_ids, ids_sha256, exact): ids of every whole text, and
+    whether the text decoded from them equals it."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    e = sentencepiece_unigram
+    out = e.decode(e.encode(table(spark, d, "documents").select("doc_id", "text"), model), model)
+    # <0x00> to <0xFF> are ids 3 to 258 of this vocabulary
+    return out.select("doc_id", F.size("__ids").cast("long").alias("n_ids"),
+                      F.size(F.filter("__ids", lambda i: i.between(3, 258))).cast("long").alias("n_byte_ids"),
+                      F.sha2(F.array_join(F.col("__ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      (F.col("__text") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
 }
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, small_batches, utf8, written
@@ -173,13 +173,15 @@ def keep_first_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     """``docs`` with one document of each near-duplicate group: the least doc_id.
 
     All columns stay.  Of repeated rows of one doc_id one stays; rows without
-    an id can't be named by a group and stay.
+    an id can't be named by a group and stay.  Only ids are shuffled, and the
+    rows of repeated ids.
     """
-    from pyspark.sql import Window
-
-    kept = written(near_duplicates(docs, words=words).where("doc_id = component_id")
-                   .select(F.col("doc_id").alias("__kept")).distinct())
-    rest = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    rest = rest.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth")
-    return rest.unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = written(near_duplicates(docs, words=words).where(F.col("doc_id").isNotNull()))
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    twice = written(groups.groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"))
+    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    on_twice = kept["doc_id"] == twice["__twice"]
+    nth = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    first = kept.join(twice, on_twice, "left_semi").withColumn("__nth", F.row_number().over(nth)) \
+        .where("__nth = 1").select(*docs.columns)
+    return kept.join(twice, on_twice, "left_anti").unionByName(first)
