@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, sentencepiece_unigram, simhash_dedup, toxicity
+from . import (decontaminate, line_dedup, sentencepiece_unigram, simhash_dedup, topk_search, toxicity,
+               url_filter)
 from .common import table
 
 
@@ -16,6 +17,31 @@ def op1_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, d, "documents"))
 
 
+# ---- fixed values: the rules that the contract names, and the spam host labels
+# whose pages make up the block list of the query ----
+URL_RULES = [
+    url_filter.Rule("allow", "org"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+LISTED_LABELS = "(^|[.])(casino-win|free-bets|ads-track|cheap-pills|spam-farm)[.]"
+# -------------------------------------------------------------------------------
+
+
+def op2_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The block list: canonical URLs of pages on hosts with a listed label."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    host, path = url_filter.host_and_path(F.col("url"))
+    listed = pages.where(host.rlike(LISTED_LABELS)).select(url_filter.canonical(host, path).alias("url"))
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
+def op3_topk_search(spark: SparkSession, d: str) -> DataFrame:
+    return topk_search.search(table(spark, d, "embeddings"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, contaminated, item_ids, similarity) for every document."""
     docs = table(spark, d, "documents")
@@ -52,13 +78,54 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_topk_search": op3_topk_search,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
+    "op2_url_filter": r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+parts AS (
+  SELECT page_id, coalesce(""" + _LOWER.format("regexp_extract(r, '^([^/?#]*)', 1, 's')") + r""", '') AS host,
+         coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM rest),
+canon AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') ||
+         regexp_replace(regexp_replace(path, '(/index)?[.]html?$', ''), '/+$', '') END AS url FROM parts),
+listing AS (
+  SELECT DISTINCT url FROM canon
+  WHERE regexp_matches(host, '(^|[.])(casino-win|free-bets|ads-track|cheap-pills|spam-farm)[.]')),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM canon)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN url IN (SELECT url FROM listing WHERE url IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict,
+       (rule IS NULL AND coalesce(url IN (SELECT url FROM listing WHERE url IS NOT NULL), false)) AS listed
+FROM ruled
+""",
+    "op3_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
     # A-Z only: translate() leaves all other letters alone.  The line's ends
     # are stripped of ASCII white space (U+0020, U+0009 to U+000D).
     "op5_line_dedup": r"""

@@ -27,9 +27,9 @@ from .common import crc32_bucket, map_batches, small_batches, written
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 16_384      # bound of the labelled rows that the fit reads
-MAX_FEATURES = 8_192      # n-grams kept, by the z-score of their log-count ratio
+MAX_FEATURES = 8_192      # n-grams kept: those that speak for toxicity, by the z-score of r
 MIN_Z = 3.0
-ROUNDS, RATE, RIDGE = 80, 0.1, 1e-4
+ROUNDS, RATE, RIDGE = 80, 0.1, 1e-3
 THRESHOLD = 0.3
 _FIT_TASKS = 8            # tasks over the bounded sample
 
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         return none
     neg, pos = counts + 1.0
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    z = np.abs(ratio) / np.sqrt(1.0 / pos + 1.0 / neg)
+    z = ratio / np.sqrt(1.0 / pos + 1.0 / neg)
     z[counts.sum(axis=0) < 3] = 0
     top = np.argsort(-z, kind="stable")[:MAX_FEATURES]
     top = np.sort(top[z[top] >= MIN_Z])
