@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, line_dedup, sentencepiece_unigram, simhash_dedup, topk_search, toxicity,
-               url_filter)
+from . import (decontaminate, language_id, line_dedup, sentencepiece_unigram, simhash_dedup, topk_search,
+               toxicity, url_filter)
 from .common import table
 
 
@@ -76,6 +76,10 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.identify(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
