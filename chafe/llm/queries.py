@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language_id, line_dedup, sentencepiece_unigram, simhash_dedup, topk_search,
-               toxicity, url_filter)
-from .common import table
+from . import (decontaminate, language_id, line_dedup, secret_scan, sentencepiece_unigram, simhash_dedup, token_files,
+               topk_search, toxicity, url_filter)
+from .common import scratch, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +60,13 @@ def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_token_files(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
+    shards = token_files.write_shards(table(spark, d, "documents"), folder,
+                                      public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_shards(shards, folder)
+
+
 def op7_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, n_ids, n_byte_ids, ids_sha256, exact): ids of every whole text, and
     whether the text decoded from them equals it."""
@@ -76,6 +84,11 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Owner: the source.  Repository: a source's documents of one language."""
+    return secret_scan.scan(table(spark, d, "documents"))
+
+
 def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language_id.identify(table(spark, d, "documents"))
 
@@ -86,8 +99,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk_search": op3_topk_search,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_files": op6_token_files,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
 
@@ -152,5 +167,42 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    # positions: lengths of the gaps and matches in front, added up
+    "op9_secret_scan": r"""
+WITH pat(kind, k, re, g, least) AS (VALUES
+  ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 18),
+  ('hex', 2, '[0-9a-f]+', 0, 16),
+  ('owned', 3, '[A-Za-z0-9+/_-]+', 0, 20)),
+d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
+base_m AS (
+  SELECT doc_id, owner, repo, kind, k, least, string_split_regex(t, re) AS gaps,
+         regexp_extract_all(t, re, 0) AS w, CASE WHEN g = 2 THEN regexp_extract_all(t, re, 2) ELSE regexp_extract_all(t, re, 0) END AS v
+  FROM d, pat),
+long AS (
+  SELECT doc_id, owner, repo, kind, k, least, unnest(gaps[1:len(w)]) AS gap, unnest(w) AS whole, unnest(v) AS val,
+         generate_subscripts(w, 1) AS nth
+  FROM base_m WHERE len(w) > 0 AND len(list_filter(v, lambda x: length(x) >= least)) > 0),
+placed AS (
+  SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, k ORDER BY nth) AS e FROM long),
+found AS (
+  SELECT doc_id, owner, repo, kind, k, e - length(whole) AS s, e, val FROM placed WHERE length(val) >= least),
+cand AS (
+  SELECT * FROM found f WHERE k < 3 OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM found b WHERE b.k < 3 AND b.doc_id = f.doc_id AND b.s < f.e AND b.e > f.s))),
+own AS (SELECT val, count(DISTINCT owner) AS owners FROM cand GROUP BY val),
+judged AS (SELECT cand.*, owners FROM cand JOIN own USING (val)),
+per AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
+         count(*) FILTER (WHERE k = 2) AS n_hex,
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) FILTER (WHERE k < 3) AS base,
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) FILTER (WHERE k < 3 OR owners < 2) AS spans,
+         count(*) FILTER (WHERE k < 3 AND owners < 2) AS n_live, count(*) FILTER (WHERE k < 3 AND owners >= 2) AS n_example
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per USING (doc_id)
 """,
 }
