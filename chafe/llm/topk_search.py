@@ -64,11 +64,17 @@ class SortedLists:
         return lower, upper
 
 
+def _nothing(dtype: np.dtype) -> float | int:
+    """Below every score."""
+    return -np.inf if dtype == np.float64 else np.iinfo(np.int64).min
+
+
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """k-th largest of each row, minus infinity where there are fewer."""
-    if values.shape[1] < k:
-        return np.full(len(values), -np.inf)
-    return -np.partition(-values, k - 1, axis=1)[:, k - 1]
+    """k-th largest of each row, below every score where there are fewer."""
+    n = values.shape[1]
+    if n < k:
+        return np.full(len(values), _nothing(values.dtype), values.dtype)
+    return np.partition(values, n - k, axis=1)[:, n - k]
 
 
 def search_block(lists: SortedLists, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
@@ -76,11 +82,12 @@ def search_block(lists: SortedLists, query_ids: np.ndarray, q: np.ndarray, floor
     raised floor: a score that k vectors other than the query are known to reach."""
     n = len(lists.ids)
     own = query_ids[:, None] == lists.ids[None, :]
-    todo, out = np.arange(len(query_ids)), []
-    for depth in (*ROUNDS, 1.0):
+    todo, out, nothing = np.arange(len(query_ids)), [], _nothing(q.dtype)
+    # integers too large for exact doubles: read through, where bounds are the scores
+    for depth in (*ROUNDS, 1.0) if q.dtype == np.float64 else (1.0,):
         lower, upper = lists.bounds(q[todo], depth)
         mine = own[todo]
-        lower[mine] = upper[mine] = -np.inf
+        lower[mine] = upper[mine] = nothing
         floor[todo] = np.maximum(floor[todo], _kth(lower, k))
         left = upper >= floor[todo, None]
         left[mine] = False
@@ -139,7 +146,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             lists = [SortedLists(ids[i:i + BLOCK_ROWS], x[i:i + BLOCK_ROWS]) for i in range(0, len(ids), BLOCK_ROWS)]
             for a in range(0, len(q), BLOCK_QUERIES):
                 qs, qid = q[a:a + BLOCK_QUERIES], query_ids[a:a + BLOCK_QUERIES]
-                floor = np.full(len(qs), -np.inf)
+                floor = np.full(len(qs), _nothing(q.dtype), q.dtype)
                 found = [[] for _ in qs]
                 for block in lists:
                     for r, at, score in search_block(block, qid, qs, floor, k):
