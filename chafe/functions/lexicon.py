@@ -94,8 +94,12 @@ def is_negative(label) -> Column:
     return col_(label) == F.lit("negative")
 
 
-def keyword_scores(text, keyword_map: Mapping[str, Sequence[str]] = CATEGORY_KEYWORDS) -> Column:
-    low = F.lower(col_(text))
+def _once(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, not inlined at each use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _keyword_scores(low: Column, keyword_map: Mapping[str, Sequence[str]]) -> Column:
     per_cat = []
     for kws in keyword_map.values():
         s = F.lit(0)
@@ -107,12 +111,14 @@ def keyword_scores(text, keyword_map: Mapping[str, Sequence[str]] = CATEGORY_KEY
 
 def keyword_category(text, keyword_map: Mapping[str, Sequence[str]] = CATEGORY_KEYWORDS) -> Column:
     """Category with the most keyword hits; first on ties; 'Other' if none."""
-    sc = keyword_scores(text, keyword_map)
     names = F.array(*[F.lit(k) for k in keyword_map])
-    best = F.array_max(sc)
-    return F.when(F.coalesce(best, F.lit(0)) > 0,
-                  F.try_element_at(names, F.array_position(sc, best).cast("int"))) \
-        .otherwise(F.lit(OTHER_CATEGORY))
+
+    def winner(sc: Column) -> Column:
+        best = F.array_max(sc)
+        return F.when(F.coalesce(best, F.lit(0)) > 0,
+                      F.try_element_at(names, F.array_position(sc, best).cast("int"))) \
+            .otherwise(F.lit(OTHER_CATEGORY))
+    return _once(F.lower(col_(text)), lambda low: _once(_keyword_scores(low, keyword_map), winner))
 
 
 def assign_category(negative, category) -> Column:

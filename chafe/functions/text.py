@@ -48,8 +48,9 @@ def parse_ts(c) -> Column:
 
 
 def as_ts(c) -> Column:
-    """Timestamp-typed input (incl. timestamp_ntz) to session-zone timestamp."""
-    return col_(c).cast("timestamp")
+    """Timestamps (incl. timestamp_ntz) and ISO strings to session-zone timestamps;
+    a string that is no timestamp becomes null instead of ending the job."""
+    return col_(c).try_cast("timestamp")
 
 
 def duration_s(start, end) -> Column:

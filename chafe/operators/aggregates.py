@@ -2,8 +2,9 @@
 
 Every operator is a declarative aggregate: partial aggregation runs map-side,
 so a hot group (one agent with a third of all rows) is combined before the
-shuffle.  Totals for shares come from scalar subqueries (one tiny job, no
-cross join); wide matrices pivot over an explicit, size-checked value list.
+shuffle.  Totals for shares are scalar subqueries over the written count table.
+Matrices are long by default (both keys stay row keys, nulls included); a wide
+view is made only for column values that the caller names.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import friction_band, OUTCOME_BANDS
-
-MAX_PIVOT_VALUES = 1000
+from ..session import cut_lineage
 
 
 def _list(x) -> list[str]:
@@ -24,22 +24,6 @@ def _list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def distinct_values(df: DataFrame, c: str, limit: int = MAX_PIVOT_VALUES) -> list:
-    """Sorted distinct non-null values of a low-cardinality column.
-
-    Bounded: fails instead of pulling an unbounded list to the driver."""
-    rows = (df.select(c).where(F.col(c).isNotNull()).distinct()
-              .orderBy(c).limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(f"{c} has more than {limit} distinct values")
-    return [r[0] for r in rows]
-
-
-def total_of(df: DataFrame, expr: Column = None) -> Column:
-    """Scalar-subquery column holding one aggregate over ``df``."""
-    return df.select(expr if expr is not None else F.count(F.lit(1))).scalar()
-
-
 # ---- A1 / A7 ------------------------------------------------------------------
 def group_summary(df: DataFrame, by, value: str = "friction_score",
                   names=("mean", "count", "std"), digits: int | None = None) -> DataFrame:
@@ -65,18 +49,17 @@ def category_stats(df: DataFrame, category: str = "friction_category",
 
 # ---- A2 / A3 / A8 -------------------------------------------------------------
 def value_counts(df: DataFrame, c: str, top: int | None = None) -> DataFrame:
-    """A2: counts per value, most frequent first (ties by value)."""
-    out = df.groupBy(c).agg(F.count(F.lit(1)).alias("count")) \
+    """A2: counts per non-null value, most frequent first (ties by value)."""
+    out = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("count")) \
         .orderBy(F.desc("count"), F.asc(c))
     return out.limit(top) if top else out
 
 
 def shares(df: DataFrame, c: str) -> DataFrame:
     """A3: count and percentage of all rows per value."""
-    # the total is summed over the (small) count table, not a second scan
-    counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("pct", F.lit(100.0) * F.col("count")
-                             / F.sum("count").over(Window.partitionBy()))
+    # the total is summed over the written count table, not a second scan
+    counts = cut_lineage(df.groupBy(c).agg(F.count(F.lit(1)).alias("count")))
+    return counts.withColumn("pct", F.lit(100.0) * F.col("count") / counts.agg(F.sum("count")).scalar())
 
 
 def category_counts(df: DataFrame, category: str = "friction_category") -> DataFrame:
@@ -125,35 +108,25 @@ def count_long(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def count_matrix(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:
-    """Row x column count matrix, zero filled.  One shuffle: the
-    pivot is written as conditional counts over an explicit value list."""
-    long = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"))
+    """Row x column counts.  Long (row, column, n) with null keys kept; with
+    ``values`` a zero-filled wide view of those column values."""
+    long = count_long(df, row, column)
     if values is None:
-        # the (row, column) table is small: write it once, read the
-        # column values from it, then pivot it
-        from ..session import cut_lineage
-        long = cut_lineage(long)
-        values = distinct_values(long, column)
-    aggs = [F.coalesce(F.sum(F.when(F.col(column) == F.lit(v), F.col("_n"))), F.lit(0)).cast("long")
-            .alias(str(v)) for v in values]
-    return long.groupBy(row).agg(*aggs)
+        return long
+    return long.groupBy(row).agg(*[
+        F.coalesce(F.sum(F.when(F.col(column) == F.lit(v), F.col("n"))), F.lit(0)).cast("long").alias(str(v))
+        for v in values])
 
 
 def mean_matrix(df: DataFrame, row: str, column: str, value: str = "friction_score",
                 values: Sequence | None = None, diff: tuple | None = None) -> DataFrame:
-    """Row x column mean matrix; empty cells stay null.  ``diff``
-    adds ``a - b`` of two column values (e.g. comment minus review)."""
+    """Row x column means.  Long (row, column, mean, count) with null keys
+    kept; with ``values`` a wide view, empty cells null.  ``diff`` adds ``a - b`` of
+    two named column values (e.g. comment minus review)."""
     if values is None:
-        from ..session import cut_lineage
-        long = cut_lineage(df.groupBy(row, column).agg(F.sum(value).alias("_s"),
-                                                       F.count(value).alias("_c")))
-        values = distinct_values(long, column)
-        aggs = [(F.sum(F.when(F.col(column) == F.lit(v), F.col("_s")))
-                 / F.sum(F.when(F.col(column) == F.lit(v), F.col("_c")))).alias(str(v)) for v in values]
-        out = long.groupBy(row).agg(*aggs)
-    else:
-        aggs = [F.avg(F.when(F.col(column) == F.lit(v), F.col(value))).alias(str(v)) for v in values]
-        out = df.groupBy(row).agg(*aggs)
+        return df.groupBy(row, column).agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
+    out = df.groupBy(row).agg(*[F.avg(F.when(F.col(column) == F.lit(v), F.col(value))).alias(str(v))
+                                for v in values])
     if diff:
         a, b = diff
         out = out.withColumn(f"{a}_minus_{b}", F.col(str(a)) - F.col(str(b)))
@@ -205,20 +178,24 @@ def label_counts(df: DataFrame, by: str, label: str = "sentiment_label") -> Data
     return df.groupBy(label, by).agg(F.count(F.lit(1)).alias("count"))
 
 
+def known_type(c: str) -> Column:
+    """Rows without a task type say nothing about types."""
+    return F.col(c) != F.lit("unknown")
+
+
 # ---- A20 / A21 ----------------------------------------------------------------
 def negative_rate(df: DataFrame, by: str = "pr_type", negative: str = "is_negative") -> DataFrame:
     """Negative rate per group next to the overall rate."""
     neg = F.col(negative).cast("int")
-    g = df.groupBy(by).agg(F.sum(neg).alias("_k"), F.count(neg).alias("_n"))
-    whole = Window.partitionBy()
-    return g.select(by, (F.col("_k") / F.col("_n")).alias("negative_rate"),
-                    (F.sum("_k").over(whole) / F.sum("_n").over(whole)).alias("overall_rate"))
+    g = cut_lineage(df.where(known_type(by)).groupBy(by).agg(F.sum(neg).alias("_k"), F.count(neg).alias("_n")))
+    whole = g.agg(F.sum("_k") / F.sum("_n")).scalar()
+    return g.select(by, (F.col("_k") / F.col("_n")).alias("negative_rate"), whole.alias("overall_rate"))
 
 
 def pr_type_stats(df: DataFrame, by: str = "pr_type", value: str = "friction_score",
                   negative: str = "is_negative") -> DataFrame:
-    """Mean, std, count, negative rate per type, rounded to 4."""
-    return df.groupBy(by).agg(
+    """Mean, std, count, negative rate per known type, rounded to 4."""
+    return df.where(known_type(by)).groupBy(by).agg(
         F.round(F.avg(value), 4).alias("mean_friction"),
         F.round(F.stddev_samp(value), 4).alias("std_friction"),
         F.count(value).alias("count"),
@@ -243,7 +220,6 @@ def band_outcomes(pr: DataFrame, score: str = "friction_score", hours: str = "ti
     """Per friction band: median hours, median items, merge rate, n.
     Medians are exact and distributed (no band is gathered in one task)."""
     from .ranks import exact_quantiles
-    from ..session import cut_lineage
     b = cut_lineage(pr.withColumn("band", friction_band(score, cuts)).where(F.col("band").isNotNull()))
     base = b.groupBy("band").agg(F.avg(F.col(merged).cast("double")).alias("merge_rate"),
                                  F.count(F.lit(1)).alias("n"))
@@ -256,7 +232,6 @@ def quartile_contrast(pr: DataFrame, score: str = "friction_score",
                       items: str = "comment_count") -> DataFrame:
     """Top vs bottom friction quartile: median/mean items and counts.
     Cut points are exact quantiles of the score (scalar subqueries)."""
-    from ..session import cut_lineage
     from .ranks import exact_quantiles
     pr = cut_lineage(pr)
     q = exact_quantiles(pr, score, [0.25, 0.75], names=["lo", "hi"])

@@ -8,25 +8,31 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, group_side
 from .ranks import quantiles_from_ranks, rank_table
 
 
-def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
+def _keys(by) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def box_stats(df: DataFrame, by, value: str) -> DataFrame:
     """q1, median, q3 (exact, linear), whiskers at the furthest datum
-    within 1.5 IQR, and the outlier count, per group.
+    within 1.5 IQR, and the outlier count, per group (one or more columns).
 
     Everything comes from the distributed distinct-value rank table (one
     row per group and value, checkpointed): no group is gathered in one
     task and the facts are scanned once."""
-    d = df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
-    rt = rank_table(d, value, by=[by])
-    q = quantiles_from_ranks(rt, value, [0.25, 0.5, 0.75], by=[by], names=["q1", "median", "q3"])
-    j = rt.join(q, by)
+    by = _keys(by)
+    d = df.where(F.col(value).isNotNull()).dropna(subset=by)
+    rt = rank_table(d, value, by=by)
+    q = quantiles_from_ranks(rt, value, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
+    j = rt.join(group_side(q), by)
     iqr = F.col("q3") - F.col("q1")
     lo_fence = F.col("q1") - 1.5 * iqr
     hi_fence = F.col("q3") + 1.5 * iqr
     v = F.col(value)
-    return j.groupBy(by).agg(
+    return j.groupBy(*by).agg(
         F.max("n").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"),
         F.max("q3").alias("q3"),
         F.min(F.when(v >= lo_fence, v)).alias("whisker_low"),
@@ -35,44 +41,49 @@ def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
          .alias("n_outliers"))
 
 
-def histogram(df: DataFrame, by: str, value: str, bins: int = 30) -> DataFrame:
-    """``bins`` equal-width bins over each group's own [min, max], last
-    bin closed; a constant group uses [v - 0.5, v + 0.5]."""
-    d = df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
-    rng = d.groupBy(by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    rng = rng.select(by,
-                     F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
-                     F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"))
-    j = d.join(rng, by)
-    w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    b = F.least(F.floor((F.col(value) - F.col("lo")) / w), F.lit(bins - 1)).cast("int")
-    return (j.groupBy(by, b.alias("bin"))
-             .agg(F.count(F.lit(1)).alias("n"),
-                  F.max("lo").alias("_lo"),
-                  F.max("hi").alias("_hi"))
-             .select(by, "bin", "n",
-                     (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))).alias("bin_lo"),
-                     (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))).alias("bin_hi")))
+def histogram(df: DataFrame, by, value: str, bins: int = 30) -> DataFrame:
+    """``bins`` equal-width bins over each group's own [min, max], empty ones
+    included, last bin closed; a constant group uses [v - 0.5, v + 0.5]."""
+    by = _keys(by)
+    d = df.where(F.col(value).isNotNull()).dropna(subset=by).select(*by, value)
+    rng = d.groupBy(*by).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    one = F.col("_mn") == F.col("_mx")
+    rng = group_side(rng.select(*by, F.when(one, F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
+                                F.when(one, F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi")))
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    b = F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    counts = d.join(rng, by).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    lo, span = F.col("lo"), F.col("hi") - F.col("lo")
+    return every.join(counts, [*by, "bin"], "left").select(
+        *by, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        (lo + F.col("bin") * span / F.lit(float(bins))).alias("bin_lo"),
+        (lo + (F.col("bin") + 1) * span / F.lit(float(bins))).alias("bin_hi"))
 
 
-def density(df: DataFrame, by: str, value: str, points: int = 100) -> DataFrame:
+def density(df: DataFrame, by, value: str, points: int = 100) -> DataFrame:
     """D3: Gaussian kernel density on ``points`` grid values from each
     group's min to max, Scott bandwidth ``h = std * n^(-1/5)``.
 
-    Exact: each distinct value (with its count) adds its kernel to every
-    grid point; partial aggregation folds the grid contributions map-side,
-    so the work is linear in the data (distinct values x points)."""
-    d = df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
-    st = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"),
-                           F.min(value).alias("lo"), F.max(value).alias("hi"))
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    vals = d.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    j = vals.join(st.where(F.col("h") > 0), by)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    g = j.select(by, value, "c", "n", "h", "lo", "hi", grid)
-    x = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / F.lit(float(points - 1))
-    z = (x - F.col(value)) / F.col("h")
-    k = F.col("c") * F.exp(-0.5 * z * z)
+    Exact: each distinct value (with its count) adds its kernel to every grid
+    point, as ``points`` sums of one map-side combined aggregate."""
+    by = _keys(by)
+    d = df.where(F.col(value).isNotNull()).dropna(subset=by)
+    vals = cut_lineage(d.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")))
+    n, c, v = F.sum("c"), F.col("c"), F.col(value).cast("double")
+    mean = F.sum(c * v) / n
+    st = vals.groupBy(*by).agg(n.alias("n"), mean.alias("m"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    st = group_side(st)
+    dev = vals.join(st, by).groupBy(*by).agg(F.sum(c * F.pow(v - F.col("m"), 2)).alias("ss"))
+    st = st.join(dev, by).withColumn("sd", F.sqrt(F.col("ss") / (F.col("n") - 1)))
+    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))) \
+        .where(F.col("h") > 0).select(*by, "n", "h", "lo", "hi")
+    st = group_side(st)
+    step = (F.col("hi") - F.col("lo")) / F.lit(float(points - 1))
+    sums = [F.sum(c * F.exp(-0.5 * F.pow((F.col("lo") + F.lit(p) * step - v) / F.col("h"), 2))).alias(f"k{p}")
+            for p in range(points)]
+    total = vals.join(st, by).groupBy(*by).agg(*sums)
+    grid = F.posexplode(F.array(*[F.col(f"k{p}") for p in range(points)])).alias("point", "k")
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi))
-    return (g.groupBy(by, "point")
-             .agg(F.max(x).alias("x"), F.sum(k / norm).alias("density")))
+    return total.select(*by, grid).join(st, by).select(
+        *by, "point", (F.col("lo") + F.col("point") * step).alias("x"), (F.col("k") / norm).alias("density"))

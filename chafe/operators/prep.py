@@ -17,6 +17,8 @@ from ..functions.text import (clean_text, duration_s, is_bot, keep_duration, lon
 
 ITEM_COLUMNS = ["id_pr", "item_id", "source", "clean_body", "agent", "pr_type", "created_at",
                 "closed_at", "merged_at", "state", "item_created_at"]
+SCORE_COLUMNS = ["friction_score", "sentiment_label", "is_negative", "friction_category"]
+TEXT_COLUMNS = ["body", "clean_body", *SCORE_COLUMNS]
 
 
 def drop_quick_close(prs: DataFrame, min_seconds: float = 60.0,
@@ -29,7 +31,7 @@ def drop_quick_close(prs: DataFrame, min_seconds: float = 60.0,
 def with_task_type(prs: DataFrame, tt: DataFrame, default: str = "unknown") -> DataFrame:
     """Left join of task types on id; missing -> 'unknown'.  Duplicate
     ids in ``tt`` multiply rows, as a keyed left join does."""
-    t = tt.select("id", "type", "confidence")
+    t = tt.select("id", "type", *[c for c in ("confidence",) if c in tt.columns])
     return prs.join(t, "id", "left").withColumn("pr_type", F.coalesce(F.col("type"), F.lit(default)))
 
 
@@ -42,6 +44,11 @@ def pr_keys(prs: DataFrame, url: str = "repo_url") -> DataFrame:
     return prs.withColumn("repo_path", repo_from_url(url))
 
 
+def _text_columns(items: DataFrame) -> list[str]:
+    """The raw body, or what was derived from it once per text."""
+    return [c for c in TEXT_COLUMNS if c in items.columns]
+
+
 def _pr_side(prs: DataFrame) -> DataFrame:
     cols = ["id", "number", "repo_path", "agent", "pr_type", "created_at", "closed_at",
             "merged_at", "state"]
@@ -53,7 +60,7 @@ def join_comments(comments: DataFrame, prs: DataFrame) -> DataFrame:
     """Inner join on (owner/repo, number); null keys never match.
     Item columns are renamed up front instead of suffixing collisions."""
     c = comment_keys(comments).select(
-        F.col("id").alias("item_id"), F.col("body"), F.col("user"), F.col("user_type"),
+        F.col("id").alias("item_id"), "user", "user_type", *_text_columns(comments),
         F.col("repo_path").alias("c_repo"), F.col("pr_number"),
         F.col("created_at").alias("item_created_at"))
     p = _pr_side(pr_keys(prs))
@@ -64,7 +71,7 @@ def join_comments(comments: DataFrame, prs: DataFrame) -> DataFrame:
 
 def join_reviews(reviews: DataFrame, prs: DataFrame) -> DataFrame:
     """Inner join reviews.pr_id = prs.id."""
-    r = reviews.select(F.col("id").alias("item_id"), "pr_id", "body", "user", "user_type",
+    r = reviews.select(F.col("id").alias("item_id"), "pr_id", "user", "user_type", *_text_columns(reviews),
                        (F.col("submitted_at") if "submitted_at" in reviews.columns
                         else F.lit(None).cast("timestamp")).alias("item_created_at"))
     p = _pr_side(prs).withColumnRenamed("pr_id", "pid")
@@ -79,7 +86,9 @@ def drop_bots(items: DataFrame, user: str = "user", user_type: str | None = "use
 
 
 def clean_and_filter(items: DataFrame, body: str = "body", out: str = "clean_body") -> DataFrame:
-    """P11/P12."""
+    """P11/P12.  Texts that were cleaned before (once per text) stay as they are."""
+    if out in items.columns:
+        return items
     return items.withColumn(out, clean_text(body)).where(long_enough(out))
 
 
@@ -96,14 +105,15 @@ def project_items(df: DataFrame) -> DataFrame:
     d = df.withColumn("agent", F.coalesce(F.col("agent"), F.lit("Unknown_AI")))
     if "pr_type" not in d.columns:
         d = d.withColumn("pr_type", F.lit("unknown"))
-    return d.select(*[c for c in ITEM_COLUMNS if c in d.columns])
+    return d.select(*[c for c in ITEM_COLUMNS + SCORE_COLUMNS if c in d.columns])
 
 
 def build_review_items(prs: DataFrame, comments: DataFrame, reviews: DataFrame,
                        task_types: DataFrame, min_seconds: float = 60.0) -> DataFrame:
     """Entry 2 of the reference: raw tables -> unified review items."""
     p = with_task_type(drop_quick_close(prs, min_seconds), task_types)
-    mc = clean_and_filter(drop_bots(join_comments(comments, p)))
+    # the account type marks bots among reviewers only
+    mc = clean_and_filter(drop_bots(join_comments(comments, p), user_type=None))
     mr = clean_and_filter(drop_bots(join_reviews(reviews, p)))
     return combine(project_items(mc), project_items(mr))
 

@@ -3,16 +3,14 @@
 ``Window.orderBy(v)`` without a partition key pulls every row into one task.
 Instead ranks are computed on the table of *distinct* values:
 
-1. ``groupBy(by, v)`` with per-group conditional counts.  Partial
-   aggregation runs map-side, so a value held by a third of all rows (a
+1. ``groupBy(by, v)`` with counts.  Partial aggregation runs map-side, so a value held by a third of all rows (a
    friction of exactly 0, say) collapses to one row before the shuffle.
 2. ``repartitionByRange(n, by, v)`` gives each partition a contiguous value
    range.  The partition id is stored and the table is checkpointed to the
    shared checkpoint folder: the sampled boundaries and ids stay fixed if an
    executor is lost and a stage re-runs.
 3. Per-partition totals (at most n + #by rows) -> running offsets with a
-   window over that tiny table -> joined back (broadcast when ``by`` is
-   empty, since the table then has at most n rows).
+   window over that tiny table -> joined back (broadcast, its size checked).
 4. Inside each partition a running sum over the sorted values, plus the
    partition offset, is the number of smaller values.  The average rank of a
    value with t copies is ``below + (t + 1) / 2``.
@@ -22,62 +20,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage, group_side, shuffle_partitions
 
 
-def _cond_count(group: str, g) -> Column:
-    return F.count(F.when(F.col(group) == F.lit(g), 1))
+def ranged(df: DataFrame, keys: Sequence[str], n_parts: int | None = None) -> DataFrame:
+    """``df`` in contiguous key ranges, the range's number in ``_pid``; written, so
+    that the sampled boundaries stay fixed when a stage runs again."""
+    n = n_parts or max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
 
 
-def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), group: str | None = None,
-               groups: Sequence | None = None, weight: str | None = None,
+def rank_table(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None,
                n_parts: int | None = None) -> DataFrame:
     """Distinct-value rank table.
 
-    Columns: ``by...``, ``value``, ``t`` (rows holding the value), ``c0..``
-    (per listed group), ``below_t`` / ``below_c0..`` (rows with a smaller
-    value inside the same ``by`` key) and ``avg_rank``.
+    Columns: ``by...``, ``value``, ``t`` (rows holding the value), ``below_t``
+    (rows with a smaller value inside the same ``by`` key) and ``avg_rank``.
     ``weight`` names a count column when the input is already aggregated.
     """
     by = list(by)
-    groups = list(groups or [])
-    v = F.col(value)
-    base = df.where(v.isNotNull())
     cnt = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
-    aggs = [cnt.alias("t")]
-    names = ["t"]
-    if group is not None:
-        for i, g in enumerate(groups):
-            c = (F.sum(F.when(F.col(group) == F.lit(g), F.col(weight)).otherwise(0)).cast("long")
-                 if weight else _cond_count(group, g))
-            aggs.append(c.alias(f"c{i}"))
-            names.append(f"c{i}")
-    counts = base.groupBy(*by, value).agg(*aggs)
-
-    sc = df.sparkSession.sparkContext
-    n = n_parts or max(shuffle_partitions(df.sparkSession), sc.defaultParallelism)
-    ranged = counts.repartitionByRange(n, *[F.col(b) for b in by], v) \
-        .withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-
-    totals = ranged.groupBy(*by, "_pid").agg(*[F.sum(c).alias(c) for c in names])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(cnt.alias("t"))
+    parts = ranged(counts, [*by, value], n_parts)
+    totals = parts.groupBy(*by, "_pid").agg(F.sum("t").alias("_n"))
     wo = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_pid",
-                            *[F.coalesce(F.sum(c).over(wo), F.lit(0)).cast("long").alias(f"o_{c}")
-                              for c in names])
-    if not by:
-        offsets = F.broadcast(offsets)  # at most n rows
-    joined = ranged.join(offsets, on=[*by, "_pid"], how="inner")
-
-    wi = Window.partitionBy(*by, "_pid").orderBy(value) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    below = [(F.col(f"o_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0))).cast("long")
-             .alias(f"below_{c}") for c in names]
-    out = joined.select(*by, value, *names, *below)
+    offsets = totals.select(*by, "_pid", F.coalesce(F.sum("_n").over(wo), F.lit(0)).cast("long").alias("_before"))
+    # without ``by`` at most one row per range; otherwise checked
+    offsets = group_side(offsets) if by else F.broadcast(offsets)
+    wi = Window.partitionBy(*by, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(offsets, on=[*by, "_pid"]).select(
+        *by, value, "t", (F.col("_before") + F.coalesce(F.sum("t").over(wi), F.lit(0))).cast("long").alias("below_t"))
     return out.withColumn("avg_rank",
                           F.col("below_t").cast("double") + (F.col("t").cast("double") + 1.0) / 2.0)
 
@@ -105,7 +81,7 @@ def quantiles_from_ranks(rt: DataFrame, value: str, qs: Sequence[float],
     by = list(by)
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
     n = rt.groupBy(*by).agg(F.sum("t").alias("_n"))
-    rt = rt.join(n, on=by, how="inner") if by else rt.withColumn("_n", n.scalar())
+    rt = rt.join(group_side(n), on=by, how="inner") if by else rt.withColumn("_n", n.scalar())
     lo_hi = []
     for i, q in enumerate(qs):
         h = F.lit(float(q)) * (F.col("_n") - 1).cast("double")

@@ -63,6 +63,27 @@ def make_keyword_classifier(keyword_map=CATEGORY_KEYWORDS, labels=None) -> Calla
     return make
 
 
+def unlabelled_on_error(make_predict_fn: Callable) -> Callable:
+    """U8: a batch that the predictor fails on is tried text by text, and a text that
+    it still fails on gets -1 (no label)."""
+    def make():
+        predict = make_predict_fn()
+
+        def careful(texts: np.ndarray) -> np.ndarray:
+            try:
+                return predict(texts)
+            except Exception:  # noqa: BLE001 - any failure of a user's model
+                out = np.full(len(texts), -1, dtype=np.int32)
+                for i in range(len(texts)):
+                    try:
+                        out[i] = predict(texts[i:i + 1])[0]
+                    except Exception:  # noqa: BLE001
+                        pass
+                return out
+        return careful
+    return make
+
+
 def score_sentiment(df: DataFrame, text: str, make_predict_fn: Callable | None = None,
                     labels: Sequence[str] = SENTIMENT_LABELS, batch_size: int = 32) -> DataFrame:
     """Probabilities from a batch model -> friction, label, flag."""
@@ -77,14 +98,17 @@ def score_sentiment(df: DataFrame, text: str, make_predict_fn: Callable | None =
 
 def classify(df: DataFrame, text: str, labels: Sequence[str] | None = None,
              make_predict_fn: Callable | None = None, batch_size: int = 8,
-             fallback: bool = True, max_chars: int = 1000, out: str = "friction_category") -> DataFrame:
-    """Single-label classification of (truncated) text by a batch
-    model returning a label index; rows the model leaves unlabelled (-1 or
-    null) fall back to the keyword rule."""
+             fallback: bool = True, max_chars: int | None = None, out: str = "friction_category") -> DataFrame:
+    """Single-label classification of text by a batch model returning a
+    label index; rows the model leaves unlabelled (-1 or null) or fails on fall
+    back to the keyword rule.  ``max_chars`` (P20) cuts texts for models with a
+    short input; by default they are read whole."""
     labels = list(labels or CATEGORY_KEYWORDS)
-    fn = predict_batch_udf(make_predict_fn or make_keyword_classifier(labels=labels),
+    fn = predict_batch_udf(unlabelled_on_error(make_predict_fn or make_keyword_classifier(labels=labels)),
                            return_type=T.IntegerType(), batch_size=batch_size)
-    short = F.substring(F.coalesce(col_(text), F.lit("")), 1, max_chars)
+    short = F.coalesce(col_(text), F.lit(""))
+    if max_chars is not None:
+        short = F.substring(short, 1, max_chars)
     idx = fn(short)
     names = F.array(*[F.lit(x) for x in labels])
     model = F.when(idx >= 0, F.try_element_at(names, (idx + 1).cast("int")))

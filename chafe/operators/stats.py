@@ -9,19 +9,17 @@ All p-values are asymptotic (``method`` column says so).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf_udf, corr_p_udf, norm_two_sided_udf
-from .aggregates import distinct_values
-from ..session import cut_lineage
-from .ranks import rank_table
+from ..session import cut_lineage, group_side, shuffle_partitions
+from .ranks import rank_table, ranged
 
 ALPHA = 0.05
-PAIR_SCHEMA = ("pair string, group_a string, group_b string, n_a bigint, n_b bigint, "
-               "statistic double, p_value double, significant boolean, method string")
 
 
 def _sig(p: Column) -> Column:
@@ -33,45 +31,39 @@ def _d(c) -> Column:
 
 
 # ---- X1 / X4: Kruskal-Wallis ----------------------------------------------------
-def grouped_counts(df: DataFrame, by: str, value: str, groups: Sequence | None = None):
-    """(value, group, w) counts, written once; the group list is read from
-    this small table instead of a second pass over the facts."""
-    long = cut_lineage(df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
+def grouped_counts(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(value, group, w) counts, written once."""
+    return cut_lineage(df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
                        .groupBy(value, by).agg(F.count(F.lit(1)).alias("w")))
-    return long, (list(groups) if groups is not None else distinct_values(long, by))
-
-
-def kruskal_parts(df: DataFrame, by: str, value: str, groups: Sequence | None = None) -> DataFrame:
-    """One row: N, k, H (tie corrected) and the group minimum size."""
-    long, groups = grouped_counts(df, by, value, groups)
-    if not groups:  # empty input: no statistic
-        return df.sparkSession.createDataFrame(
-            [(0, 0, None, None)], "n bigint, k int, statistic double, min_group_n bigint")
-    rt = rank_table(long, value, group=by, groups=groups, weight="w")
-    k = len(groups)
-    aggs = [F.sum("t").alias("N"),
-            F.sum(_d("t") * _d("t") * _d("t") - _d("t")).alias("T")]
-    for i in range(k):
-        aggs += [F.sum(F.col(f"c{i}")).alias(f"n{i}"),
-                 F.sum(_d(f"c{i}") * F.col("avg_rank")).alias(f"R{i}")]
-    a = rt.agg(*aggs)
-    N = _d("N")
-    s = F.lit(0.0)
-    for i in range(k):
-        s = s + F.when(F.col(f"n{i}") > 0, F.col(f"R{i}") * F.col(f"R{i}") / _d(f"n{i}")).otherwise(0.0)
-    h_raw = F.lit(12.0) / (N * (N + 1.0)) * s - F.lit(3.0) * (N + 1.0)
-    h = F.try_divide(h_raw, F.lit(1.0) - F.col("T") / (N * N * N - N))
-    nonempty = sum((F.col(f"n{i}") > 0).cast("int") for i in range(k))
-    min_n = F.least(*[F.col(f"n{i}") for i in range(k)]) if k > 1 else F.col("n0")
-    return a.select(F.col("N").cast("long").alias("n"), nonempty.alias("k"),
-                    h.alias("statistic"), min_n.cast("long").alias("min_group_n"))
-
-
-def kruskal(df: DataFrame, by: str, value: str, groups: Sequence | None = None,
-            test: str | None = None) -> DataFrame:
+
+
+def kruskal_parts(df: DataFrame, by: str, value: str) -> DataFrame:
+    """One row: n, k, H (tie corrected) and the least group size.
+
+    Groups stay row keys, so their number is not limited.  H sums the squared
+    distances of the groups' mean ranks from the middle rank, which does not
+    cancel at large n as the textbook difference does."""
+    long = grouped_counts(df, by, value)
+    rt = cut_lineage(rank_table(long, value, weight="w").select(value, "t", "avg_rank"))
+    # a value has at most one row per group, so no key of this join is hot
+    groups = cut_lineage(long.join(rt, value).groupBy(by)
+                         .agg(F.sum("w").alias("n_g"), F.sum(_d("w") * F.col("avg_rank")).alias("r_g")))
+    total = groups.agg(F.sum("n_g")).scalar()
+    ties = rt.agg(F.sum(_d("t") * _d("t") * _d("t") - _d("t"))).scalar()
+    n = total.cast("double")
+    off = F.col("r_g") / _d("n_g") - (n + 1.0) / 2.0
+    a = groups.agg(F.coalesce(F.sum("n_g"), F.lit(0)).cast("long").alias("n"), F.count(F.lit(1)).cast("int").alias("k"),
+                   F.sum(_d("n_g") * off * off).alias("_s"), F.min("n_g").cast("long").alias("min_group_n"))
+    m = _d("n")
+    h = F.try_divide(F.try_divide(12.0 * F.col("_s"), m * (m + 1.0)),
+                     F.lit(1.0) - F.try_divide(ties, m * m * m - m))
+    return a.select("n", "k", h.alias("statistic"), "min_group_n")
+
+
+def kruskal(df: DataFrame, by: str, value: str, test: str | None = None) -> DataFrame:
     """Kruskal-Wallis H across groups, chi-square p with k-1 dof.  The
     statistic is null unless there are >= 2 groups of >= 2 rows (P25)."""
-    p = kruskal_parts(df, by, value, groups)
+    p = kruskal_parts(df, by, value)
     ok = (F.col("k") >= 2) & (F.col("min_group_n") >= 2)
     out = p.select(F.lit(test or f"kruskal_{by}").alias("test"), "n",
                    (F.col("k") - 1).cast("long").alias("dof"),
@@ -82,30 +74,75 @@ def kruskal(df: DataFrame, by: str, value: str, groups: Sequence | None = None,
 
 
 # ---- X2 / X9: Mann-Whitney U ------------------------------------------------------
-def mann_whitney_pairs(df: DataFrame, by: str, value: str, groups: Sequence | None = None,
-                       min_n: int = 2) -> DataFrame:
+_PAIR_ROWS = 4096     # distinct values that meet all groups at a time
+
+
+def _pair_sums(values: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    """Sums over one range of values, for every pair of groups.
+
+    ``values``: (v, g, w) of the range; ``before``: (name, o), rows of each group in all
+    ranges before.  Per pair: u = sum w_a (below_b + w_b / 2) and
+    m = sum w_a^2 w_b, which the tie term needs.
+    """
+    names = np.array(sorted(set(before["name"])))
+    below = np.zeros(len(names))
+    below[np.searchsorted(names, before["name"])] = before["o"]
+    k = len(names)
+    u, m = np.zeros((k, k)), np.zeros((k, k))
+    if len(values):
+        values = values.sort_values("v", kind="stable")
+        rank = (values["v"] != values["v"].shift()).cumsum().to_numpy() - 1
+        group, w = np.searchsorted(names, values["g"]), values["w"].to_numpy(float)
+        for a in range(0, int(rank[-1]) + 1, _PAIR_ROWS):
+            at = (rank >= a) & (rank < a + _PAIR_ROWS)
+            c = np.zeros((min(_PAIR_ROWS, int(rank[-1]) + 1 - a), k))
+            c[rank[at] - a, group[at]] = w[at]
+            up_to = below + np.cumsum(c, axis=0)
+            u += c.T @ (up_to - c / 2.0)
+            m += (c * c).T @ c
+            below = up_to[-1]
+    u[np.tril_indices(k)] = 0.0          # pairs in sorted order
+    np.fill_diagonal(m, 0.0)
+    i, j = np.nonzero((u != 0) | (m != 0))
+    return pd.DataFrame({"ga": names[i], "gb": names[j], "u": u[i, j], "m": m[i, j]})
+
+
+def mann_whitney_pairs(df: DataFrame, by: str, value: str, min_n: int = 2) -> DataFrame:
     """All group pairs (sorted order), two-sided, tie and continuity corrected.
 
-    ``U_ab = sum_v n_a(v) (n_b(< v) + n_b(v) / 2)`` over the distinct-value
-    table, every pair in one aggregate."""
-    long, groups = grouped_counts(df, by, value, groups)
-    if len(groups) < 2:  # no pair to test
-        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    rt = rank_table(long, value, group=by, groups=groups, weight="w")
-    pairs = list(combinations(range(len(groups)), 2))
-    aggs = [F.sum(f"c{i}").alias(f"n{i}") for i in range(len(groups))]
-    for i, j in pairs:
-        tij = _d(f"c{i}") + _d(f"c{j}")
-        aggs += [F.sum(_d(f"c{i}") * (_d(f"below_c{j}") + _d(f"c{j}") / 2.0)).alias(f"U{i}_{j}"),
-                 F.sum(tij * tij * tij - tij).alias(f"T{i}_{j}")]
-    a = rt.agg(*aggs)
-    rows = [F.struct(F.lit(f"{groups[i]} vs {groups[j]}").alias("pair"),
-                     F.lit(str(groups[i])).alias("group_a"), F.lit(str(groups[j])).alias("group_b"),
-                     F.col(f"n{i}").alias("n_a"), F.col(f"n{j}").alias("n_b"),
-                     F.col(f"U{i}_{j}").alias("statistic"), F.col(f"T{i}_{j}").alias("ties"))
-            for i, j in pairs]
-    long = a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return _mw_p(long, min_n)
+    ``U_ab = sum_v n_a(v) (n_b(< v) + n_b(v) / 2)``.  The value counts are dealt
+    into ranges of values; each range multiplies its values x groups counts,
+    so the work per range is a matrix product and only sums per pair leave it."""
+    n_parts = shuffle_partitions(df.sparkSession)
+    long = grouped_counts(df, by, value).select(_d(value).alias("v"), F.col(by).cast("string").alias("g"), "w")
+    parts = ranged(long, ["v"], n_parts)
+    w = _d("w")
+    groups = cut_lineage(parts.groupBy(F.col("g").alias("name"))
+                         .agg(F.sum("w").alias("n"), F.sum(w * w * w - w).alias("cubes")))
+    # every group's rows in front of every range: ranges x groups rows
+    sizes = parts.groupBy(F.col("_pid").alias("_at"), F.col("g").alias("_g")).agg(F.sum("w").alias("s"))
+    grid = groups.select("name", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("range"))
+    front = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = grid.join(sizes, (F.col("range") == F.col("_at")) & (F.col("name") == F.col("_g")), "left") \
+        .select("range", "name", F.coalesce(F.sum("s").over(front), F.lit(0)).alias("o"))
+    sums = cut_lineage(parts.groupBy("_pid").cogroup(before.groupBy("range"))
+                       .applyInPandas(_pair_sums, "ga string, gb string, u double, m double")
+                       .groupBy("ga", "gb").agg(F.sum("u").alias("u"), F.sum("m").alias("m")))
+    a = groups.select(F.col("name").alias("group_a"), F.col("n").alias("n_a"), F.col("cubes").alias("_ca"))
+    b = groups.select(F.col("name").alias("group_b"), F.col("n").alias("n_b"), F.col("cubes").alias("_cb"))
+    ab = sums.select(F.col("ga").alias("group_a"), F.col("gb").alias("group_b"), "u", F.col("m").alias("_ab"))
+    ba = sums.select(F.col("gb").alias("group_a"), F.col("ga").alias("group_b"), F.col("m").alias("_ba"))
+    zero = F.lit(0.0)
+    pairs = a.join(b, F.col("group_a") < F.col("group_b"))         .join(ab, ["group_a", "group_b"], "left").join(ba, ["group_a", "group_b"], "left")
+    ties = F.col("_ca") + F.col("_cb") + 3.0 * (F.coalesce("_ab", zero) + F.coalesce("_ba", zero))
+    return _mw_p(pairs.select(F.concat_ws(" vs ", "group_a", "group_b").alias("pair"), "group_a", "group_b",
+                              "n_a", "n_b", F.coalesce("u", zero).alias("statistic"), ties.alias("ties")), min_n)
+
+
+def posthoc_pairs(df: DataFrame, by: str, value: str, min_n: int = 2) -> DataFrame:
+    """X2 as the reference runs it: the pairs only if the omnibus test is significant."""
+    ok = kruskal(df, by, value).select(F.coalesce(F.col("significant"), F.lit(False))).scalar()
+    return mann_whitney_pairs(df, by, value, min_n).where(ok)
 
 
 def _mw_p(long: DataFrame, min_n: int) -> DataFrame:
@@ -123,9 +160,14 @@ def _mw_p(long: DataFrame, min_n: int) -> DataFrame:
 
 def mann_whitney(df: DataFrame, flag: Column, value: str, a: str = "Human",
                  b: str = "AI") -> DataFrame:
-    """Two-group test on a derived group (flag true -> ``a``)."""
+    """Two-group test on a derived group (flag true -> ``a``), U of ``a``."""
+    first, second = ("b", "a") if a > b else ("a", "b")
     g = df.withColumn("_grp", F.when(flag, F.lit(a)).otherwise(F.lit(b)))
-    return mann_whitney_pairs(g, "_grp", value, groups=[a, b])
+    r = mann_whitney_pairs(g, "_grp", value)
+    u = F.col("statistic") if first == "a" else F.col("n_a").cast("double") * F.col("n_b") - F.col("statistic")
+    return r.select(F.lit(f"{a} vs {b}").alias("pair"), F.lit(a).alias("group_a"), F.lit(b).alias("group_b"),
+                    F.col(f"n_{first}").alias("n_a"), F.col(f"n_{second}").alias("n_b"), u.alias("statistic"),
+                    "p_value", "significant", "method")
 
 
 # ---- X3: point-biserial ------------------------------------------------------------
@@ -144,8 +186,8 @@ def point_biserial(df: DataFrame, x: str, flag: str, test: str = "pointbiserial"
 
 # ---- X5: chi-square independence ----------------------------------------------------
 def chi2_independence(df: DataFrame, a: str, b: str, test: str | None = None) -> DataFrame:
-    """chi2 = N (sum O^2 / (R C) - 1) over observed cells only (zero cells add
-    nothing), dof = (rows - 1)(cols - 1) over non-empty rows/columns.
+    """chi2 = sum (O - E)^2 / E: over observed cells, plus the E of the empty ones
+    (N minus the observed cells' E), dof = (rows - 1)(cols - 1) over non-empty rows/columns.
 
     One aggregate over the cell table joined to its two marginals (the cell
     aggregation is computed once; Spark reuses its exchange).  Yates'
@@ -157,15 +199,18 @@ def chi2_independence(df: DataFrame, a: str, b: str, test: str | None = None) ->
                         .groupBy(a, b).agg(F.count(F.lit(1)).alias("o")))
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
-    full = cells.join(rows, a).join(cols, b)
+    total = _d("_total")
+    e = _d("r") * _d("c") / total
+    # the empty cells' E: per row, the column totals that it has no cell for
+    full = cells.join(group_side(rows), a).join(group_side(cols), b).withColumn("_total", cells.agg(F.sum("o")).scalar())
     agg = full.agg(F.sum("o").alias("N"),
-                   F.sum(_d("o") * _d("o") / (_d("r") * _d("c"))).alias("_s"),
+                   F.sum(F.pow(_d("o") - e, 2) / e).alias("_s"), F.sum(e).alias("_e"),
                    F.countDistinct(a).alias("_nr"), F.countDistinct(b).alias("_nc"),
                    F.min(F.struct(_d("o").alias("o"), _d("r").alias("r"), _d("c").alias("c"))).alias("_cell"))
     N = _d("N")
     o, r, c = F.col("_cell.o"), F.col("_cell.r"), F.col("_cell.c")
     dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("long")
-    plain = N * (F.col("_s") - 1.0)
+    plain = F.col("_s") + F.greatest(N - F.col("_e"), F.lit(0.0))
     d = F.abs(o - r * c / N)
     yates = F.pow(F.greatest(d - 0.5, F.lit(0.0)), 2) * N * N * N / (r * (N - r) * c * (N - c))
     stat = F.when(dof == 1, yates).otherwise(plain)
@@ -193,8 +238,8 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), test: str |
     rx = rank_table(pairs, x, by=by, weight="w").select(*by, x, F.col("avg_rank").alias("rx"))
     ry = rank_table(pairs, y, by=by, weight="w").select(*by, y, F.col("avg_rank").alias("ry"))
     j = pairs.join(rx, [*by, x]).join(ry, [*by, y])
-    n = j.groupBy(*by).agg(F.sum("w").alias("_n"))
-    j = j.join(n, by) if by else j.withColumn("_n", n.scalar())
+    n = pairs.groupBy(*by).agg(F.sum("w").alias("_n"))
+    j = j.join(group_side(n), by) if by else j.withColumn("_n", n.scalar())
     mid = (_d("_n") + 1.0) / 2.0
     dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, _d("w")
     a = j.groupBy(*by).agg(F.max("_n").alias("n"), F.sum(w * dx * dy).alias("_sxy"),
@@ -210,9 +255,11 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), test: str |
 def days_since_first(df: DataFrame, ts: str, by: Sequence[str], out: str = "time_numeric") -> DataFrame:
     """Whole days since the group's first timestamp."""
     by = list(by)
-    first = df.groupBy(*by).agg(F.min(F.col(ts).cast("timestamp")).alias("_t0"))
-    j = df.join(first, by)
-    micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros("_t0")
+    t = F.col(ts).try_cast("timestamp")
+    # the facts are read twice (minimum, then rows): written once, as few columns as given
+    df = cut_lineage(df)
+    j = df.join(group_side(df.groupBy(*by).agg(F.min(t).alias("_t0"))), by)
+    micros = F.unix_micros(t) - F.unix_micros("_t0")
     return j.withColumn(out, F.floor(micros / F.lit(86_400_000_000))).drop("_t0")
 
 

@@ -11,12 +11,13 @@ numbered by size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
-from ..session import cut_lineage
+from ..session import cut_lineage, group_side
 
 # ---- fixed values -----------------------------------------------------------
 # English stop words removed before n-grams are built.
@@ -39,6 +40,7 @@ STOP_WORDS = [
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 TERM_SPLIT = r"[^\p{L}\p{N}_]+"
 MIN_TOPIC_SIZE = 5
+MIN_STUDY_ROWS = 10
 OUTLIER_TOPIC = -1
 # ---------------------------------------------------------------------------
 
@@ -105,7 +107,7 @@ def ctfidf(terms: DataFrame, topic: str, n_topics=None) -> DataFrame:
     total = per_topic.agg(F.sum("_tn")).scalar()
     k = n_topics if n_topics is not None else per_topic.agg(F.count(F.lit(1))).scalar()
     avg = F.floor(total / k)
-    j = terms.join(per_topic, topic)
+    j = terms.join(group_side(per_topic), topic)
     score = F.sqrt(F.col("n") / F.col("_tn")) * F.log(F.lit(1.0) + avg / F.col("f"))
     return j.select(topic, "term", "n", score.alias("score"))
 
@@ -143,8 +145,15 @@ def topic_info(df: DataFrame, text: str, topic: str, doc_id: str, k: int = 10,
 
 
 # ---- clustering (T2-T4, T8) ---------------------------------------------------
-def fit_topic_model(df: DataFrame, vec: str, k: int = 20, dims: int = 5, seed: int = 42):
-    """Array column -> vector -> PCA(dims) -> BisectingKMeans(k)."""
+def topic_count(n: int) -> int:
+    """Clusters asked for, twice the cube root of the number of vectors."""
+    return max(2, round(2 * n ** (1 / 3)))
+
+
+def fit_topic_model(df: DataFrame, vec: str, k: int | None = None, dims: int = 5, seed: int = 42):
+    """Array column -> vector -> PCA(dims) -> BisectingKMeans(k, by default
+    ``topic_count`` of the data)."""
+    k = k if k is not None else topic_count(df.count())
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import PCA
@@ -155,6 +164,60 @@ def fit_topic_model(df: DataFrame, vec: str, k: int = 20, dims: int = 5, seed: i
     return model
 
 
+def fit_text_topics(df: DataFrame, text: str, k: int | None = None, dims: int = 5, seed: int = 42,
+                    num_features: int = 1 << 10):
+    """T2/T3 without a sentence embedder: hashed TF-IDF vectors -> PCA -> BisectingKMeans.
+    The fitted pipeline saves, loads and assigns like any Spark ML model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer
+    k = k if k is not None else topic_count(df.count())
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TERM_SPLIT, minTokenLength=2),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
+        IDF(inputCol="_tf", outputCol="_vec"),
+        PCA(k=dims, inputCol="_vec", outputCol="_pca"),
+        BisectingKMeans(k=k, seed=seed, featuresCol="_pca", predictionCol="_cluster")]).fit(df)
+
+
+def number_topics(pred: DataFrame, min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
+    """``_cluster`` -> ``topic``: clusters under ``min_size`` rows -> -1; others
+    renumbered 0.. by size (descending, ties to the lower cluster id)."""
+    sizes = pred.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.orderBy(F.desc("_size"), F.asc("_cluster"))  # one row per cluster (k rows)
+    ids = sizes.where(F.col("_size") >= min_size).withColumn("_topic", F.row_number().over(w) - 1)
+    out = pred.join(F.broadcast(ids.select("_cluster", "_topic")), "_cluster", "left")   # k rows
+    return out.withColumn("topic", F.coalesce(F.col("_topic"), F.lit(OUTLIER_TOPIC)).cast("int")) \
+        .drop("_cluster", "_topic")
+
+
+@dataclass
+class TopicStudy:
+    model: object          # fitted pipeline
+    assigned: DataFrame    # rows with their topic
+    info: DataFrame        # T7
+    matrix: DataFrame      # A11, long, outliers left out
+    top: DataFrame         # T10: each group's topics with most rows, and their words
+
+
+def topic_study(df: DataFrame, text: str, by: str, doc_id: str, k: int | None = None, top: int = 3,
+                words: int = 10, min_rows: int = MIN_STUDY_ROWS) -> TopicStudy | None:
+    """T1-T10 end to end: fit, assign, info, topic x group counts, top topics with words.
+    None where there are fewer than ``min_rows`` rows to model."""
+    df = df.where(F.col(text).isNotNull())
+    if df.limit(min_rows).count() < min_rows:
+        return None
+    model = fit_text_topics(df, text, k)
+    rows = cut_lineage(number_topics(model.transform(df)).drop("_tok", "_tf", "_vec", "_pca"))
+    inside = rows.where(F.col("topic") != OUTLIER_TOPIC)
+    info = topic_info(rows, text, "topic", doc_id, words, min_df=1)
+    matrix = inside.groupBy("topic", by).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(by).orderBy(F.desc("n"), F.asc("topic"))
+    best = matrix.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return TopicStudy(model, rows, info, matrix,
+                      best.join(info.select("topic", "representation"), "topic", "left"))
+
+
 def with_vector(df: DataFrame, vec: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     return df.withColumn("_vec", array_to_vector(F.col(vec)))
@@ -166,43 +229,35 @@ def assign_topics(model, df: DataFrame, min_size: int = MIN_TOPIC_SIZE) -> DataF
     model, so assigning again never refits."""
     pred = model.transform(with_vector(df, getattr(model, "_chafe_vec", "embedding"))) \
         .drop("_vec", "_pca")
-    sizes = pred.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_size"))
-    w = Window.orderBy(F.desc("_size"), F.asc("_cluster"))  # one row per cluster (k rows)
-    ids = sizes.where(F.col("_size") >= min_size).withColumn("_topic", F.row_number().over(w) - 1)
-    out = pred.join(F.broadcast(ids.select("_cluster", "_topic")), "_cluster", "left")
-    return out.withColumn("topic", F.coalesce(F.col("_topic"), F.lit(OUTLIER_TOPIC)).cast("int")) \
-        .drop("_cluster", "_topic")
+    return number_topics(pred, min_size)
 
 
-def merge_topics(scores: DataFrame, topic: str, threshold: float = 0.9, k: int = 10) -> DataFrame:
-    """T4: topics whose top-``k`` c-TF-IDF vectors have cosine >= threshold
+def merge_topics(scores: DataFrame, topic: str, threshold: float = 0.9) -> DataFrame:
+    """T4: topics whose c-TF-IDF vectors (all terms) have cosine >= threshold
     are merged into the smallest topic id of their connected group.
 
-    Vectors are restricted to each topic's top terms, so the pair join is
-    bounded by (#topics x k) rows per term; components by min-label
-    propagation over the (small) topic graph."""
-    top = top_terms(scores, topic, k).select(topic, "term", "score")
-    norms = top.groupBy(topic).agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("_nrm"))
-    a, b = top.alias("a"), top.alias("b")
-    dots = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col(f"a.{topic}") < F.col(f"b.{topic}"))) \
-        .groupBy(F.col(f"a.{topic}").alias("t1"), F.col(f"b.{topic}").alias("t2")) \
-        .agg(F.sum(F.col("a.score") * F.col("b.score")).alias("_dot"))
+    The sparse self-join meets on shared terms: a term has at most one row per
+    topic, so pairs are bounded by the topics, a model parameter.  Components by
+    min-label propagation with pointer jumping over the small topic graph."""
+    vecs = cut_lineage(scores.select(topic, "term", "score"))
+    norms = vecs.groupBy(topic).agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("_nrm"))
+    a = vecs.select(F.col(topic).alias("t1"), "term", F.col("score").alias("s1"))
+    b = vecs.select(F.col(topic).alias("t2"), "term", F.col("score").alias("s2"))
+    dots = a.join(b, "term").where(F.col("t1") < F.col("t2")) \
+        .groupBy("t1", "t2").agg(F.sum(F.col("s1") * F.col("s2")).alias("_dot"))
     n1 = norms.select(F.col(topic).alias("t1"), F.col("_nrm").alias("_n1"))
     n2 = norms.select(F.col(topic).alias("t2"), F.col("_nrm").alias("_n2"))
     edges = dots.join(n1, "t1").join(n2, "t2") \
         .where(F.col("_dot") / (F.col("_n1") * F.col("_n2")) >= threshold).select("t1", "t2")
-    labels = norms.select(F.col(topic).alias("node"), F.col(topic).alias("label"))
-    und = edges.union(edges.select(F.col("t2").alias("t1"), F.col("t1").alias("t2")))
-    n_topics = norms.count()
-    for _ in range(max(1, n_topics)):
-        prop = und.join(labels.withColumnRenamed("node", "t1"), "t1") \
+    und = cut_lineage(edges.union(edges.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"))))
+    labels = cut_lineage(norms.select(F.col(topic).alias("node"), F.col(topic).alias("label")))
+    while True:
+        near = und.join(labels.withColumnRenamed("node", "t1"), "t1") \
             .groupBy(F.col("t2").alias("node")).agg(F.min("label").alias("_l"))
-        new = labels.join(prop, "node", "left") \
-            .select("node", F.least("label", F.coalesce("_l", "label")).alias("label"))
-        new = cut_lineage(new)  # tiny table; keeps the loop's plan flat
-        changed = new.join(labels.withColumnRenamed("label", "_old"), "node") \
-            .where(F.col("label") != F.col("_old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels.select(F.col("node").alias(topic), F.col("label").alias("merged_topic"))
+        step = labels.join(near, "node", "left") \
+            .select("node", F.col("label").alias("_was"), F.least("label", F.coalesce("_l", "label")).alias("_via"))
+        jump = labels.select(F.col("node").alias("_via"), F.col("label").alias("_on"))
+        new = cut_lineage(step.join(jump, "_via").select("node", "_was", F.least("_via", "_on").alias("label")))
+        labels = new.select("node", "label")
+        if not new.where(F.col("label") != F.col("_was")).limit(1).count():
+            return labels.select(F.col("node").alias(topic), F.col("label").alias("merged_topic"))

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import assign_category, keyword_category, score_columns
-from ..functions.text import clean_text, long_enough
 from ..operators.prep import build_review_items
-from ..session import spread
-from ..sources.adapters import domain_tables
+from ..sources.adapters import cleaned, pull_requests, review_comments, reviews, task_types
 from ..sources.tables import load_table
 
 DIGITS = 6
@@ -28,24 +26,31 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(load_table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
-    return docs.withColumn("clean_body", clean_text("text")).where(long_enough("clean_body")) \
-        .drop("text")
+    return cleaned(load_table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
-def scored_documents(spark: SparkSession, d: str) -> DataFrame:
-    """documents -> clean -> length filter -> lexicon score -> category."""
-    s = score_columns(clean_documents(spark, d), "clean_body")
+def with_category(s: DataFrame) -> DataFrame:
     return s.withColumn("friction_category",
                         assign_category("is_negative", keyword_category("clean_body")))
 
 
+def scored_documents(spark: SparkSession, d: str) -> DataFrame:
+    """documents -> clean -> length filter -> lexicon score -> category."""
+    return with_category(score_columns(clean_documents(spark, d), "clean_body"))
+
+
+def _items(spark: SparkSession, d: str, derive) -> DataFrame:
+    """Review items whose texts were cleaned (and scored) once each, before the
+    joins that repeat them."""
+    docs = derive(cleaned(load_table(spark, d, "documents").select("doc_id", "text")))
+    conv = derive(cleaned(load_table(spark, d, "conversations")))
+    return build_review_items(pull_requests(spark, d), review_comments(spark, d, docs), reviews(spark, d, conv),
+                              task_types(spark, d))
+
+
 def review_items(spark: SparkSession, d: str) -> DataFrame:
-    t = domain_tables(spark, d)
-    return build_review_items(t["prs"], t["comments"], t["reviews"], t["task_types"])
+    return _items(spark, d, lambda t: t)
 
 
 def scored_items(spark: SparkSession, d: str) -> DataFrame:
-    s = score_columns(review_items(spark, d), "clean_body")
-    return s.withColumn("friction_category",
-                        assign_category("is_negative", keyword_category("clean_body")))
+    return _items(spark, d, lambda t: with_category(score_columns(t, "clean_body")))

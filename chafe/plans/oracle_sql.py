@@ -114,7 +114,7 @@ comments AS (
          '{API}' || {owner_repo('l.l_orderkey')} || '/pulls/' || CAST(l.l_orderkey AS VARCHAR)
            AS pull_request_url,
          l.l_shipdate AS item_created_at
-  FROM lineitem l LEFT JOIN documents d ON l.l_partkey = d.doc_id),
+  FROM lineitem l LEFT JOIN documents d ON l.l_partkey % (SELECT count(*) FROM documents) = d.doc_id),
 reviews AS (
   SELECT conv_id * 1000 + turn AS item_id, conv_id AS pr_id,
          CASE WHEN role = 'assistant' THEN 'copilot' WHEN role = 'system' THEN 'system'
@@ -384,10 +384,11 @@ FROM scored_items JOIN q USING (agent) GROUP BY agent, n, q1, median, q3""",
     "histogram": f"""WITH r AS (SELECT event_type, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
        CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
        FROM events WHERE value IS NOT NULL GROUP BY 1),
-b AS (SELECT event_type, lo, hi, CAST(least(floor((value - lo) / ((hi - lo) / 30.0)), 29) AS INTEGER) AS bin
-      FROM events JOIN r USING (event_type) WHERE value IS NOT NULL)
-SELECT event_type, bin, count(*) AS n, round(lo + bin * (hi - lo) / 30.0, {D}) AS bin_lo,
-       round(lo + (bin + 1) * (hi - lo) / 30.0, {D}) AS bin_hi FROM b GROUP BY event_type, bin, lo, hi""",
+b AS (SELECT event_type, CAST(least(floor((value - lo) / ((hi - lo) / 30.0)), 29) AS INTEGER) AS bin, count(*) AS n
+      FROM events JOIN r USING (event_type) WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT r.event_type, CAST(g.bin AS INTEGER) AS bin, coalesce(b.n, 0) AS n, round(lo + g.bin * (hi - lo) / 30.0, {D}) AS bin_lo,
+       round(lo + (g.bin + 1) * (hi - lo) / 30.0, {D}) AS bin_hi
+FROM r CROSS JOIN range(30) g(bin) LEFT JOIN b ON b.event_type = r.event_type AND b.bin = g.bin""",
     "density": f"""WITH st AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h,
        min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL GROUP BY 1),
 v AS (SELECT event_type, value, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
@@ -434,7 +435,7 @@ SELECT source, "count", source || coalesce('_' || name4, '') AS name, coalesce(r
 FROM sizes LEFT JOIN rep USING (source) LEFT JOIN best USING (source)""",
     "model_score": ORACLE["friction_by_group"],
     "model_category": f"""WITH {SCORED_DOCS}
-SELECT {keyword_category('substr(clean_body, 1, 1000)')} AS friction_category, count(*) AS "count"
+SELECT {keyword_category('clean_body')} AS friction_category, count(*) AS "count"
 FROM scored_docs WHERE is_negative GROUP BY 1""",
 })
 
@@ -449,3 +450,16 @@ ev AS (SELECT agent, friction_score,
        FROM scored_items WHERE created_at IS NOT NULL),
 {spearman_sql('ev', 'time_numeric', 'friction_score', 'x', by='agent')} HAVING count(*) >= 10""",
 })
+
+ORACLE["label_counts_agent"] = f"""WITH {SCORED_ITEMS}
+SELECT sentiment_label, agent, count(*) AS "count" FROM scored_items GROUP BY 1, 2"""
+
+ORACLE["box_stats_agent_source"] = f"""WITH {SCORED_ITEMS}, q AS (
+  SELECT agent, source, count(friction_score) AS n, quantile_cont(friction_score, 0.25) AS q1,
+         quantile_cont(friction_score, 0.5) AS median, quantile_cont(friction_score, 0.75) AS q3
+  FROM scored_items GROUP BY 1, 2)
+SELECT agent, source, n, round(q1, {D}) AS q1, round(median, {D}) AS median, round(q3, {D}) AS q3,
+       round(min(friction_score) FILTER (WHERE friction_score >= q1 - 1.5 * (q3 - q1)), {D}) AS whisker_low,
+       round(max(friction_score) FILTER (WHERE friction_score <= q3 + 1.5 * (q3 - q1)), {D}) AS whisker_high,
+       count(*) FILTER (WHERE friction_score < q1 - 1.5 * (q3 - q1) OR friction_score > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM scored_items JOIN q USING (agent, source) GROUP BY agent, source, n, q1, median, q3"""

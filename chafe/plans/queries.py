@@ -101,9 +101,8 @@ def items_union(spark, d):
 
 
 def _human_split(items):
-    human = items.where(F.col("agent") == "5-LOW")
-    ai = items.where(F.col("agent") != "5-LOW")
-    return P.with_baseline(ai, human)
+    # the baseline is relabelled in place: the pipeline runs once
+    return items.withColumn("agent", F.when(F.col("agent") == "5-LOW", "Human").otherwise(F.col("agent")))
 
 
 @register("baseline_union")
@@ -176,7 +175,7 @@ AGENTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 @register("category_matrix")
 def category_matrix_q(spark, d):
     s = scored_items(spark, d).where(F.col("friction_category") != "N/A")
-    return A.count_matrix(s, "friction_category", "agent")
+    return A.count_matrix(s, "friction_category", "agent", values=AGENTS)
 
 
 @register("category_share")
@@ -202,7 +201,7 @@ def per_pr_time_q(spark, d):
 
 @register("per_pr_iterations")
 def per_pr_iterations_q(spark, d):
-    return rounded(A.per_pr_iterations(scored_items(spark, d)))
+    return rounded(A.per_pr_iterations(scored_items(spark, d), text="item_id"))
 
 
 @register("label_counts")
@@ -218,7 +217,7 @@ def mean_matrix_source_q(spark, d):
 
 @register("mean_matrix_type")
 def mean_matrix_type_q(spark, d):
-    return rounded(A.mean_matrix(scored_items(spark, d), "pr_type", "agent"))
+    return rounded(A.mean_matrix(scored_items(spark, d), "pr_type", "agent", values=AGENTS))
 
 
 @register("negative_rate")
@@ -242,7 +241,7 @@ def _pr_outcomes(spark, d):
     s = _with_merged(scored_items(spark, d))
     s = s.withColumn("time_to_merge_hours", tx.duration_h("created_at", "closed_at"))
     return s.groupBy("id_pr").agg(F.avg("friction_score").alias("friction_score"),
-                                  F.count("clean_body").alias("comment_count"),
+                                  F.count("item_id").alias("comment_count"),
                                   F.any_value("time_to_merge_hours").alias("time_to_merge_hours"),
                                   F.max("is_merged").alias("is_merged"))
 
@@ -332,7 +331,7 @@ def spearman_time(spark, d):
 
 @register("spearman_iterations")
 def spearman_iterations(spark, d):
-    pr = A.per_pr_iterations(scored_items(spark, d))
+    pr = A.per_pr_iterations(scored_items(spark, d), text="item_id")
     return _stat(X.spearman(pr, "friction_score", "comment_count", test="spearman_iterations"),
                  ["test", "n", "statistic"])
 
@@ -408,7 +407,7 @@ def topic_info_q(spark, d):
 @register("topic_clusters")
 def topic_clusters(spark, d):
     emb = load_table(spark, d, "embeddings")
-    model = Tp.fit_topic_model(emb, "embedding", k=20)
+    model = Tp.fit_topic_model(emb, "embedding")
     t = Tp.assign_topics(model, emb)
     return t.groupBy("topic").agg(F.count(F.lit(1)).alias("n"),
                                   F.countDistinct("label").alias("n_labels"))
@@ -418,15 +417,48 @@ def topic_clusters(spark, d):
 def topic_agent_matrix(spark, d):
     """A11 on fitted clusters: embeddings' topics x label as the agent."""
     emb = load_table(spark, d, "embeddings")
-    t = Tp.assign_topics(Tp.fit_topic_model(emb, "embedding", k=20), emb)
+    t = Tp.assign_topics(Tp.fit_topic_model(emb, "embedding"), emb)
     t = t.where(F.col("topic") != Tp.OUTLIER_TOPIC)
     return A.count_matrix(t, "topic", "label")
 
 
+@register("topics_by_source")
+def topics_by_source(spark, d):
+    """T1-T10 on the documents that score negative: each source's top topics and their words."""
+    study = Tp.topic_study(Tp.negatives(scored_documents(spark, d)), "clean_body", "source", "doc_id")
+    return study.top
+
+
+@register("box_stats_agent_source")
+def box_stats_agent_source(spark, d):
+    return rounded(Dn.box_stats(scored_items(spark, d), ["agent", "source"], "friction_score"))
+
+
+@register("label_counts_agent")
+def label_counts_agent(spark, d):
+    return A.label_counts(scored_items(spark, d), "agent")
+
+
+@register("tests_six")
+def tests_six(spark, d):
+    """X11: the six named tests over the scored items, statistics and p-values."""
+    from ..session import cut_lineage
+    s = cut_lineage(_with_merged(scored_items(spark, d)).select(
+        "id_pr", "item_id", "agent", "created_at", "merged_at", "is_merged", "friction_score", "friction_category"))
+    neg = s.where(F.col("friction_category") != "N/A")
+    return rounded(X.tests_long(
+        X.kruskal(s, "agent", "friction_score", test="kruskal_wallis_agents"),
+        X.point_biserial(s, "friction_score", "is_merged", test="pointbiserial"),
+        X.spearman(A.per_pr_time(_with_hours(s)), "friction_score", "time_to_merge_hours", test="time_to_merge"),
+        X.spearman(A.per_pr_iterations(s, text="item_id"), "friction_score", "comment_count", test="iterations"),
+        X.kruskal(neg, "friction_category", "friction_score", test="kruskal_wallis_categories"),
+        X.chi2_independence(neg, "friction_category", "agent", test="chi2_category_agent")))
+
+
 @register("topic_merge")
 def topic_merge(spark, d):
     sc = Tp.ctfidf(Tp.term_counts(clean_documents(spark, d), "clean_body", "lang"), "lang")
-    return Tp.merge_topics(sc, "lang", threshold=0.1)
+    return Tp.merge_topics(sc, "lang")
 
 
 # ---- model scoring ----------------------------------------------------------------
@@ -447,7 +479,7 @@ def model_category(spark, d):
 def trained_score(spark, d):
     docs = clean_documents(spark, d)
     lab = docs.join(load_table(spark, d, "labels"), "doc_id")
-    model = U.fit_scorer(lab, "clean_body", "toxic", num_features=1 << 14, max_iter=20)
+    model = U.fit_scorer(lab, "clean_body", "toxic")
     s = U.apply_scorer(model, docs)
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("n"),
                                    F.sum(F.col("is_negative").cast("int")).alias("n_negative"))
@@ -463,7 +495,7 @@ def mean_matrix_type_source(spark, d):
 def spearman_temporal_agents(spark, d):
     """X8 on the item pipeline: days since the agent's first item vs friction."""
     s = scored_items(spark, d).where(F.col("created_at").isNotNull())
-    s = X.days_since_first(s, "created_at", ["agent"])
+    s = X.days_since_first(s.select("agent", "created_at", "friction_score"), "created_at", ["agent"])
     return rounded(X.spearman_by(s, "agent", "time_numeric", "friction_score")
                    .select("agent", "n", "statistic"))
 
@@ -474,6 +506,8 @@ def summary_report(spark, d):
     """The run summary lines over the scored items and the rank tests."""
     from ..session import cut_lineage
     from ..sources.sinks import results_long, summary_lines
-    s = cut_lineage(scored_items(spark, d))  # five consumers below: score once
+    # five consumers below: score once, keep what they read
+    s = cut_lineage(scored_items(spark, d).select("agent", "source", "friction_score", "is_negative", "pr_type",
+                                                  "sentiment_label", "friction_category", "id_pr"))
     tests = results_long({"kruskal_agents": X.kruskal(s, "agent", "friction_score")})
     return summary_lines(s, tests)

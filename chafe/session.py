@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every session used by this library should carry.  Shuffle partition
 # count is left to the caller: on a cluster it is sized to the data, locally to
@@ -54,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError(
             "spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="chafe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -79,16 +81,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Round-robin a DataFrame over the cluster before CPU-heavy row work
-    when its scan yields fewer partitions than there are cores (a single
-    large row group, say).  On big inputs the scan already has thousands
-    of partitions and this is a no-op.  Spark's cache manager reuses an
-    existing cache for an identical plan, so repeated queries over the same
-    scan share one cached copy."""
-    target = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        # persisted so the optimizer cannot push the (expensive) text
-        # predicates below the repartition, back into the lone scan task
-        return df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+def redistribute(df: DataFrame) -> DataFrame:
+    """Round-robin rows before CPU-heavy text work.
+
+    Cleaning and scoring cost far more per byte than a shuffle does, and a
+    scan's tasks follow its files' row groups, which can be few and uneven.  The
+    same step runs at every input size."""
+    return df.repartition(max(shuffle_partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism))
+
+
+def keep_here(predicate: Column) -> Column:
+    """A filter that the optimizer leaves where it is written.
+
+    Predicates on cleaned text would otherwise sink below ``redistribute`` (with
+    the whole cleaning expression) into the scan's few tasks, and run twice.  A
+    non-deterministic term that is always false pins it."""
+    return predicate | (F.rand(0) < F.lit(0.0))
+
+
+# Largest per-group table that is broadcast; beyond it the join is shuffled.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def group_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A table of one row per group, ready to be joined to facts on its key.
+
+    It is written and counted first.  Up to ``max_rows`` rows it is broadcast, so
+    a group with a third of all facts is not gathered in one task; beyond
+    that a sort-merge join is left to AQE, which splits a hot group because
+    neither side is an aggregate's own output."""
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.count() <= max_rows else small

@@ -7,7 +7,7 @@ whole tables and grows with them:
 
   pull requests  <- orders (+ last ship date of the order's lines as close time)
   task types     <- orders x customer market segment
-  inline comments<- lineitem, body = text of the document numbered like the part
+  inline comments<- lineitem, body = text of document (part key modulo documents)
   reviews        <- conversations (one PR per conversation id)
 
 URLs are built in the same shape as the hosting API's so key extraction and
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..functions.text import clean_text, long_enough
+from ..session import keep_here, redistribute
 from .tables import load_table
 
 # ---- fixed values of the stand-in mapping -------------------------------------
@@ -62,24 +63,38 @@ def task_types(spark: SparkSession, base: str) -> DataFrame:
         F.lit(1.0).alias("confidence"))
 
 
-def review_comments(spark: SparkSession, base: str) -> DataFrame:
-    lines = spread(load_table(spark, base, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
-    docs = spread(load_table(spark, base, "documents").select("doc_id", "text"))
+def cleaned(texts: DataFrame, text: str = "text") -> DataFrame:
+    """P11/P12 once per text, before any join multiplies it."""
+    t = redistribute(texts).withColumn("clean_body", clean_text(text)).drop(text)
+    return t.where(keep_here(long_enough("clean_body")))
+
+
+def review_comments(spark: SparkSession, base: str, texts: DataFrame | None = None) -> DataFrame:
+    """Inline comments.  ``texts`` (doc_id and columns derived from the text)
+    replaces the raw body; lines whose document it leaves out are dropped."""
+    lines = load_table(spark, base, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    docs = load_table(spark, base, "documents").select("doc_id", F.col("text").alias("body"))
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    lines = lines.withColumn("_doc", F.pmod(F.col("l_partkey"), n_docs))
     user = F.when(F.pmod(F.col("l_suppkey"), F.lit(10)) == 0,
                   F.concat(F.lit("ci-runner-"), F.col("l_suppkey").cast("string"), F.lit("[bot]"))) \
         .otherwise(F.concat(F.lit("dev"), F.col("l_suppkey").cast("string")))
-    c = lines.join(docs, lines.l_partkey == docs.doc_id, "left")
+    side = docs if texts is None else texts
+    c = lines.join(side, lines["_doc"] == side["doc_id"], "left" if texts is None else "inner")
     return c.select(
         (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"),
-        F.col("text").alias("body"), user.alias("user"), F.lit("User").alias("user_type"),
+        *[x for x in side.columns if x != "doc_id"], user.alias("user"), F.lit("User").alias("user_type"),
         F.concat(F.lit(API_ROOT), _owner_repo("l_orderkey"), F.lit("/pulls/"),
                  F.col("l_orderkey").cast("string")).alias("pull_request_url"),
         F.col("l_shipdate").cast("timestamp").alias("created_at"))
 
 
-def reviews(spark: SparkSession, base: str) -> DataFrame:
-    conv = spread(load_table(spark, base, "conversations"))
+def reviews(spark: SparkSession, base: str, conv: DataFrame | None = None) -> DataFrame:
+    """Reviews; ``conv`` can hold columns derived from the text instead of the text."""
+    conv = load_table(spark, base, "conversations") if conv is None else conv
+    derived = [c for c in conv.columns if c not in ("conv_id", "turn", "role", "text")]
+    body = [F.col("text").alias("body")] if "text" in conv.columns else derived
     user = F.when(F.col("role") == "assistant", F.lit("copilot")) \
         .when(F.col("role") == "system", F.lit("system")) \
         .otherwise(F.concat(F.lit("reviewer"), F.col("conv_id").cast("string")))
@@ -87,7 +102,7 @@ def reviews(spark: SparkSession, base: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("pr_id"),
         user.alias("user"),
         F.when(F.col("role") == "system", F.lit("Bot")).otherwise(F.lit("User")).alias("user_type"),
-        F.lit("COMMENTED").alias("state"), F.col("text").alias("body"))
+        F.lit("COMMENTED").alias("review_state"), *body)
 
 
 def domain_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:

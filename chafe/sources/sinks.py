@@ -17,7 +17,7 @@ def write_results(results: Mapping[str, DataFrame], out_dir: str, fmt: str = "cs
     paths = []
     for name, df in results.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        w = (df.coalesce(1) if single_file else df).write.mode("overwrite")
+        w = (df.repartition(1) if single_file else df).write.mode("overwrite")
         if fmt == "csv":
             w.option("header", "true").csv(path)
         else:
@@ -53,7 +53,7 @@ def summary_lines(items: DataFrame, tests: DataFrame | None = None, agent: str =
 
 
 def write_summary(lines: DataFrame, path: str) -> None:
-    lines.orderBy("section", "key").select("line").coalesce(1).write.mode("overwrite").text(path)
+    lines.orderBy("section", "key").select("line").repartition(1).write.mode("overwrite").text(path)
 
 
 def save_model(model, path: str) -> None:

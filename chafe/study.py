@@ -21,12 +21,21 @@ from .operators import topics as Tp
 from .plans.common import scored_items
 from .session import build_session, cut_lineage
 from .sources import sinks as S
+from .sources.domain import domain_items
 from .sources.tables import require_rows
 
 
-def run_study(spark: SparkSession, data: str, out: str, topic_k: int = 20) -> dict:
+def run_study(spark: SparkSession, data: str, out: str, domain: bool = False, baseline: str | None = None) -> dict:
+    """``domain``: the folder holds the domain tables themselves (``sources.domain``),
+    with ``baseline`` naming the table of human pull requests, if any."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    items = cut_lineage(require_rows(scored_items(spark, data), "review items"))
+    source = domain_items(spark, data, baseline) if domain else scored_items(spark, data)
+    # the scored facts are an output, and what every analysis below reads
+    paths = {k: f"{out}/facts/{k}" for k in ("combined", "comment", "review")}
+    source.write.mode("overwrite").parquet(paths["combined"])
+    items = require_rows(spark.read.parquet(paths["combined"]), "review items")
+    for k in ("comment", "review"):
+        items.where(F.col("source") == k).write.mode("overwrite").parquet(paths[k])
     items = items.withColumn("is_merged", tx.merged_flag("state"))
     neg = items.where(F.col("friction_category") != "N/A")
     timed = items.withColumn("time_to_merge_hours", tx.duration_h("created_at", "merged_at")) \
@@ -45,9 +54,14 @@ def run_study(spark: SparkSession, data: str, out: str, topic_k: int = 20) -> di
         "pr_type_stats": A.pr_type_stats(items),
         "friction_box_by_agent": Dn.box_stats(items, "agent", "friction_score"),
         "friction_histogram_by_agent": Dn.histogram(items, "agent", "friction_score"),
-        "pairwise_tests": X.mann_whitney_pairs(items, "agent", "friction_score"),
+        "pairwise_tests": X.posthoc_pairs(items, "agent", "friction_score"),
+        "friction_by_type": A.order_by_mean(A.group_summary(items, "pr_type")),
+        "label_counts_by_agent": A.label_counts(items, "agent"),
+        "label_counts_by_type": A.label_counts(items.where(A.known_type("pr_type")), "pr_type"),
+        "friction_box_by_agent_source": Dn.box_stats(items, ["agent", "source"], "friction_score"),
         "temporal_spearman_by_agent": X.spearman_by(
-            X.days_since_first(items.where(F.col("created_at").isNotNull()), "created_at", ["agent"]),
+            X.days_since_first(items.where(F.col("created_at").isNotNull())
+                               .select("agent", "created_at", "friction_score"), "created_at", ["agent"]),
             "agent", "time_numeric", "friction_score"),
     }
     tests = {
@@ -61,24 +75,28 @@ def run_study(spark: SparkSession, data: str, out: str, topic_k: int = 20) -> di
     long = S.results_long(tests)
     results["statistical_tests"] = long
     results["statistical_tests_wide"] = X.tests_wide(long, list(tests))
-    paths = S.write_results(results, f"{out}/data")
+    tables = S.write_results(results, f"{out}/data")
     S.write_summary(S.summary_lines(items, long), f"{out}/SUMMARY")
 
-    negatives = Tp.negatives(items)
-    info = Tp.topic_info(negatives, "clean_body", "friction_category", "item_id")
-    S.write_results({"topic_info": info}, f"{out}/data")
-    return {"tables": paths, "summary": f"{out}/SUMMARY"}
+    study = Tp.topic_study(Tp.negatives(items), "clean_body", "agent", "item_id")
+    if study is not None:
+        S.save_model(study.model, f"{out}/topic_model")
+        S.write_results({"topic_info": study.info, "topic_agent_matrix": study.matrix,
+                         "top_topics_by_agent": study.top}, f"{out}/data")
+    return {"facts": list(paths.values()), "tables": tables, "summary": f"{out}/SUMMARY"}
 
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--data", required=True, help="folder with the parquet tables")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
+    ap.add_argument("--domain", action="store_true", help="the folder holds the domain tables themselves")
+    ap.add_argument("--baseline", default=None, help="table of human pull requests, with --domain")
     ap.add_argument("--master", default=None)
     ap.add_argument("--shuffle-partitions", type=int, default=None)
     a = ap.parse_args(argv)
     spark = build_session(a.master, a.shuffle_partitions, app="chafe-study")
-    print(run_study(spark, a.data, a.out))
+    print(run_study(spark, a.data, a.out, a.domain, a.baseline))
 
 
 if __name__ == "__main__":

@@ -16,7 +16,9 @@ def items(spark):
 
 def test_matrix_totals_and_shares(items):
     m = A.count_matrix(items, "cat", "agent").collect()
-    assert sum(sum(r[1:]) for r in m) == 6
+    assert sum(r.n for r in m) == 6
+    wide = A.count_matrix(items, "cat", "agent", values=["a", "b", "c"]).collect()
+    assert sum(sum(r[1:]) for r in wide) == 6
     s = A.shares(items, "agent").collect()
     assert sum(r.pct for r in s) == pytest.approx(100.0)
     cs = A.column_share(items, "cat", "agent").collect()
