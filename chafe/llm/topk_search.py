@@ -9,8 +9,9 @@ value for every component not read yet, its lower bound the list's end value:
     upper = q+ . max(x, read down to) + q- . min(x, read up to)
 
 so both bounds of all vectors are two matrix products over partly read lists.
-A vector whose upper bound is under the k-th largest lower bound (of this shard,
-or of the shards already finished in the task) cannot qualify.  When few vectors
+A vector whose upper bound is under the k-th largest lower bound (of this block,
+or of the blocks already finished in the task) cannot qualify.  Rows of one id are
+one candidate, so the k are counted over ids, each with its best row.  When few vectors
 are left, or the lists are read through, the final scores of those are
 resolved exactly.  Scores are integers, so ties are exact.
 """
@@ -46,7 +47,7 @@ def quantized(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embe
 
 
 class SortedLists:
-    """The sorted lists of one block of vectors."""
+    """The sorted lists of one block of vectors, whose ids are in order."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
@@ -69,8 +70,12 @@ def _nothing(dtype: np.dtype) -> float | int:
     return -np.inf if dtype == np.float64 else np.iinfo(np.int64).min
 
 
-def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """k-th largest of each row, below every score where there are fewer."""
+def _kth(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """k-th largest of each row over the best value of every id (equal ids are side
+    by side), below every score where there are fewer."""
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else ids
+    if len(first) < len(ids):
+        values = np.maximum.reduceat(values, first, axis=1)
     n = values.shape[1]
     if n < k:
         return np.full(len(values), _nothing(values.dtype), values.dtype)
@@ -79,7 +84,7 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
 
 def search_block(lists: SortedLists, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
     """[(query row, ids, scores)] of vectors that may be among the k best, and the
-    raised floor: a score that k vectors other than the query are known to reach."""
+    raised floor: a score that k ids other than the query's are known to reach."""
     n = len(lists.ids)
     own = query_ids[:, None] == lists.ids[None, :]
     todo, out, nothing = np.arange(len(query_ids)), [], _nothing(q.dtype)
@@ -88,7 +93,7 @@ def search_block(lists: SortedLists, query_ids: np.ndarray, q: np.ndarray, floor
         lower, upper = lists.bounds(q[todo], depth)
         mine = own[todo]
         lower[mine] = upper[mine] = nothing
-        floor[todo] = np.maximum(floor[todo], _kth(lower, k))
+        floor[todo] = np.maximum(floor[todo], _kth(lower, lists.ids, k))
         left = upper >= floor[todo, None]
         left[mine] = False
         done = (left.sum(axis=1) <= max(4 * k, LEFT * n)) | (depth == 1.0)
@@ -97,7 +102,7 @@ def search_block(lists: SortedLists, query_ids: np.ndarray, q: np.ndarray, floor
             scores = lists.x[at] @ q[todo[r]]                       # resolved exactly
             out.append((todo[r], lists.ids[at], scores))
             if len(at) >= k:
-                floor[todo[r]] = max(floor[todo[r]], _kth(scores[None, :], k)[0])
+                floor[todo[r]] = max(floor[todo[r]], _kth(scores[None, :], lists.ids[at], k)[0])
         todo = todo[~done]
         if not len(todo):
             break

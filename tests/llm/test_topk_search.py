@@ -54,6 +54,18 @@ def test_few_rows(spark):
     assert result(spark, [(0, [1.0]), (7, [2.0])]) == [(0, 1, 7, 256 * 512)]
 
 
+@pytest.mark.parametrize("copies", [2, 6, 40])
+@pytest.mark.parametrize("block", [4096, 16])
+def test_rows_of_one_id_take_one_place(spark, copies, block, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", block)
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(1, 140)]
+    rows += [(0, [0.5] * 12), (50, [-0.5] * 12)]
+    rows += [(7, [0.9] * 12)] * copies                                      # equal rows
+    rows += [(9, [-0.8 - 0.001 * j] * 12) for j in range(copies)]           # different rows
+    assert result(spark, rows) == brute(rows)
+
+
 def test_bounds_enclose_scores():
     rng = np.random.default_rng(0)
     x, q = rng.integers(-50, 50, (200, 9)).astype(float), rng.integers(-50, 50, (7, 9)).astype(float)
