@@ -1,7 +1,7 @@
 """Operator 4 - benchmark decontamination by SimHash over item-sized windows.
 
 A document is compared with each benchmark item through windows of exactly the
-item's number of words.  Window and item fingerprints are 64-bit SimHashes of
+item's number of words, or as a whole where it has fewer words than the item.  Window and item fingerprints are 64-bit SimHashes of
 five-word shingles, weighted by occurrences.  Multi-index Hamming blocks find
 the pairs: with 8 blocks of 8 bits, fingerprints within 23 bits agree in some
 block up to 2 bits (8 blocks with 3 or more would make 24), so indexing each
@@ -10,8 +10,9 @@ pair within the radius.  Pairs at similarity 0.8 differ in about 10 bits, and
 23 lies over four standard deviations above.  Candidates are verified by the
 exact weighted-shingle similarity.
 
-Two equal-sized shingle bags of m at similarity J >= 0.8 share at least 8/9 m
-shingles.  Windows with fewer shingles that occur in an item of that size
+Two shingle bags of m and n at similarity J >= 0.8 share at least 4/9 (m + n)
+shingles, and the smaller one holds at least 0.8 of the larger one's number.
+Windows with fewer shingles that occur in an item of that size
 (a bit set of bounded size, no false negatives) can't match, so no fingerprint
 is made for them.  A window whose first shingle is in no item is dominated by the
 next one to the right, unless it ends the text.
@@ -133,24 +134,26 @@ def _has(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def item_windows(words: list[bytes], sizes: list[int], filled: np.ndarray, cache: _WordHashes):
-    """(size, start, fp) of the windows that can match an item of their size."""
+    """(size, start, fp) of the windows that can match an item of that size.  A text
+    shorter than the item is one window, with its own number of words."""
     by_len: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in sizes:
-        if size > len(words):
-            break
         k = min(SHINGLE_WORDS, size)
+        full = size - k + 1                    # shingles of the item
+        m = min(size, len(words)) - k + 1      # and of a window
+        if 5 * m < 4 * full:                   # so it is for all larger sizes
+            break
         if k not in by_len:
             h = shingle_hashes(words, k, cache)
             by_len[k] = h, np.flatnonzero(_has(filled, h))
         h, some = by_len[k]
-        m = size - k + 1                       # shingles of a window
-        need = -(-8 * m // 9)
+        need = -(-4 * (m + full) // 9)
         if len(some) < need:
             continue
         own = some[_has(filled, _salted(h[some], size))]
         if len(own) < need:
             continue
-        last = len(words) - size
+        last = max(0, len(words) - size)
         starts = np.unique(np.r_[own[own <= last], last])
         inside = np.searchsorted(own, starts + m) - np.searchsorted(own, starts)
         for s in starts[inside >= need]:
@@ -167,8 +170,8 @@ def _near_block_values() -> list[int]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, similarity): every document and item with a window of the
-    item's size at weighted-shingle similarity MIN_SIMILARITY or more, with the
-    largest similarity.
+    item's size (the whole document where that is shorter) at weighted-shingle
+    similarity MIN_SIMILARITY or more, with the largest similarity.
 
     Defined cases: null or empty texts and items without a word match nothing;
     items of under five words are one shingle and match when they occur word

@@ -24,6 +24,19 @@ def brute(docs, items):
     return out
 
 
+def brute_short(docs, items):
+    """brute(), and whole documents against the items that are longer."""
+    out = brute(docs, items)
+    for d, t in docs:
+        w = D.words_of((t or "").encode())
+        for i, it in items:
+            x = D.words_of((it or "").encode())
+            near = D.weighted_similarity(w, x)
+            if len(w) < len(x) and near >= D.MIN_SIMILARITY:
+                out[d, i] = max(near, out.get((d, i), 0.0))
+    return out
+
+
 def result(spark, docs, items):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, window string, size int")
     b = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, fp int")
@@ -52,6 +65,23 @@ def test_planted_passages_equal_brute_force(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(13)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocab, k=n))) for i, n in enumerate([3, 5, 6, 9, 10, 14, 16, 24, 40, 59])]
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for cut in range(len(w) // 4 + 2):
+            for a in {0, cut // 2, cut}:
+                docs.append((len(docs), " ".join(w[a:len(w) - cut + a])))
+                docs.append((len(docs), " ".join(["changed", *w[a + 1:len(w) - cut + a]])))
+    want = brute_short(docs, items)
+    got = result(spark, docs, items)
+    assert set(got) == set(want) and len(want) > len(brute(docs, items)) + 50
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_given_tables_equal_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
