@@ -56,6 +56,12 @@ def crc32_bucket(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
 
 
+def text_key(text: str = "text") -> Column:
+    """64-bit hash of the text (null as empty): with the id, the key of a row whose id
+    is null or repeated."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
                 schema: str) -> DataFrame:
     """One Arrow batch in, one out; the plan keeps its partitioning."""

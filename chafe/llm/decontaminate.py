@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, utf8, written
+from .common import map_batches, small_batches, text_key, utf8, written
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -91,7 +91,8 @@ def _salted(hashes: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def benchmark_items(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(item_id, size, fp, words): size in words; items without a word are left out."""
+    """(item, item_id, size, fp, words): item is a key of the row (stable once written),
+    size in words; items without a word are left out."""
     def item(b: pa.RecordBatch) -> pa.RecordBatch:
         cache, rows = _WordHashes(), []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -102,7 +103,8 @@ def benchmark_items(benchmark: DataFrame, text: str = "text", item_id: str = "it
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
             cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["item_id", "size", "fp", "words"])
     return map_batches(benchmark.select(F.col(item_id).cast("long"), utf8(text)), item,
-                       "item_id long, size int, fp long, words binary")
+                       "item_id long, size int, fp long, words binary") \
+        .select(F.monotonically_increasing_id().alias("item"), "*")
 
 
 def _shingle_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -168,15 +170,18 @@ def _near_block_values() -> list[int]:
     return [v for v in range(1 << BLOCK_BITS) if v.bit_count() <= BLOCK_RADIUS]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, similarity): every document and item with a window of the
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, key, item_id, similarity): every document and item with a window of the
     item's size (the whole document where that is shorter) at weighted-shingle
-    similarity MIN_SIMILARITY or more, with the largest similarity.
+    similarity MIN_SIMILARITY or more, with the largest similarity.  ``key`` is the
+    document's text_key(), so rows of a null or repeated doc_id are judged each by
+    its own text.
 
     Defined cases: null or empty texts and items without a word match nothing;
     items of under five words are one shingle and match when they occur word
-    for word; rows that share a doc_id (a null one too) count as one document;
-    an empty table on either side gives no rows; other columns are not read.
+    for word; rows that share doc_id and text count as one document; items
+    without an id (null) are found like any other, and items of one id count as
+    one; an empty table on either side gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -189,44 +194,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
         bits, lengths = shared.value
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, t in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(2).to_pylist()):
                 w = words_of(t)
-                rows += [(d, n, fp, b" ".join(w[s:s + n])) for n, s, fp in item_windows(w, lengths, bits, cache)]
-            cols = list(zip(*rows)) or [[]] * 4
+                rows += [(*d, n, fp, b" ".join(w[s:s + n])) for n, s, fp in item_windows(w, lengths, bits, cache)]
+            cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "size", "fp", "window"])
+                cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "key", "size", "fp", "window"])
 
-    found = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text)).mapInArrow(
-        windows, "doc_id long, size int, fp long, window binary").distinct())
+    found = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text), utf8(text)).mapInArrow(
+        windows, "doc_id long, key long, size int, fp long, window binary").distinct())
     # a passage shared by many documents is looked up once
     unique = written(found.groupBy("size", "fp", "window").agg(F.count("*").alias("n")).drop("n"))
 
     blocks = F.array(*[F.struct(F.lit(j).alias("j"), _block(F.col("fp"), j).alias("v")) for j in range(BLOCKS)])
     masks = F.array(*[F.lit(v).cast("long") for v in _near_block_values()])
     probe = unique.select("*", F.explode(blocks).alias("b")).select("size", "fp", "window", "b.j", "b.v")
-    index = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")) \
-        .select("item_id", "size", "item_fp", "b.j", "b.v", F.explode(masks).alias("mask")) \
-        .select("item_id", "size", "item_fp", "j", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+    index = items.select("item", "size", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")) \
+        .select("item", "size", "item_fp", "b.j", "b.v", F.explode(masks).alias("mask")) \
+        .select("item", "size", "item_fp", "j", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(F.bit_count(_block(differ, j)) <= BLOCK_RADIUS, F.lit(j)) for j in range(BLOCKS)])
     pairs = probe.join(index, ["size", "j", "v"]) \
         .where((F.bit_count(differ) <= MAX_BITS) & (F.col("j") == first)) \
-        .select("size", "fp", "window", "item_id")
+        .select("size", "fp", "window", "item")
 
     @F.pandas_udf("double")
     def similarity(window: pd.Series, item: pd.Series) -> pd.Series:
         return pd.Series([weighted_similarity(a.split(b" "), b.split(b" ")) for a, b in zip(window, item)],
                          dtype=float)
 
-    verified = written(pairs.join(items.select("item_id", F.col("size"), "words"), ["item_id", "size"])
+    verified = written(pairs.join(items.select("item", "item_id", "words"), "item")
                        .withColumn("similarity", similarity("window", "words"))
                        .where(F.col("similarity") >= MIN_SIMILARITY)
                        .select("size", "fp", "window", "item_id", "similarity"))
     return found.join(verified, ["size", "fp", "window"]) \
+        .groupBy("doc_id", "key", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, item_id, similarity): contaminated_rows() with the rows of a doc_id
+    (a null one too) as one document."""
+    return contaminated_rows(docs, benchmark, text, doc_id) \
         .groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay."""
-    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item; all columns stay."""
+    bad = written(contaminated_rows(docs, benchmark)
+                  .select(F.col("doc_id").alias("__bad"), F.col("key").alias("__bad_key")).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (text_key() == bad["__bad_key"]), "left_anti")

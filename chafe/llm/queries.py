@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (decontaminate, language_id, line_dedup, secret_scan, sentencepiece_unigram, simhash_dedup, token_files,
                topk_search, toxicity, url_filter)
-from .common import scratch, table
+from .common import scratch, table, text_key
 
 
 def op1_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -44,14 +44,18 @@ def op3_topk_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, contaminated, item_ids, similarity) for every document."""
+    """(doc_id, contaminated, item_ids, similarity) for every document, judged by its
+    own text; an item without an id is a null in item_ids."""
     docs = table(spark, d, "documents")
-    hits = decontaminate.contaminated(docs, table(spark, d, "benchmark")).groupBy("doc_id") \
-        .agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return own.join(hits.withColumnRenamed("doc_id", "__id"), own["doc_id"].eqNullSafe(F.col("__id")), "left") \
-        .select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"),
-                F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "similarity")
+    hits = decontaminate.contaminated_rows(docs, table(spark, d, "benchmark")) \
+        .groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")) \
+        .agg(F.collect_list(F.struct("item_id")).alias("items"), F.max("similarity").alias("similarity"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
+    same = own["doc_id"].eqNullSafe(F.col("__id")) & (own["key"] == F.col("__key"))
+    return own.join(hits, same, "left") \
+        .select("doc_id", F.col("items").isNotNull().alias("contaminated"),
+                F.coalesce(F.array_sort(F.col("items.item_id")), F.array().cast("array<long>")).alias("item_ids"),
+                "similarity")
 
 
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from chafe.llm import decontaminate as D
+from chafe.llm.queries import op4_benchmark_decontamination
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,6 +93,23 @@ def test_given_tables_equal_brute_force(spark):
     assert {k for k in got if k[0] in ids} == set(brute(docs, items))
 
 
+def test_rows_of_null_or_repeated_ids_are_judged_alone(spark, tmp_path):
+    rng = random.Random(17)
+    a, b, clean = (" ".join(f"{c}{rng.randrange(400)}" for _ in range(20)) for c in "abc")
+    rows = [(None, a), (None, clean), (None, None), (4, a), (4, clean), (4, b), (5, clean), (6, a + " " + b), (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, a), (None, b), (None, "another text of no id at all"), (1, "x y z x y z")],
+                                  "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = D.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(None, clean), (None, None), (4, clean), (5, clean)], key=repr)
+    got = sorted(((r.doc_id, r.contaminated, r.item_ids) for r in op4_benchmark_decontamination(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, True, [1]), (None, False, []), (None, False, []), (4, True, [1]), (4, False, []), (4, True, [None]),
+                          (5, False, []), (6, True, [1, None]), (7, True, [None])], key=repr)
+
+
 def test_empty_tables(spark):
     assert result(spark, [], [(1, "a b c d e f")]) == {}
     assert result(spark, [(1, "a b c d e f")], []) == {}
