@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, utf8, written
+from .common import map_batches, small_batches, text_key, utf8, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -64,14 +64,16 @@ def simhash64(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                  words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long.  Null text counts as empty."""
+    """(doc_id, key, fp): the text_key(), and the 64 bits as a signed long.  Null text
+    counts as empty."""
     small_batches(docs.sparkSession)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([simhash64(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("t")),
-                       one, "doc_id long, fp long")
+        fp = np.array([simhash64(t, words) for t in b.column(2).to_pylist()], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
+                                          ["doc_id", "key", "fp"])
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"),
+                                   utf8(text).alias("t")), one, "doc_id long, key long, fp long")
 
 
 def _long(v: int) -> Column:
@@ -145,6 +147,13 @@ def links(fps: DataFrame) -> DataFrame:
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
 
 
+def _labelled(reps: DataFrame) -> DataFrame:
+    """``reps`` (fp and other columns) with the label of each fingerprint's component."""
+    labels = connected_components(written(links(reps.select("fp"))))
+    return written(reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+                   .select(*reps.columns, F.coalesce("label", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
@@ -158,11 +167,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     if max_bits != MAX_BITS:
         raise ValueError(f"the grid ranges are built for {MAX_BITS} differing bits")
-    rows = written(fingerprints(docs, text, doc_id, words))
+    rows = written(fingerprints(docs, text, doc_id, words).drop("key"))
     reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = connected_components(written(links(reps.select("fp"))))
-    named = written(reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-                    .select("fp", "rep", F.coalesce("label", "fp").alias("label")))
+    named = _labelled(reps)
     least = written(named.groupBy("label").agg(F.min("rep").alias("component_id")))
     by_fp = written(named.join(least, "label").select("fp", "component_id"))
     return rows.join(by_fp, "fp").select(
@@ -170,18 +177,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def keep_first_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the least doc_id.
+    """``docs`` with one document of each near-duplicate group: the least doc_id (of
+    rows that share it, the least text_key()).
 
-    All columns stay.  Of repeated rows of one doc_id one stays; rows without
-    an id can't be named by a group and stay.  Only ids are shuffled, and the
-    rows of repeated ids.
+    All columns stay.  Rows are judged by (doc_id, text), so the other texts of
+    a repeated id stay with their own groups; of rows equal in both one stays.
+    Rows without an id can't be named by a group: one of them stays as well.
+    Only ids and hashes are shuffled, and the rows of repeated ones.
     """
-    groups = written(near_duplicates(docs, words=words).where(F.col("doc_id").isNotNull()))
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    twice = written(groups.groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice"))
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    on_twice = kept["doc_id"] == twice["__twice"]
-    nth = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    first = kept.join(twice, on_twice, "left_semi").withColumn("__nth", F.row_number().over(nth)) \
+    rows = written(fingerprints(docs, words=words))
+    # least (id, key) of the rows with an id, least key of those without
+    mine = F.struct("doc_id", "key")
+    noid = F.col("doc_id").isNull()
+    best = [F.min(F.when(~noid, mine)).alias("named"), F.min(F.when(noid, F.col("key"))).alias("unnamed")]
+    reps = written(rows.groupBy("fp").agg(*best))
+    labelled = _labelled(reps)
+    least = labelled.groupBy("label").agg(F.min("named").alias("keep"), F.min("unnamed").alias("keep_unnamed"))
+    by_fp = written(labelled.select("fp", "label").join(written(least), "label").select("fp", "keep", "keep_unnamed"))
+    stays = F.when(noid, F.col("key") == F.col("keep_unnamed")).otherwise(mine == F.col("keep"))
+    gone = written(rows.join(by_fp, "fp").where(~stays)
+                   .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct())
+    twice = written(rows.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).count()
+                    .where("count > 1").drop("count"))
+
+    def same(d: DataFrame, keys: DataFrame) -> Column:
+        return d["doc_id"].eqNullSafe(keys["__id"]) & (text_key() == keys["__key"])
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    nth = Window.partitionBy("doc_id", text_key()).orderBy(F.xxhash64(*docs.columns))
+    first = kept.join(twice, same(kept, twice), "left_semi").withColumn("__nth", F.row_number().over(nth)) \
         .where("__nth = 1").select(*docs.columns)
-    return kept.join(twice, on_twice, "left_anti").unionByName(first)
+    return kept.join(twice, same(kept, twice), "left_anti").unionByName(first)

@@ -90,6 +90,13 @@ def test_empty_table_and_kept_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3, None]
 
 
+def test_kept_rows_of_repeated_and_null_ids(spark):
+    a, b, c, e = "a b c d", "quite another text it is", "one more text of its own", "the last of the texts here"
+    rows = [(1, a), (5, a), (5, b), (5, b.upper()), (5, c), (5, c), (7, c), (None, e), (None, e), (None, e.upper()), (8, b)]
+    kept = [(r.doc_id, r.text.lower()) for r in S.keep_first_of_each(frame(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (5, b), (5, c), (None, e)], key=repr)
+
+
 def test_very_long_text():
     text = b"lorem ipsum dolor sit amet " * 40_000
     assert S.simhash64(text) == S.simhash64(text)
