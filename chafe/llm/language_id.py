@@ -6,12 +6,12 @@ the language's text is one phrase, and the next phrase starts behind it; the
 language needing fewest phrases wins, with the phrases normalised to
 phrases * log2(length of the language's text) / symbols of the document.
 
-Texts are read as symbols: the alphabet of the training text, one symbol for
-any other letter, and one for each run of non-letters.  A phrase ends at
+Texts are read as symbols: one for each letter of the training sample, one for
+any letter never seen there, and one for each run of non-letters.  A phrase ends at
 every 512th symbol (the same for all languages), so pieces of all texts of an
 Arrow batch walk all automata at once, one vectorised step per symbol.
 Learning reads a bounded hash sample of documents per language; every text
-is parsed whole.
+is parsed whole.  Transitions are kept sparse, so the alphabet may have any size.
 """
 
 from __future__ import annotations
@@ -27,15 +27,14 @@ from .common import crc32_bucket, small_batches
 
 TRAIN_CHARS = 16_000        # characters of the text that a language's automaton is built from
 TRAIN_DOCS = 100            # documents sampled for a language, about
-ALPHABET = 60               # letters with a symbol of their own
 PIECE = 512                 # symbols parsed at a time
 SPACE, OTHER = 0, 1
 UNDETERMINED = "und"
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transition table of the suffix automaton of a sequence over ``width``
-    symbols: state 1 is the start, entry 0 is no transition."""
+def suffix_edges(symbols: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of a sequence: number of states (1 is the start, 0 is none),
+    and from, symbol and to of its transitions."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for c in symbols.tolist():
@@ -61,13 +60,70 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nxt), width), np.int32)
-    for s, t in enumerate(nxt):
-        for c, to in t.items():
-            table[s, c] = to
+    size = [len(t) for t in nxt]
+    return (len(nxt), np.repeat(np.arange(len(nxt)), size), np.array([c for t in nxt for c in t], np.int64),
+            np.array([to for t in nxt for to in t.values()], np.int64))
+
+
+def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
+    """The same as a dense table over ``width`` symbols, 0 for no transition."""
+    n, state, c, to = suffix_edges(symbols)
+    table = np.zeros((n, width), np.int32)
+    table[state, c] = to
     return table
 
 
+class Transitions:
+    """state, symbol -> state as an open hash table with linear probing, 0 for none."""
+
+    def __init__(self, width: int, keys: np.ndarray, to: np.ndarray):
+        self.width, self.keys, self.to = width, keys, to
+        self.mask, self.shift = len(keys) - 1, np.uint64(65 - len(keys).bit_length())
+
+    def parts(self) -> tuple:
+        return self.width, self.keys, self.to
+
+    @classmethod
+    def of_edges(cls, width: int, state: np.ndarray, symbol: np.ndarray, to: np.ndarray) -> Transitions:
+        slots = 1 << max(4, (4 * len(state)).bit_length())
+        t = cls(width, np.full(slots, -1, np.int64), np.zeros(slots, np.int32))
+        key = state.astype(np.int64) * width + symbol
+        at = t._slot(key)
+        while len(key):
+            free = np.flatnonzero(t.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            t.keys[at[put]], t.to[at[put]] = key[put], to[put]
+            rest = np.ones(len(key), bool)
+            rest[put] = False
+            key, to, at = key[rest], to[rest], (at[rest] + 1) & t.mask
+        return t
+
+    @classmethod
+    def of_table(cls, table: np.ndarray) -> Transitions:
+        state, symbol = np.nonzero(table)
+        return cls.of_edges(table.shape[1], state, symbol, table[state, symbol])
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = (state * self.width + symbol).reshape(-1)
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.to[at], 0)
+        todo = np.flatnonzero((found != key) & (found >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            k, found = key[todo], self.keys[at]
+            hit = found == k
+            out[todo[hit]] = self.to[at[hit]]
+            on = ~hit & (found >= 0)
+            todo, at = todo[on], at[on]
+        return out.reshape(state.shape)
+
+
 def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
 
@@ -86,18 +142,20 @@ def symbols_of(text: str | None, symbol: np.ndarray) -> np.ndarray:
 
 
 class LanguageModel:
-    """names; symbol of each code point; one transition table for all automata
-    (their starts in ``starts``) and the log of each one's length."""
+    """names; symbol of each code point; the transitions of all automata, as parts of
+    Transitions or a dense table (their starts in ``starts``), and the log of each one's length."""
 
-    def __init__(self, names: list[str], symbol: np.ndarray, table: np.ndarray, starts: np.ndarray, logs: np.ndarray):
+    def __init__(self, names: list[str], symbol: np.ndarray, table: tuple | np.ndarray, starts: np.ndarray,
+                 logs: np.ndarray):
+        table = Transitions.of_table(table) if isinstance(table, np.ndarray) else Transitions(*table)
         self.names, self.symbol, self.table, self.starts, self.logs = names, symbol, table, starts, logs
 
     def parts(self) -> tuple:
-        return self.names, self.symbol, self.table, self.starts, self.logs
+        return self.names, self.symbol, self.table.parts(), self.starts, self.logs
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrases of each document (rows) in each language (columns)."""
-        n_lang, width = len(self.names), self.table.shape[1]
+        n_lang, width = len(self.names), self.table.width
         owner = np.repeat(np.arange(len(docs)), [-(-len(d) // PIECE) for d in docs])
         total = np.zeros((len(docs), n_lang), np.int64)
         if not len(owner):
@@ -109,7 +167,7 @@ class LanguageModel:
         lanes = np.zeros((size[0], len(order)), np.int64)
         for j, o in enumerate(order):
             lanes[:size[j], j] = pieces[o]
-        flat = self.table.reshape(-1)
+        first = self.table.step(np.repeat(self.starts[:, None], width, axis=1), np.arange(width)[None, :])
         start = np.repeat(self.starts[:, None], len(order), axis=1)
         state, count = start.copy(), np.ones((n_lang, len(order)), np.int64)     # the first phrase is open
         fresh = np.ones_like(state, dtype=bool)       # the open phrase is still empty
@@ -117,11 +175,11 @@ class LanguageModel:
         for i in range(size[0]):
             m = live[i]
             c, st = lanes[i, :m], state[:, :m]
-            to = flat[st * width + c]
+            to = self.table.step(st, c)
             stop = to == 0
             if stop.any():
                 # the phrase ends in front of this symbol; an empty one takes the symbol itself
-                again = flat[start[:, :m] * width + c]
+                again = first[:, c]
                 empty = fresh[:, :m]
                 count[:, :m] += stop & ~empty
                 alone = stop & (again == 0)
@@ -180,23 +238,23 @@ def learn(docs: DataFrame) -> LanguageModel | None:
     rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in training_sample(docs).toLocalIterator())
     if not rows:
         return None
-    symbol = _letters()
+    symbol = _letters().astype(np.int32)
     counts = np.bincount(np.concatenate([code_points(t) for _, _, t in rows]), minlength=len(symbol))
     counts[symbol[:len(counts)] == SPACE] = 0
-    common = np.argsort(-counts, kind="stable")[:ALPHABET]
-    common = common[counts[common] > 0]
-    symbol[common] = np.arange(2, 2 + len(common))
-    width = 2 + len(common)
+    seen = np.flatnonzero(counts)
+    symbol[seen] = np.arange(2, 2 + len(seen))
+    width = 2 + len(seen)
     names = sorted({r[0] for r in rows})
-    tables, starts, logs, at = [], [], [], 0
+    edges, starts, logs, at = [], [], [], 0
     for name in names:
         text = np.concatenate([symbols_of(t, symbol) for t in _fitting([t for lang, _, t in rows if lang == name])])
-        t = suffix_automaton(text, width)
+        n, state, c, to = suffix_edges(text)
         starts.append(at + 1)
-        tables.append(np.where(t > 0, t + at, 0))
+        edges.append((state + at, c, to + at))
         logs.append(np.log2(max(2, len(text))))
-        at += len(t)
-    return LanguageModel(names, symbol, np.concatenate(tables).astype(np.int32), np.array(starts), np.array(logs))
+        at += n
+    table = Transitions.of_edges(width, *map(np.concatenate, zip(*edges)))
+    return LanguageModel(names, symbol, table.parts(), np.array(starts), np.array(logs))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -80,6 +80,30 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_languages_that_share_a_script_of_many_letters(spark):
+    """Words of two letters of 400, the same letters in both languages."""
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(400)]
+    words = {"aa": [], "bb": []}
+    for own in words.values():
+        order = rng.sample(letters, len(letters))
+        own += ["".join(order[i:i + 2]) for i in range(0, 400, 2)]
+    rows = []
+    for d in range(300):
+        lang = rng.choice(list(words))
+        rows.append((d, "".join(rng.choices(words[lang], k=rng.randint(30, 60))), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = [r for r in N.identify(df).collect() if r.held_out]
+    assert len(held) > 30 and sum(r.lang_pred == rows[r.doc_id][2] for r in held) / len(held) > 0.97
+
+
+def test_sparse_transitions_equal_the_dense_table():
+    rng = np.random.default_rng(5)
+    table = np.where(rng.random((700, 90)) < 0.05, rng.integers(1, 700, (700, 90)), 0).astype(np.int32)
+    state, symbol = np.repeat(np.arange(700), 90).reshape(90, 700), np.tile(np.arange(90), 700).reshape(90, 700)
+    assert (N.Transitions.of_table(table).step(state, symbol) == table[state, symbol]).all()
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in N.identify(df).collect()] == ["und"]
