@@ -26,6 +26,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def byte_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound an Arrow batch in bytes as well, for rows that can be long."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def scratch(spark: SparkSession) -> str:
     """Folder for written intermediates below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/llm"

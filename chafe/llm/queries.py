@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language_id, line_dedup, secret_scan, sentencepiece_unigram, simhash_dedup, token_files,
-               topk_search, toxicity, url_filter)
+from . import (chat_format, collocations, decontaminate, language_id, line_dedup, prefix_trie, secret_scan,
+               sentencepiece_unigram, simhash_dedup, token_files, topk_search, toxicity, url_filter)
 from .common import scratch, table, text_key
 
 
@@ -97,6 +97,27 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language_id.identify(table(spark, d, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, d, "conversations"))))
+
+
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+# ---- fixed values: the conversation that the contract adds ----
+ADDED_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+# ---------------------------------------------------------------
+
+
+def op13_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    """Formats all conversations into files and reads the digests back from them."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(ADDED_CONVERSATION, "conv_id long, turn long, role string, text string")
+    folder = chat_format.format_conversations(rows.unionByName(added))
+    return chat_format.read_digests(spark.read.schema(chat_format.PARTS).parquet(folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -108,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_collocations": op12_collocations,
+    "op13_chat_format": op13_chat_format,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -208,5 +232,82 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
        coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN per USING (doc_id)
+""",
+    # crc32 of the decimal id, bit by bit; nodes are grouped by the list of their turns
+    "op11_conversation_trie": r"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS seq
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT],
+      flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], repeat([-1::BIGINT], 8))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END),
+    4294967295) % 9 AS h FROM own),
+conv AS (
+  SELECT a.conv_id, list_concat(coalesce(b.seq[1:a.h], []), a.seq[a.h + 1:]) AS seq
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+node AS (
+  SELECT d AS depth, seq[1:d] AS path, count(*) AS n_convs, min(conv_id) AS conv_id,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE len(seq) = d), '')) AS ends_sha256
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM conv) GROUP BY ALL),
+kids AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+full_ AS (
+  SELECT node.*, coalesce(kids.n, 0) AS n_children,
+         CASE WHEN node.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(node.path[-1].t) END AS saved
+  FROM node LEFT JOIN kids ON node.depth = kids.depth AND node.path = kids.path),
+-- a node belongs to the subtree of each of its own prefixes
+up AS (
+  SELECT k AS depth, path[1:k] AS path, sum(saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM full_) GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, up.n_leaves, up.saved_tokens, f.ends_sha256
+FROM full_ f JOIN up ON f.depth = up.depth AND f.path = up.path
+LEFT JOIN node p ON p.depth = f.depth - 1 AND p.path = f.path[1:f.depth - 1] AND f.depth > 0
+""",
+    # all phrases of up to four words are counted
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(""" + _LOWER.format("coalesce(text, '')")
+    + r""", '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+cnt AS (
+  SELECT lang, s, ws[i:i + s - 1] AS g, count(*) AS f
+  FROM (SELECT lang, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) t(s))
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM cnt WHERE s = 1 GROUP BY lang),
+cand AS (SELECT * FROM cnt WHERE s >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.g, c.s, c.f AS a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM cand) c
+  JOIN cnt l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN cnt r ON r.lang = c.lang AND r.g = c.g[c.k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, g[i:i + m - 1] AS g, max(f) AS most
+  FROM (SELECT cand.*, m, unnest(range(1, s - m + 2)) AS i FROM cand, (VALUES (2), (3)) t(m) WHERE m < s) GROUP BY ALL),
+left_ AS (
+  SELECT best.* FROM best LEFT JOIN longer USING (lang, g) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM left_)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    # a turn is escaped by one character at each place that looks like a control string
+    "op13_chat_format": r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text,
+      '<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>|\[\\*ROLE=|\[\\*/ROLE\]'))
+    + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 17 WHEN 'assistant' THEN 5
+      ELSE 16 + length(role) + 2 * len(regexp_extract_all(role, '[%<\[\]]')) END AS chars FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
 """,
 }

@@ -24,10 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import byte_batches, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0       # below the least score, as in the public library
@@ -238,8 +240,8 @@ def viterbi_long(raw: bytes, v: Vocabulary) -> list[int]:
 class Encoder:
     """Encodes batches of texts, remembering a bounded number of units."""
 
-    def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
+    def __init__(self, v: Vocabulary, cache_units: int = _CACHE_UNITS):
+        self.v, self.known, self.cache_units = v, {}, cache_units
         self.cut = re.compile(r"\n| *[^ \n]+| +" if v.cut_lines else r" *[^ ]+| +")
 
     def learn(self, units: set[str]) -> None:
@@ -256,7 +258,7 @@ class Encoder:
                 self.known[u] = np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > _CACHE_UNITS:
+        if len(self.known) > self.cache_units:
             self.known.clear()
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
         fresh = set().union(*cut).difference(self.known)
@@ -298,3 +300,38 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "__ids", out: str = "
         for s in batches:
             yield pd.Series(["" if x is None else decode_ids(x.tolist(), pieces.value) for x in s], dtype=object)
     return encoded.withColumn(out, back(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
+               out: str = "decoded") -> DataFrame:
+    """``docs`` with the piece ids of ``text`` in ``ids`` and the text decoded from
+    them in ``out``, both from one Python worker a task.
+
+    One pass holds one vocabulary and one cache of units where ``encode`` and
+    ``decode`` behind each other hold two; batches are bounded in bytes.  Null
+    and empty texts have no ids and an empty decoded text.  ``ids`` and ``out``
+    must not be columns of ``docs``.
+    """
+    clash = {ids, out} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    spark = docs.sparkSession
+    byte_batches(spark)
+    v = load_vocabulary(model_path)
+    shared = spark.sparkContext.broadcast((v.base, v.check, v.piece, v.score, v.byte_id, v.text, v.cut_lines))
+    at = docs.columns.index(text)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(*shared.value)
+        e = Encoder(vocabulary, _CACHE_UNITS // 4)
+        for b in batches:
+            coded = e.encode(b.column(at).to_pylist())
+            offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *coded])
+            back = [decode_ids(c.tolist(), vocabulary.text) for c in coded]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())),
+                 pa.array(back, pa.string())], names=[*b.schema.names, ids, out])
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())),
+                           T.StructField(out, T.StringType())])
+    return docs.mapInArrow(both, schema)

@@ -86,3 +86,15 @@ def test_round_trip_in_spark(spark):
     out = U.decode(U.encode(df, PATH), PATH).collect()
     assert all(r["__text"] == (r.text or "") for r in out) and len(out) == 5
     assert U.encode(df.where("false"), PATH).count() == 0
+
+
+def test_one_pass_equals_encode_and_decode(spark):
+    rows = [(1, "ab  cd\nef"), (2, None), (3, ""), (4, "\u2581 x" * 30_000), (4, "\u4e2d\u6587 \U0001f600")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    two = U.decode(U.encode(docs, PATH), PATH)
+    one = U.round_trip(docs, PATH)
+    key = lambda r: (r[0], str(r[1]))
+    assert sorted(([r.doc_id, r.text, r.ids, r.decoded] for r in one.collect()), key=key) == sorted(
+        ([r.doc_id, r.text, r["__ids"], r["__text"]] for r in two.collect()), key=key)
+    with pytest.raises(ValueError):
+        U.round_trip(docs.withColumnRenamed("doc_id", "ids"), PATH)
