@@ -44,10 +44,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_ids, text): piece ids, and the text decoded from them."""
-    out = sentencepiece_unigram.decode(
-        sentencepiece_unigram.encode(docs.select("doc_id", "text"), VOCABULARY), VOCABULARY)
-    return out.select("doc_id", F.col("__ids").alias("ids"), F.size("__ids").cast("long").alias("n_ids"),
-                      F.col("__text").alias("text"))
+    out = sentencepiece_unigram.round_trip(docs.select("doc_id", "text"), VOCABULARY)
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").alias("text"))
 
 
 STAGES = [
