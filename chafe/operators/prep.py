@@ -9,7 +9,9 @@ skewed partitions (one PR with a third of all comments).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import (clean_text, duration_s, is_bot, keep_duration, long_enough,
@@ -108,13 +110,72 @@ def project_items(df: DataFrame) -> DataFrame:
     return d.select(*[c for c in ITEM_COLUMNS + SCORE_COLUMNS if c in d.columns])
 
 
-def build_review_items(prs: DataFrame, comments: DataFrame, reviews: DataFrame,
-                       task_types: DataFrame, min_seconds: float = 60.0) -> DataFrame:
-    """Entry 2 of the reference: raw tables -> unified review items."""
+# ---- fixed values: the steps of a run, in order, for each table ----
+FUNNEL_STEPS = {"prs": ("input", "not_quick_close"), "comments": ("input", "joined", "not_bot", "long_enough"),
+                "reviews": ("input", "joined", "not_bot", "long_enough")}
+# --------------------------------------------------------------------
+
+
+@dataclass
+class Funnel:
+    """Rows that each step of a run keeps, counted by the pass that computes the
+    items (``DataFrame.observe``), without another scan.
+
+    The counts are there once an action over all items is done, such as the write of
+    the facts.  They add up what tasks report: steps in front of a shuffle count the
+    rows of a task again if a lost executor makes Spark run that task once more."""
+    seen: list[tuple[str, Observation, DataFrame]] = field(default_factory=list)
+
+    def watch(self, df: DataFrame, table: str, **steps: Column) -> DataFrame:
+        """``df``, counting the rows for which each step's condition is true."""
+        o, counts = Observation(), [F.count(F.when(c, F.lit(1))).alias(name) for name, c in steps.items()]
+        self.seen.append((table, o, df.agg(*counts)))
+        return df.observe(o, *counts)
+
+    def counts(self) -> list[tuple[str, int, str, int]]:
+        """(table, step_no, step, n_rows); waits for the action.
+
+        Where the optimizer left a step out of the plan, because a join met an empty
+        side, its rows are counted by a query of their own."""
+        got: dict[str, dict[str, int]] = {}
+        for table, o, again in self.seen:
+            observed = o._jo.getRow().length() > 0
+            got.setdefault(table, {}).update(o.get if observed else again.first().asDict())
+        return [(table, i, step, got[table][step]) for table, steps in FUNNEL_STEPS.items() if table in got
+                for i, step in enumerate(steps)]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.counts(), "source_table string, step_no int, step string, n_rows long")
+
+
+def _watched_items(items: DataFrame, funnel: Funnel, table: str, user_type: str | None) -> DataFrame:
+    """Bot and length steps as flags of one row each, counted together."""
+    if "clean_body" not in items.columns:
+        items = items.withColumn("clean_body", clean_text("body"))
+    person = ~is_bot("user", user_type if user_type and user_type in items.columns else None)
+    kept = person & F.coalesce(long_enough("clean_body"), F.lit(False))
+    return funnel.watch(items, table, joined=F.lit(True), not_bot=person, long_enough=kept).where(kept)
+
+
+def build_review_items(prs: DataFrame, comments: DataFrame, reviews: DataFrame, task_types: DataFrame,
+                       min_seconds: float = 60.0, funnel: Funnel | None = None) -> DataFrame:
+    """Entry 2 of the reference: raw tables -> unified review items.  With a ``funnel``
+    the rows of every step are counted on the way; texts must not be cut by length
+    before then."""
     p = with_task_type(drop_quick_close(prs, min_seconds), task_types)
     # the account type marks bots among reviewers only
-    mc = clean_and_filter(drop_bots(join_comments(comments, p), user_type=None))
-    mr = clean_and_filter(drop_bots(join_reviews(reviews, p)))
+    if funnel is None:
+        mc = clean_and_filter(drop_bots(join_comments(comments, p), user_type=None))
+        mr = clean_and_filter(drop_bots(join_reviews(reviews, p)))
+        return combine(project_items(mc), project_items(mr))
+    timed = prs.withColumn("pr_duration_seconds", duration_s("created_at", "closed_at"))
+    keep = keep_duration("pr_duration_seconds", min_seconds)
+    # pull requests feed both joins; one side of them counts
+    counted = with_task_type(funnel.watch(timed, "prs", input=F.lit(True), not_quick_close=keep).where(keep), task_types)
+    comments = funnel.watch(comments, "comments", input=F.lit(True))
+    reviews = funnel.watch(reviews, "reviews", input=F.lit(True))
+    mc = _watched_items(join_comments(comments, counted), funnel, "comments", None)
+    mr = _watched_items(join_reviews(reviews, p), funnel, "reviews", "user_type")
     return combine(project_items(mc), project_items(mr))
 
 

@@ -3,9 +3,11 @@
 
 Terms are counted per topic with ``explode`` + partial aggregation, so a
 topic holding a third of all texts is combined map-side.  Clustering uses
-Spark ML (PCA -> BisectingKMeans) in place of the reference's single-machine
-UMAP/HDBSCAN; small clusters become the outlier topic -1 and topics are
-numbered by size.
+BisectingKMeans over few dimensions (PCA of given vectors, or a randomised SVD of
+TF-IDF rows, ``vectors``) in place of the reference's single-machine UMAP/HDBSCAN.
+Small clusters and rows far from their centre become the outlier topic -1, and
+topics are numbered by size; cuts and numbers are fitted and stay with the
+model (``topic_map``).
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col_
 from ..session import cut_lineage, group_side
+from .cosine import cosine_pairs
+from .topic_map import MIN_TOPIC_SIZE, OUTLIER_QUANTILE, OUTLIER_TOPIC, fit_topic_map
+from .vectors import VOCABULARY, fit_text_vectors
 
 # ---- fixed values -----------------------------------------------------------
 # English stop words removed before n-grams are built.
@@ -39,9 +44,7 @@ STOP_WORDS = [
 # Terms: lowercase runs of two or more letters, digits or underscores.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 TERM_SPLIT = r"[^\p{L}\p{N}_]+"
-MIN_TOPIC_SIZE = 5
 MIN_STUDY_ROWS = 10
-OUTLIER_TOPIC = -1
 # ---------------------------------------------------------------------------
 
 
@@ -150,45 +153,47 @@ def topic_count(n: int) -> int:
     return max(2, round(2 * n ** (1 / 3)))
 
 
-def fit_topic_model(df: DataFrame, vec: str, k: int | None = None, dims: int = 5, seed: int = 42):
+def _with_topics(stages: list, clustered: DataFrame, vector: str, min_size: int, quantile: float | None):
+    """The fitted stages and the topic map of their clusters, as one pipeline."""
+    from pyspark.ml import PipelineModel
+    topics = fit_topic_map(clustered, stages[-1].clusterCenters(), vector, min_size=min_size, quantile=quantile)
+    return PipelineModel(stages=[*stages, topics])
+
+
+def fit_topic_model(df: DataFrame, vec: str, k: int | None = None, dims: int = 5, seed: int = 42,
+                    min_size: int = MIN_TOPIC_SIZE, quantile: float | None = OUTLIER_QUANTILE):
     """Array column -> vector -> PCA(dims) -> BisectingKMeans(k, by default
-    ``topic_count`` of the data)."""
+    ``topic_count`` of the data) -> topic map."""
     k = k if k is not None else topic_count(df.count())
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import PCA
     pca = PCA(k=dims, inputCol="_vec", outputCol="_pca")
     km = BisectingKMeans(k=k, seed=seed, featuresCol="_pca", predictionCol="_cluster")
-    model = Pipeline(stages=[pca, km]).fit(with_vector(df, vec))
+    rows = with_vector(df, vec)
+    base = Pipeline(stages=[pca, km]).fit(rows)
+    model = _with_topics(base.stages, base.transform(rows), "_pca", min_size, quantile)
     model._chafe_vec = vec
     return model
 
 
 def fit_text_topics(df: DataFrame, text: str, k: int | None = None, dims: int = 5, seed: int = 42,
-                    num_features: int = 1 << 10):
-    """T2/T3 without a sentence embedder: hashed TF-IDF vectors -> PCA -> BisectingKMeans.
-    The fitted pipeline saves, loads and assigns like any Spark ML model."""
-    from pyspark.ml import Pipeline
+                    vocabulary: int = VOCABULARY, min_size: int = MIN_TOPIC_SIZE,
+                    quantile: float | None = OUTLIER_QUANTILE):
+    """T2/T3 without a sentence embedder: TF-IDF rows over a counted vocabulary ->
+    randomised SVD -> BisectingKMeans -> topic map.  The fitted pipeline saves,
+    loads and assigns like any Spark ML model."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
     k = k if k is not None else topic_count(df.count())
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TERM_SPLIT, minTokenLength=2),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_vec"),
-        PCA(k=dims, inputCol="_vec", outputCol="_pca"),
-        BisectingKMeans(k=k, seed=seed, featuresCol="_pca", predictionCol="_cluster")]).fit(df)
-
-
-def number_topics(pred: DataFrame, min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
-    """``_cluster`` -> ``topic``: clusters under ``min_size`` rows -> -1; others
-    renumbered 0.. by size (descending, ties to the lower cluster id)."""
-    sizes = pred.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_size"))
-    w = Window.orderBy(F.desc("_size"), F.asc("_cluster"))  # one row per cluster (k rows)
-    ids = sizes.where(F.col("_size") >= min_size).withColumn("_topic", F.row_number().over(w) - 1)
-    out = pred.join(F.broadcast(ids.select("_cluster", "_topic")), "_cluster", "left")   # k rows
-    return out.withColumn("topic", F.coalesce(F.col("_topic"), F.lit(OUTLIER_TOPIC)).cast("int")) \
-        .drop("_cluster", "_topic")
+    words = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TERM_SPLIT, minTokenLength=2),
+             StopWordsRemover(inputCol="_tok", outputCol="_terms", stopWords=STOP_WORDS, locale="en_US")]
+    tokens = PipelineModel(stages=words).transform(df)
+    vectors = fit_text_vectors(tokens, "_terms", "_vec", dims, vocabulary, seed=seed)
+    rows = cut_lineage(vectors.transform(tokens).select("_vec"))
+    clusters = BisectingKMeans(k=k, seed=seed, featuresCol="_vec", predictionCol="_cluster").fit(rows)
+    return _with_topics([*words, vectors, clusters], clusters.transform(rows), "_vec", min_size, quantile)
 
 
 @dataclass
@@ -208,7 +213,7 @@ def topic_study(df: DataFrame, text: str, by: str, doc_id: str, k: int | None =
     if df.limit(min_rows).count() < min_rows:
         return None
     model = fit_text_topics(df, text, k)
-    rows = cut_lineage(number_topics(model.transform(df)).drop("_tok", "_tf", "_vec", "_pca"))
+    rows = cut_lineage(model.transform(df).drop("_tok", "_terms", "_vec", "_cluster"))
     inside = rows.where(F.col("topic") != OUTLIER_TOPIC)
     info = topic_info(rows, text, "topic", doc_id, words, min_df=1)
     matrix = inside.groupBy("topic", by).agg(F.count(F.lit(1)).alias("n"))
@@ -223,32 +228,22 @@ def with_vector(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn("_vec", array_to_vector(F.col(vec)))
 
 
-def assign_topics(model, df: DataFrame, min_size: int = MIN_TOPIC_SIZE) -> DataFrame:
-    """Clusters under ``min_size`` rows -> -1; others renumbered 0..
-    by size (descending, ties to the lower cluster id).  Reuses a fitted
-    model, so assigning again never refits."""
-    pred = model.transform(with_vector(df, getattr(model, "_chafe_vec", "embedding"))) \
-        .drop("_vec", "_pca")
-    return number_topics(pred, min_size)
+def assign_topics(model, df: DataFrame) -> DataFrame:
+    """The fitted model's topic (-1: outlier) and the distance from its centre.
+    Numbers and cuts are those of the fit, whatever rows come."""
+    return model.transform(with_vector(df, getattr(model, "_chafe_vec", "embedding"))) \
+        .drop("_vec", "_pca", "_cluster")
 
 
 def merge_topics(scores: DataFrame, topic: str, threshold: float = 0.9) -> DataFrame:
     """T4: topics whose c-TF-IDF vectors (all terms) have cosine >= threshold
     are merged into the smallest topic id of their connected group.
 
-    The sparse self-join meets on shared terms: a term has at most one row per
-    topic, so pairs are bounded by the topics, a model parameter.  Components by
-    min-label propagation with pointer jumping over the small topic graph."""
-    vecs = cut_lineage(scores.select(topic, "term", "score"))
-    norms = vecs.groupBy(topic).agg(F.sqrt(F.sum(F.col("score") ** 2)).alias("_nrm"))
-    a = vecs.select(F.col(topic).alias("t1"), "term", F.col("score").alias("s1"))
-    b = vecs.select(F.col(topic).alias("t2"), "term", F.col("score").alias("s2"))
-    dots = a.join(b, "term").where(F.col("t1") < F.col("t2")) \
-        .groupBy("t1", "t2").agg(F.sum(F.col("s1") * F.col("s2")).alias("_dot"))
-    n1 = norms.select(F.col(topic).alias("t1"), F.col("_nrm").alias("_n1"))
-    n2 = norms.select(F.col(topic).alias("t2"), F.col("_nrm").alias("_n2"))
-    edges = dots.join(n1, "t1").join(n2, "t2") \
-        .where(F.col("_dot") / (F.col("_n1") * F.col("_n2")) >= threshold).select("t1", "t2")
+    Pairs come from the bounded cosine join; components by min-label propagation
+    with pointer jumping over the small topic graph."""
+    pairs = cosine_pairs(scores, topic, threshold)
+    edges = pairs.select(F.col("a").alias("t1"), F.col("b").alias("t2"))
+    norms = scores.select(topic).where(F.col(topic).isNotNull()).distinct()
     und = cut_lineage(edges.union(edges.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"))))
     labels = cut_lineage(norms.select(F.col(topic).alias("node"), F.col(topic).alias("label")))
     while True:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import assign_category, keyword_category, score_columns
-from ..operators.prep import build_review_items
+from ..operators.prep import Funnel, build_review_items
 from ..sources.adapters import cleaned, pull_requests, review_comments, reviews, task_types
 from ..sources.tables import load_table
 
@@ -54,3 +54,16 @@ def review_items(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_items(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, lambda t: with_category(score_columns(t, "clean_body")))
+
+
+def counted_items(spark: SparkSession, d: str) -> tuple[DataFrame, Funnel]:
+    """Scored review items and the funnel that counts their steps on the way.
+    Short texts stay up to the length step, so that it is counted behind the joins."""
+    def derive(t: DataFrame) -> DataFrame:
+        return with_category(score_columns(cleaned(t, keep_short=True), "clean_body"))
+    docs = derive(load_table(spark, d, "documents").select("doc_id", "text"))
+    conv = derive(load_table(spark, d, "conversations"))
+    funnel = Funnel()
+    items = build_review_items(pull_requests(spark, d), review_comments(spark, d, docs, keep_all=True),
+                               reviews(spark, d, conv), task_types(spark, d), funnel=funnel)
+    return items, funnel

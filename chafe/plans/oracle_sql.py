@@ -127,8 +127,7 @@ mc AS (
          p.merged_at, p.state, c.item_created_at
   FROM comments c JOIN prs p
     ON {url_repo('c.pull_request_url')} = p.repo_path AND {url_number('c.pull_request_url')} = p.number
-  WHERE NOT (coalesce(regexp_matches(lower(c."user"), {_q(BOT_RE)}), false)
-             OR coalesce(c.user_type = 'Bot', false))),
+  WHERE NOT coalesce(regexp_matches(lower(c."user"), {_q(BOT_RE)}), false)),
 mr AS (
   SELECT p.id AS id_pr, r.item_id, 'review' AS source, {clean('r.body')} AS clean_body,
          coalesce(p.agent, 'Unknown_AI') AS agent, p.pr_type, p.created_at, p.closed_at,
@@ -463,3 +462,56 @@ SELECT agent, source, n, round(q1, {D}) AS q1, round(median, {D}) AS median, rou
        round(max(friction_score) FILTER (WHERE friction_score <= q3 + 1.5 * (q3 - q1)), {D}) AS whisker_high,
        count(*) FILTER (WHERE friction_score < q1 - 1.5 * (q3 - q1) OR friction_score > q3 + 1.5 * (q3 - q1)) AS n_outliers
 FROM scored_items JOIN q USING (agent, source) GROUP BY agent, source, n, q1, median, q3"""
+
+# The comments' bot rule looks at the user name alone, the reviews' also at the account type
+_BOT_NAME = f"coalesce(regexp_matches(lower(\"user\"), {_q(BOT_RE)}), false)"
+ORACLE["pipeline_funnel"] = f"""WITH {ITEMS},
+jc AS (SELECT {_BOT_NAME} AS bot, length({clean('c.body')}) > 10 AS long FROM comments c JOIN prs p
+  ON {url_repo('c.pull_request_url')} = p.repo_path AND {url_number('c.pull_request_url')} = p.number),
+jr AS (SELECT ({_BOT_NAME} OR coalesce(r.user_type = 'Bot', false)) AS bot, length({clean('r.body')}) > 10 AS long
+  FROM reviews r JOIN prs p ON r.pr_id = p.id)
+SELECT 'prs' AS source_table, 0 AS step_no, 'input' AS step, (SELECT count(*) FROM prs1) AS n_rows
+UNION ALL SELECT 'prs', 1, 'not_quick_close',
+  (SELECT count(*) FROM prs1 WHERE pr_duration_seconds IS NULL OR pr_duration_seconds >= 60)
+UNION ALL SELECT 'comments', 0, 'input', (SELECT count(*) FROM comments)
+UNION ALL SELECT 'comments', 1, 'joined', (SELECT count(*) FROM jc)
+UNION ALL SELECT 'comments', 2, 'not_bot', (SELECT count(*) FROM jc WHERE NOT bot)
+UNION ALL SELECT 'comments', 3, 'long_enough', (SELECT count(*) FROM jc WHERE NOT bot AND long)
+UNION ALL SELECT 'reviews', 0, 'input', (SELECT count(*) FROM reviews)
+UNION ALL SELECT 'reviews', 1, 'joined', (SELECT count(*) FROM jr)
+UNION ALL SELECT 'reviews', 2, 'not_bot', (SELECT count(*) FROM jr WHERE NOT bot)
+UNION ALL SELECT 'reviews', 3, 'long_enough', (SELECT count(*) FROM jr WHERE NOT bot AND long)"""
+
+
+def _terms_of(topic: str) -> str:
+    """The c-TF-IDF tables of TERMS for another topic expression."""
+    return TERMS.replace("SELECT doc_id, source, lang, list_filter", f"SELECT doc_id, {topic} AS source, lang, list_filter") \
+        .replace("count(DISTINCT source) FROM clean_docs", "count(DISTINCT source) FROM kept")
+
+
+_COSINE = """nrm AS (SELECT source, sqrt(sum(score * score)) AS nrm FROM sc GROUP BY 1),
+cosines AS (SELECT x.source AS a, y.source AS b, sum(x.score * y.score) / (max(nx.nrm) * max(ny.nrm)) AS cosine
+  FROM sc x JOIN sc y ON x.term = y.term AND x.source < y.source
+  JOIN nrm nx ON nx.source = x.source JOIN nrm ny ON ny.source = y.source GROUP BY 1, 2)"""
+
+ORACLE.update({
+    "topic_numbers_kept": "SELECT count(*) AS n, 0 AS n_changed FROM embeddings WHERE embedding IS NOT NULL",
+    "distance_outliers": f"""WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL),
+m AS (SELECT label, list(v ORDER BY i) AS mean FROM (
+  SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e) GROUP BY 1, 2)
+  GROUP BY 1),
+far AS (SELECT label, list_distance(x, mean) AS distance FROM e JOIN m USING (label)),
+cut AS (SELECT label, quantile_cont(distance, 0.95) AS cut FROM far GROUP BY 1)
+SELECT label, count(*) AS n, count(*) FILTER (WHERE distance > cut) AS n_outliers,
+       round(avg(distance), {D}) AS mean_distance, round(max(distance), {D}) AS max_distance
+FROM far JOIN cut USING (label) GROUP BY label""",
+    "topic_cosine": f"""WITH {CLEAN_DOCS}, {_terms_of("concat_ws('/', lang, source)")}, {_COSINE}
+SELECT a, b, round(cosine, {D}) AS cosine FROM cosines WHERE cosine >= 0.5""",
+    # the least label that a topic reaches over pairs of cosine >= 0.9
+    "topic_merge": f"""WITH RECURSIVE {CLEAN_DOCS}, {_terms_of("lang")}, {_COSINE},
+near AS (SELECT a, b FROM cosines WHERE cosine >= 0.9 UNION ALL SELECT b, a FROM cosines WHERE cosine >= 0.9),
+reach(lang, other) AS (SELECT DISTINCT source, source FROM sc UNION SELECT lang, b FROM reach JOIN near ON other = a)
+SELECT lang, min(other) AS merged_topic FROM reach GROUP BY lang""",
+})

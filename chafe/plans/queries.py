@@ -6,6 +6,7 @@ names match the DuckDB oracle in ``oracle_sql.ORACLE``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import aggregates as A
 from ..sources.tables import load_table, quality_funnel
-from .common import clean_documents, review_items, rounded, scored_documents, scored_items
+from ..session import scratch_table
+from .common import clean_documents, counted_items, review_items, rounded, scored_documents, scored_items
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,6 +131,15 @@ def quality_funnel_q(spark, d):
     return quality_funnel(scored, steps)
 
 
+@register("pipeline_funnel")
+def pipeline_funnel(spark, d):
+    """Quick-close, join, bot and length steps of both sources, counted by the pass
+    that writes the facts."""
+    items, funnel = counted_items(spark, d)
+    scratch_table(items)
+    return funnel.frame(spark)
+
+
 # ---- aggregates ---------------------------------------------------------------
 @register("value_counts")
 def value_counts_q(spark, d):
@@ -386,6 +397,8 @@ def density_q(spark, d):
 # ---- topics --------------------------------------------------------------------
 from ..operators import scoring as U  # noqa: E402
 from ..operators import topics as Tp  # noqa: E402
+from ..operators.cosine import cosine_pairs  # noqa: E402
+from ..operators.topic_map import distance_outliers  # noqa: E402
 
 
 @register("topic_terms")
@@ -422,6 +435,40 @@ def topic_agent_matrix(spark, d):
     return A.count_matrix(t, "topic", "label")
 
 
+@register("topic_numbers_kept")
+def topic_numbers_kept(spark, d):
+    """Topics of a saved and loaded model, assigned in two parts, against the fitted ones."""
+    from pyspark.ml import PipelineModel
+    from ..session import ensure_checkpoint_dir
+    from ..sources.sinks import save_model
+    emb = load_table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    model = Tp.fit_topic_model(emb, "embedding")
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    save_model(model, path)
+    loaded = PipelineModel.load(path)
+    fitted = scratch_table(Tp.assign_topics(model, emb).select("vec_id", F.col("topic").alias("fitted")))
+    half = F.pmod(F.col("vec_id"), F.lit(2)) == 0
+    parts = Tp.assign_topics(loaded, emb.where(half)).unionByName(Tp.assign_topics(loaded, emb.where(~half)))
+    both = scratch_table(parts.select("vec_id", "topic")).join(fitted, "vec_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("topic") != F.col("fitted"), 1)).alias("n_changed"))
+
+
+@register("distance_outliers")
+def distance_outliers_q(spark, d):
+    """Each label's embeddings beyond the 95 % quantile of the distances from their mean."""
+    rows = distance_outliers(load_table(spark, d, "embeddings"), "embedding", "label")
+    return rounded(rows.where(F.col("distance").isNotNull()).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_outlier"), 1)).alias("n_outliers"),
+        F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance")))
+
+
+@register("topic_cosine")
+def topic_cosine(spark, d):
+    """T4: pairs of (language, source) topics whose c-TF-IDF vectors have cosine >= 0.5."""
+    docs = clean_documents(spark, d).withColumn("topic", F.concat_ws("/", "lang", "source"))
+    return rounded(cosine_pairs(Tp.ctfidf(Tp.term_counts(docs, "clean_body", "topic"), "topic"), "topic", 0.5))
+
+
 @register("topics_by_source")
 def topics_by_source(spark, d):
     """T1-T10 on the documents that score negative: each source's top topics and their words."""

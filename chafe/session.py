@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         df.unpersist(blocking=False)
 
 
+def scratch_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet below the checkpoint folder, and read from there.
+
+    Unlike ``cut_lineage`` it keeps nothing in executors' memory and computes the
+    plan once; the partitioning is the files', not the plan's."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

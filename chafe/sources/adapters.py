@@ -63,15 +63,17 @@ def task_types(spark: SparkSession, base: str) -> DataFrame:
         F.lit(1.0).alias("confidence"))
 
 
-def cleaned(texts: DataFrame, text: str = "text") -> DataFrame:
+def cleaned(texts: DataFrame, text: str = "text", keep_short: bool = False) -> DataFrame:
     """P11/P12 once per text, before any join multiplies it."""
     t = redistribute(texts).withColumn("clean_body", clean_text(text)).drop(text)
-    return t.where(keep_here(long_enough("clean_body")))
+    return t if keep_short else t.where(keep_here(long_enough("clean_body")))
 
 
-def review_comments(spark: SparkSession, base: str, texts: DataFrame | None = None) -> DataFrame:
+def review_comments(spark: SparkSession, base: str, texts: DataFrame | None = None,
+                    keep_all: bool = False) -> DataFrame:
     """Inline comments.  ``texts`` (doc_id and columns derived from the text)
-    replaces the raw body; lines whose document it leaves out are dropped."""
+    replaces the raw body; lines whose document it leaves out are dropped, or
+    with ``keep_all`` stay without a text."""
     lines = load_table(spark, base, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     docs = load_table(spark, base, "documents").select("doc_id", F.col("text").alias("body"))
@@ -81,7 +83,7 @@ def review_comments(spark: SparkSession, base: str, texts: DataFrame | None = No
                   F.concat(F.lit("ci-runner-"), F.col("l_suppkey").cast("string"), F.lit("[bot]"))) \
         .otherwise(F.concat(F.lit("dev"), F.col("l_suppkey").cast("string")))
     side = docs if texts is None else texts
-    c = lines.join(side, lines["_doc"] == side["doc_id"], "left" if texts is None else "inner")
+    c = lines.join(side, lines["_doc"] == side["doc_id"], "left" if texts is None or keep_all else "inner")
     return c.select(
         (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"),
         *[x for x in side.columns if x != "doc_id"], user.alias("user"), F.lit("User").alias("user_type"),

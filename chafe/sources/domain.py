@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import assign_category, keyword_category, score_columns
 from ..functions.text import as_ts
-from ..operators.prep import build_review_items, with_baseline
+from ..operators.prep import Funnel, build_review_items, with_baseline
 from .tables import table_path
 
 # ---- fixed values: usual names of the columns, most usual first ----
@@ -52,12 +52,13 @@ def load_domain(spark: SparkSession, base: str) -> dict[str, DataFrame]:
             "reviews": read("pr_reviews", REVIEWS), "task_types": read("pr_task_type", TASK_TYPES)}
 
 
-def domain_items(spark: SparkSession, base: str, baseline: str | None = None) -> DataFrame:
+def domain_items(spark: SparkSession, base: str, baseline: str | None = None,
+                 funnel: Funnel | None = None) -> DataFrame:
     """Scored review items of the tables below ``base``.  ``baseline`` names the table
     of human pull requests (same columns); their items come through the same key
-    joins and are stacked as agent Human."""
+    joins and are stacked as agent Human.  ``funnel`` counts the steps of the first."""
     t = load_domain(spark, base)
-    items = build_review_items(t["prs"], t["comments"], t["reviews"], t["task_types"])
+    items = build_review_items(t["prs"], t["comments"], t["reviews"], t["task_types"], funnel=funnel)
     if baseline:
         human = with_columns(spark.read.parquet(table_path(base, baseline)), PRS)
         items = with_baseline(items, build_review_items(human, t["comments"], t["reviews"], t["task_types"]))

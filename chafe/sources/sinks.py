@@ -26,6 +26,19 @@ def write_results(results: Mapping[str, DataFrame], out_dir: str, fmt: str = "cs
     return paths
 
 
+def write_facts(df: DataFrame, table: str, key: str = "id_pr", buckets: int | None = None) -> DataFrame:
+    """Facts as a table of the session catalog, bucketed and sorted by ``key``.
+
+    Joins and aggregates on the key then read each bucket where it lies: the
+    shuffle of the write is the last one on that key.  ``buckets`` is by default
+    the session's number of shuffle partitions."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # one task a bucket, so that a bucket is one file
+    df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def summary_lines(items: DataFrame, tests: DataFrame | None = None, agent: str = "agent",
                   score: str = "friction_score", negative: str = "is_negative") -> DataFrame:
     """The run summary as ordered text lines: totals, per-source and

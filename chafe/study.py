@@ -18,7 +18,8 @@ from .operators import aggregates as A
 from .operators import distributions as Dn
 from .operators import stats as X
 from .operators import topics as Tp
-from .plans.common import scored_items
+from .operators.prep import Funnel
+from .plans.common import counted_items
 from .session import build_session, cut_lineage
 from .sources import sinks as S
 from .sources.domain import domain_items
@@ -29,7 +30,11 @@ def run_study(spark: SparkSession, data: str, out: str, domain: bool = False, ba
     """``domain``: the folder holds the domain tables themselves (``sources.domain``),
     with ``baseline`` naming the table of human pull requests, if any."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    source = domain_items(spark, data, baseline) if domain else scored_items(spark, data)
+    funnel = Funnel()
+    if domain:
+        source = domain_items(spark, data, baseline, funnel)
+    else:
+        source, funnel = counted_items(spark, data)
     # the scored facts are an output, and what every analysis below reads
     paths = {k: f"{out}/facts/{k}" for k in ("combined", "comment", "review")}
     source.write.mode("overwrite").parquet(paths["combined"])
@@ -44,6 +49,7 @@ def run_study(spark: SparkSession, data: str, out: str, domain: bool = False, ba
     per_pr_iter = cut_lineage(A.per_pr_iterations(items))
 
     results = {
+        "row_funnel": funnel.frame(spark),
         "friction_stats_by_agent": A.group_summary(items, "agent"),
         "sentiment_by_source": A.sentiment_by_source(items),
         "merge_rates": A.merge_rates(items),
