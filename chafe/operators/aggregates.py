@@ -142,9 +142,12 @@ def column_share(df: DataFrame, row: str, column: str) -> DataFrame:
 
 # ---- A10 ----------------------------------------------------------------------
 def monthly_trend(df: DataFrame, ts: str, by: str = "agent", value: str = "friction_score",
-                  min_n: int = 5) -> DataFrame:
-    """A10: mean and count per (month, group), keeping cells with >= min_n rows."""
+                  min_n: int = 5, reviews_only: bool = False) -> DataFrame:
+    """A10: mean and count per (month, group), keeping cells with >= min_n rows.
+    ``reviews_only`` leaves out inline comments."""
     from ..functions.text import month_of
+    if reviews_only:
+        df = df.where(F.col("source") == F.lit("review"))
     return (df.where(F.col(ts).isNotNull())
               .groupBy(month_of(ts).alias("year_month"), by)
               .agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
@@ -213,6 +216,23 @@ def top_k(counts: DataFrame, by: str, item: str, n: str = "n", k: int = 3) -> Da
                   .where(F.col("rank") <= k))
 
 
+# ---- A23 ----------------------------------------------------------------------
+def ordered_groups(df: DataFrame, by: str, first: Sequence[str] = ()) -> DataFrame:
+    """(group, position): the distinct non-null groups in a fixed order, those of
+    ``first`` as they are given (where they occur) and the others by name.
+
+    Groups stay rows; positions come from the distributed rank table, not from a
+    window over all groups in one task."""
+    from .ranks import rank_table
+    groups = df.where(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias(by)).agg(F.count(F.lit(1)).alias("_n"))
+    given = F.array_position(F.array(*[F.lit(x) for x in first]).cast("array<string>"), F.col(by))
+    # equal width, so that the given ones sort by their place and in front of the others
+    slot = F.when(given > 0, given).otherwise(len(first) + 1)
+    keyed = groups.select(by, F.concat(F.lpad(slot.cast("string"), 10, "0"), F.lit(" "), F.col(by)).alias("_order"))
+    at = rank_table(keyed, "_order").select("_order", (F.col("below_t") + 1).alias("position"))
+    return keyed.join(at, "_order").select(by, "position")
+
+
 # ---- A24-A26 ------------------------------------------------------------------
 def band_outcomes(pr: DataFrame, score: str = "friction_score", hours: str = "time_to_merge_hours",
                   items: str = "comment_count", merged: str = "is_merged",

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,14 +143,130 @@ def apply_scorer(model, df: DataFrame) -> DataFrame:
         .drop("_tok", "_tf", "_feat", "_prob", "_raw", "_pred")
 
 
-def embed(df: DataFrame, text: str, make_predict_fn: Callable, dim: int,
-          batch_size: int = 64, out: str = "embedding") -> DataFrame:
-    """Text -> vector with a user model (a precomputed column is used as is)."""
-    fn = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()),
-                           batch_size=batch_size, input_tensor_shapes=None)
-    return df.withColumn(out, fn(col_(text)))
+def good_vector(v, dim: int) -> Column:
+    """The width contract: ``dim`` components, all of them finite numbers."""
+    v = col_(v)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & (F.size(v) == dim) & finite, F.lit(False))
 
 
+def of_width(make_predict_fn: Callable, dim: int, strict: bool) -> Callable:
+    """The predictor is asked for the texts that need a vector (not null) only; a batch of
+    another width than ``dim`` is an error, or unless ``strict`` no vector."""
+    def make():
+        predict = make_predict_fn()
+
+        def checked(texts: np.ndarray) -> np.ndarray:
+            out = np.full((len(texts), dim), np.nan, dtype=np.float64)
+            need = np.array([t is not None for t in texts], dtype=bool)
+            if need.any():
+                got = np.asarray(predict(texts[need]), dtype=np.float64)
+                if got.shape == (int(need.sum()), dim):
+                    out[need] = got
+                elif strict:
+                    raise ValueError(f"the model returned vectors of shape {got.shape}, not ({int(need.sum())}, {dim})")
+            return out
+        return checked
+    return make
+
+
+def embed(df: DataFrame, text: str, make_predict_fn: Callable, dim: int, batch_size: int = 64,
+          out: str = "embedding", precomputed: str | None = None, strict: bool = False) -> DataFrame:
+    """A vector of exactly ``dim`` doubles for each row, and in ``<out>_source`` where it
+    comes from.
+
+    A good vector in the column ``precomputed`` is taken first (``precomputed``); rows
+    without one are given to the user's model (``model``), and only those: others
+    reach it as nulls that are skipped.  A row has no vector (both columns null) if its
+    text is null, or the model returned another width or a component that is not a
+    finite number.  With ``strict`` another width ends the job instead."""
+    fn = predict_batch_udf(of_width(make_predict_fn, dim, strict), return_type=T.ArrayType(T.DoubleType()),
+                           batch_size=batch_size)
+    have = F.lit(False)
+    given = F.lit(None).cast("array<double>")
+    if precomputed is not None:
+        have, given = good_vector(precomputed, dim), F.col(precomputed).cast("array<double>")
+    told = df.withColumn("_have", have).withColumn("_given", given) \
+        .withColumn("_made", fn(F.when(~F.col("_have"), col_(text))))
+    made = good_vector("_made", dim)
+    return told.withColumn(out, F.when(F.col("_have"), F.col("_given")).when(made, F.col("_made"))) \
+        .withColumn(f"{out}_source", F.when(F.col("_have"), F.lit("precomputed")).when(made, F.lit("model"))) \
+        .drop("_have", "_given", "_made")
+
+
+def make_letter_shares(dim: int) -> Callable:
+    """A small text model for offline runs: the shares of the letters a to z (either
+    case) in the first 26 of ``dim`` components; zeros for a text without them."""
+    def make():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(texts), dim))
+            for i, t in enumerate(texts):
+                raw = np.frombuffer(str(t).encode("utf-8", "replace"), np.uint8)
+                n = np.bincount(raw, minlength=256)
+                n = (n[97:123] + n[65:91]).astype(np.float64)
+                out[i, :26] = n / n.sum() if n.sum() else n
+            return out
+        return predict
+    return make
+
+
+# ---- fixed values: the hypothesis that each category label is put into ----
+LABEL_PROMPT = "This code review comment is about {}."
+# ---------------------------------------------------------------------------
+GRAM = 3
+_SCORE_DIGITS = 9
+
+
+def word_grams(text: str, n: int = GRAM) -> dict[str, int]:
+    """Counts of the ``n``-character pieces of the text's words, lower-cased, each word with
+    a blank at both ends, so that "tests" and "testing" share most of theirs."""
+    out: dict[str, int] = {}
+    for w in _TOKEN.split(text.lower()):
+        if w:
+            w = f" {w} "
+            for i in range(len(w) - n + 1):
+                out[w[i:i + n]] = out.get(w[i:i + n], 0) + 1
+    return out
+
+
+def make_label_similarity(labels: Sequence[str], prompt: str = LABEL_PROMPT) -> Callable:
+    """``make_predict_fn`` for U6: texts and label prompts as vectors in one space, the label of
+    the largest cosine (the first of equal ones).
+
+    The space are the prompts' word pieces.  Pieces that all prompts share say nothing
+    about the label: each counts ln(number of labels / prompts that hold it).  A text
+    without any piece that tells labels apart is left unlabelled (-1)."""
+    prompts = [word_grams(prompt.format(x)) for x in labels]
+    holders: dict[str, int] = {}
+    for p in prompts:
+        for g in p:
+            holders[g] = holders.get(g, 0) + 1
+    weight = {g: np.log(len(prompts) / n) for g, n in holders.items() if n < len(prompts)}
+    names = {g: i for i, g in enumerate(sorted(weight))}
+    idf = np.array([weight[g] for g in names])
+    m = np.zeros((len(prompts), len(names)))
+    for j, p in enumerate(prompts):
+        for g, n in p.items():
+            if g in names:
+                m[j, names[g]] = n * idf[names[g]]
+    norms = np.sqrt((m * m).sum(axis=1))
+    m /= np.where(norms > 0, norms, 1.0)[:, None]
+
+    def make():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            out = np.full(len(texts), -1, dtype=np.int32)
+            for i, t in enumerate(texts):
+                v = np.zeros(len(names))
+                for g, n in word_grams(str(t)).items():
+                    if g in names:
+                        v[names[g]] = n * idf[names[g]]
+                norm = np.sqrt((v * v).sum())
+                if norm > 0:
+                    out[i] = int(np.argmax(np.round(m @ v / norm, _SCORE_DIGITS)))
+            return out
+        return predict
+    return make
+
 
 def score_distinct(df: DataFrame, text: str, score_fn: Callable | None = None) -> DataFrame:
     """Score each distinct text once and join the scores back.

@@ -160,14 +160,23 @@ def _mw_p(long: DataFrame, min_n: int) -> DataFrame:
 
 def mann_whitney(df: DataFrame, flag: Column, value: str, a: str = "Human",
                  b: str = "AI") -> DataFrame:
-    """Two-group test on a derived group (flag true -> ``a``), U of ``a``."""
-    first, second = ("b", "a") if a > b else ("a", "b")
+    """Two-group test on a derived group (flag true -> ``a``), U of ``a``.  No row
+    where one of the groups is empty."""
     g = df.withColumn("_grp", F.when(flag, F.lit(a)).otherwise(F.lit(b)))
-    r = mann_whitney_pairs(g, "_grp", value)
-    u = F.col("statistic") if first == "a" else F.col("n_a").cast("double") * F.col("n_b") - F.col("statistic")
-    return r.select(F.lit(f"{a} vs {b}").alias("pair"), F.lit(a).alias("group_a"), F.lit(b).alias("group_b"),
-                    F.col(f"n_{first}").alias("n_a"), F.col(f"n_{second}").alias("n_b"), u.alias("statistic"),
-                    "p_value", "significant", "method")
+    long = grouped_counts(g, "_grp", value)
+    rt = cut_lineage(rank_table(long, value, weight="w").select(value, "t", "avg_rank"))
+    # U of ``a`` from its rank sum; a value has at most two rows here
+    own = F.col("_grp") == F.lit(a)
+    r = long.join(rt, value).agg(
+        F.coalesce(F.sum(F.when(own, F.col("w"))), F.lit(0)).cast("long").alias("n_a"),
+        F.coalesce(F.sum(F.when(~own, F.col("w"))), F.lit(0)).cast("long").alias("n_b"),
+        F.sum(F.when(own, _d("w") * F.col("avg_rank"))).alias("_ra"))
+    ties = rt.agg(F.coalesce(F.sum(_d("t") * _d("t") * _d("t") - _d("t")), F.lit(0.0))).scalar()
+    u = F.col("_ra") - _d("n_a") * (_d("n_a") + 1.0) / 2.0
+    one = r.where((F.col("n_a") > 0) & (F.col("n_b") > 0)).select(
+        F.lit(f"{a} vs {b}").alias("pair"), F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "n_a", "n_b",
+        u.alias("statistic"), ties.alias("ties"))
+    return _mw_p(one, 2)
 
 
 # ---- X3: point-biserial ------------------------------------------------------------
@@ -269,6 +278,14 @@ def spearman_by(df: DataFrame, by: str, x: str, y: str, min_n: int = 10) -> Data
     return out.where(F.col("n") >= min_n)
 
 
+def temporal_trend(df: DataFrame, ts: str, by: str, value: str, min_times: int = 10) -> DataFrame:
+    """X8 with its guard (P25): Spearman of whole days since the group's first row and
+    ``value``, only for groups with at least ``min_times`` timestamps."""
+    rows = days_since_first(df.where(F.col(ts).isNotNull()).select(by, ts, value), ts, [by])
+    enough = rows.groupBy(by).agg(F.count("time_numeric").alias("_times")).where(F.col("_times") >= min_times)
+    return spearman_by(rows.join(group_side(enough.select(by)), by), by, "time_numeric", value, min_n=min_times)
+
+
 # ---- X10 / X11 ---------------------------------------------------------------------
 TEST_COLUMNS = ["test", "n", "statistic", "p_value"]
 

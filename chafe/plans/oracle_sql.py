@@ -515,3 +515,65 @@ near AS (SELECT a, b FROM cosines WHERE cosine >= 0.9 UNION ALL SELECT b, a FROM
 reach(lang, other) AS (SELECT DISTINCT source, source FROM sc UNION SELECT lang, b FROM reach JOIN near ON other = a)
 SELECT lang, min(other) AS merged_topic FROM reach GROUP BY lang""",
 })
+
+
+def _letters(t: str, which: str = "") -> str:
+    """Letters a to z of either case, or only ``which``."""
+    keep = f"{which}{which.upper()}" if which else "A-Za-z"
+    return f"length(regexp_replace({t}, '[^{keep}]', '', 'g'))"
+
+
+def _share(t: str, which: str) -> str:
+    return f"CASE WHEN {_letters(t)} > 0 THEN {_letters(t, which)}::DOUBLE / {_letters(t)} ELSE 0 END"
+
+
+_LABELS = ", ".join(f"({i}, {_q(x)}, lower('This code review comment is about {x}.'))" for i, x in enumerate(CATEGORY_KEYWORDS))
+
+
+def _grams(src: str, key: str, text: str) -> str:
+    return f"""SELECT {key}, substr(' ' || w || ' ', i, 3) AS g, count(*)::DOUBLE AS n FROM (
+    SELECT {key}, w, unnest(range(1, length(w) + 1)) AS i FROM (
+      SELECT {key}, unnest({tokens(text)}) AS w FROM {src}) WHERE w <> '') GROUP BY ALL"""
+
+
+ORACLE.update({
+    "embedded_documents": f"""WITH d AS (
+  SELECT text, e.embedding AS v, e.embedding IS NOT NULL AND len(e.embedding) = 64
+         AND len(list_filter(e.embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AS good
+  FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id),
+s AS (SELECT CASE WHEN good THEN 'precomputed' WHEN text IS NOT NULL THEN 'model' END AS embedding_source,
+             CASE WHEN good THEN v[1]::DOUBLE WHEN text IS NOT NULL THEN {_share('text', 'a')} END AS a,
+             CASE WHEN good THEN v[5]::DOUBLE WHEN text IS NOT NULL THEN {_share('text', 'e')} END AS e FROM d)
+SELECT embedding_source, count(*) AS n, round(avg(a), {D}) AS mean_first, round(avg(e), {D}) AS mean_fifth,
+       CASE WHEN embedding_source IS NOT NULL THEN 64 END AS width FROM s GROUP BY embedding_source""",
+    "label_similarity_category": f"""WITH {SCORED_DOCS},
+neg AS (SELECT doc_id, clean_body FROM scored_docs WHERE is_negative),
+label(nth, name, prompt) AS (VALUES {_LABELS}),
+pg AS ({_grams('label', 'nth', 'prompt')}),
+idf AS (SELECT g, ln(5.0 / count(*)) AS w FROM pg GROUP BY g HAVING count(*) < 5),
+p AS (SELECT nth, g, n * w AS x FROM pg JOIN idf USING (g)),
+pn AS (SELECT nth, sqrt(sum(x * x)) AS norm FROM p GROUP BY nth),
+t AS (SELECT doc_id, g, n * w AS y FROM ({_grams('neg', 'doc_id', 'clean_body')}) JOIN idf USING (g)),
+tn AS (SELECT doc_id, sqrt(sum(y * y)) AS norm FROM t GROUP BY doc_id),
+dots AS (SELECT doc_id, nth, sum(x * y) AS dot FROM t JOIN p USING (g) GROUP BY 1, 2),
+every AS (SELECT tn.doc_id, pn.nth, round(coalesce(dot, 0) / pn.norm / tn.norm, 9) AS cosine
+  FROM tn CROSS JOIN pn LEFT JOIN dots ON dots.doc_id = tn.doc_id AND dots.nth = pn.nth),
+best AS (SELECT doc_id, nth FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, nth) = 1)
+SELECT neg.doc_id, coalesce(label.name, {keyword_category('clean_body')}) AS friction_category
+FROM neg LEFT JOIN best USING (doc_id) LEFT JOIN label USING (nth)""",
+    "box_stats_sketched": """SELECT event_type, count(value) AS n, 3 AS n_quantiles, true AS within_bound FROM events
+WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY 1""",
+    "sample_points": f"""SELECT event_id, event_type, round(value, {D}) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('0:' || event_id::VARCHAR)) AS nth FROM events)
+WHERE nth <= 200""",
+    "ordered_groups": """SELECT agent, row_number() OVER (ORDER BY CASE agent WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 1 ELSE 2 END, agent) AS position
+FROM (SELECT DISTINCT o_orderpriority AS agent FROM orders WHERE o_orderpriority IS NOT NULL)""",
+    "baseline_joins": ORACLE["baseline_union"],
+    "top_labels_by_source": """SELECT topic, source, n, rank FROM (
+  SELECT label AS topic, source, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, label) AS rank
+  FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1, 2) WHERE rank <= 3""",
+    "monthly_trend_reviews": f"""{SI}
+SELECT strftime(created_at, '%Y-%m') AS year_month, agent, round(avg(friction_score), {D}) AS mean,
+       count(*) AS "count" FROM scored_items WHERE created_at IS NOT NULL AND source = 'review' GROUP BY 1, 2""",
+    "temporal_trend_agents": ORACLE["spearman_temporal_agents"],
+})

@@ -16,7 +16,9 @@ from ..functions import text as tx
 from ..operators import aggregates as A
 from ..sources.tables import load_table, quality_funnel
 from ..session import scratch_table
-from .common import clean_documents, counted_items, review_items, rounded, scored_documents, scored_items
+from ..functions.lexicon import score_columns
+from .common import (clean_documents, counted_items, review_items, rounded, scored_documents, scored_items,
+                     with_category)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,3 +560,85 @@ def summary_report(spark, d):
                                                   "sentiment_label", "friction_category", "id_pr"))
     tests = results_long({"kruskal_agents": X.kruskal(s, "agent", "friction_score")})
     return summary_lines(s, tests)
+
+
+# ---- vectors, labels, sketches, samples, ordered groups -----------------------------
+@register("embedded_documents")
+def embedded_documents(spark, d):
+    """A document's own embedding where one was computed before, else the offline letter
+    model; both under the width contract."""
+    emb = load_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("given"))
+    docs = load_table(spark, d, "documents").select("doc_id", "text").join(emb, "doc_id", "left")
+    e = U.embed(docs, "text", U.make_letter_shares(64), 64, precomputed="given")
+    return rounded(e.groupBy("embedding_source").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.element_at("embedding", 1)).alias("mean_first"),
+        F.avg(F.element_at("embedding", 5)).alias("mean_fifth"), F.max(F.size("embedding")).alias("width")))
+
+
+@register("label_similarity_category")
+def label_similarity_category(spark, d):
+    """Negative documents by the label prompt they are most similar to; the keyword rule
+    decides only where no label is nearer than another (U8)."""
+    labels = list(U.CATEGORY_KEYWORDS)
+    s = scored_documents(spark, d).where(F.col("is_negative")).select("doc_id", "clean_body")
+    c = U.classify(s, "clean_body", labels, make_predict_fn=U.make_label_similarity(labels), batch_size=64)
+    return c.select("doc_id", "friction_category")
+
+
+@register("box_stats_sketched")
+def box_stats_sketched_q(spark, d):
+    """D1 at scale: whether the sketched quartiles' ranks are within 2 % of the exact ones."""
+    ev, qs, names = load_table(spark, d, "events"), [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+    sketches = scratch_table(Dn.quantile_sketches(ev, "event_type", "value"))
+    errors = Dn.rank_errors(ev, "event_type", "value", Dn.sketch_quantiles(sketches, "event_type", qs, names), qs, names)
+    return errors.groupBy("event_type").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_quantiles"),
+                                            (F.max("rank_error") <= 0.02).alias("within_bound"))
+
+
+@register("sample_points")
+def sample_points_q(spark, d):
+    """200 points of each event type for a scatter plot, the same for any partitioning."""
+    ev = load_table(spark, d, "events").select("event_id", "event_type", "value")
+    return rounded(Dn.sample_points(ev, "event_type", "event_id", 200))
+
+
+@register("ordered_groups")
+def ordered_groups_q(spark, d):
+    """Agents in the order of the figures, the baseline first."""
+    return A.ordered_groups(AD.pull_requests(spark, d), "agent", first=["5-LOW", "3-MEDIUM", "none such"])
+
+
+@register("baseline_joins")
+def baseline_joins(spark, d):
+    """Human pull requests are a table of their own and come through the same key joins."""
+    def derive(t):
+        return with_category(score_columns(t, "clean_body"))
+    docs = derive(AD.cleaned(load_table(spark, d, "documents").select("doc_id", "text")))
+    conv = derive(AD.cleaned(load_table(spark, d, "conversations")))
+    prs, tt = AD.pull_requests(spark, d), AD.task_types(spark, d)
+    human = F.col("agent") == "5-LOW"
+    comments, reviews = AD.review_comments(spark, d, docs), AD.reviews(spark, d, conv)
+    items = P.with_baseline(P.build_review_items(prs.where(~human), comments, reviews, tt),
+                            P.build_review_items(prs.where(human), comments, reviews, tt))
+    return rounded(A.group_summary(items, "agent"))
+
+
+@register("top_labels_by_source")
+def top_labels_by_source(spark, d):
+    """A11/A22 on given topics: each source's three most frequent embedding labels."""
+    emb = load_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+    docs = load_table(spark, d, "documents").select("doc_id", "source")
+    return A.top_k(A.count_matrix(docs.join(emb, "doc_id"), "topic", "source"), "source", "topic", k=3)
+
+
+@register("monthly_trend_reviews")
+def monthly_trend_reviews(spark, d):
+    """A10 over reviews only."""
+    return rounded(A.monthly_trend(scored_items(spark, d), "created_at", min_n=1, reviews_only=True))
+
+
+@register("temporal_trend_agents")
+def temporal_trend_agents(spark, d):
+    """X8 with the guard of P25: agents with at least ten timestamps."""
+    return rounded(X.temporal_trend(scored_items(spark, d), "created_at", "agent", "friction_score")
+                   .select("agent", "n", "statistic"))
