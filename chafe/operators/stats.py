@@ -74,19 +74,20 @@ def kruskal(df: DataFrame, by: str, value: str, test: str | None = None) -> Data
 
 
 # ---- X2 / X9: Mann-Whitney U ------------------------------------------------------
-_PAIR_ROWS = 4096     # distinct values that meet all groups at a time
+_PAIR_ROWS = 2048     # distinct values that meet a tile's groups at a time
+_TILE = 256           # groups of a tile; a task multiplies the groups of two
 
 
 def _pair_sums(values: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-    """Sums over one range of values, for every pair of groups.
+    """Sums over one range of values, for every pair of groups of two tiles.
 
-    ``values``: (v, g, w) of the range; ``before``: (name, o), rows of each group in all
-    ranges before.  Per pair: u = sum w_a (below_b + w_b / 2) and
+    ``values``: (v, g, w) of the range; ``before``: (name, tile, o), rows of each group in
+    all ranges before.  Per pair: u = sum w_a (below_b + w_b / 2) and
     m = sum w_a^2 w_b, which the tie term needs.
     """
-    names = np.array(sorted(set(before["name"])))
-    below = np.zeros(len(names))
-    below[np.searchsorted(names, before["name"])] = before["o"]
+    before = before.sort_values("name")
+    names, tile = before["name"].to_numpy(), before["tile"].to_numpy()
+    below = before["o"].to_numpy(float)
     k = len(names)
     u, m = np.zeros((k, k)), np.zeros((k, k))
     if len(values):
@@ -103,6 +104,9 @@ def _pair_sums(values: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
             below = up_to[-1]
     u[np.tril_indices(k)] = 0.0          # pairs in sorted order
     np.fill_diagonal(m, 0.0)
+    if k and tile.min() != tile.max():      # pairs inside one tile have a task of their own
+        same = tile[:, None] == tile[None, :]
+        u[same] = m[same] = 0.0
     i, j = np.nonzero((u != 0) | (m != 0))
     return pd.DataFrame({"ga": names[i], "gb": names[j], "u": u[i, j], "m": m[i, j]})
 
@@ -111,8 +115,9 @@ def mann_whitney_pairs(df: DataFrame, by: str, value: str, min_n: int = 2) -> Da
     """All group pairs (sorted order), two-sided, tie and continuity corrected.
 
     ``U_ab = sum_v n_a(v) (n_b(< v) + n_b(v) / 2)``.  The value counts are dealt
-    into ranges of values; each range multiplies its values x groups counts,
-    so the work per range is a matrix product and only sums per pair leave it."""
+    into ranges of values and the groups into tiles; a task multiplies the values x
+    groups counts of one range and two tiles, so its matrices stay small however
+    many groups there are, and only sums per pair leave it."""
     n_parts = shuffle_partitions(df.sparkSession)
     long = grouped_counts(df, by, value).select(_d(value).alias("v"), F.col(by).cast("string").alias("g"), "w")
     parts = ranged(long, ["v"], n_parts)
@@ -122,10 +127,18 @@ def mann_whitney_pairs(df: DataFrame, by: str, value: str, min_n: int = 2) -> Da
     # every group's rows in front of every range: ranges x groups rows
     sizes = parts.groupBy(F.col("_pid").alias("_at"), F.col("g").alias("_g")).agg(F.sum("w").alias("s"))
     grid = groups.select("name", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("range"))
+    n_tiles = -(-groups.count() // _TILE)
+    tile = F.pmod(F.xxhash64("name"), F.lit(max(1, n_tiles))).cast("int")
+
+    def dealt(frame: DataFrame, name: str) -> DataFrame:
+        """Each row once for every pair of tiles that its own tile takes part in."""
+        other = F.explode(F.sequence(F.lit(0), F.lit(max(1, n_tiles) - 1)))
+        return frame.withColumn("name", F.col(name)).withColumn("tile", tile).withColumn("_o", other) \
+            .withColumn("_ti", F.least("tile", "_o")).withColumn("_tj", F.greatest("tile", "_o")).drop("_o")
     front = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = grid.join(sizes, (F.col("range") == F.col("_at")) & (F.col("name") == F.col("_g")), "left") \
         .select("range", "name", F.coalesce(F.sum("s").over(front), F.lit(0)).alias("o"))
-    sums = cut_lineage(parts.groupBy("_pid").cogroup(before.groupBy("range"))
+    sums = cut_lineage(dealt(parts, "g").groupBy("_pid", "_ti", "_tj").cogroup(dealt(before, "name").groupBy("range", "_ti", "_tj"))
                        .applyInPandas(_pair_sums, "ga string, gb string, u double, m double")
                        .groupBy("ga", "gb").agg(F.sum("u").alias("u"), F.sum("m").alias("m")))
     a = groups.select(F.col("name").alias("group_a"), F.col("n").alias("n_a"), F.col("cubes").alias("_ca"))
@@ -133,16 +146,23 @@ def mann_whitney_pairs(df: DataFrame, by: str, value: str, min_n: int = 2) -> Da
     ab = sums.select(F.col("ga").alias("group_a"), F.col("gb").alias("group_b"), "u", F.col("m").alias("_ab"))
     ba = sums.select(F.col("gb").alias("group_a"), F.col("ga").alias("group_b"), F.col("m").alias("_ba"))
     zero = F.lit(0.0)
-    pairs = a.join(b, F.col("group_a") < F.col("group_b"))         .join(ab, ["group_a", "group_b"], "left").join(ba, ["group_a", "group_b"], "left")
+    pairs = a.join(b, F.col("group_a") < F.col("group_b")) \
+        .join(ab, ["group_a", "group_b"], "left").join(ba, ["group_a", "group_b"], "left")
     ties = F.col("_ca") + F.col("_cb") + 3.0 * (F.coalesce("_ab", zero) + F.coalesce("_ba", zero))
     return _mw_p(pairs.select(F.concat_ws(" vs ", "group_a", "group_b").alias("pair"), "group_a", "group_b",
                               "n_a", "n_b", F.coalesce("u", zero).alias("statistic"), ties.alias("ties")), min_n)
 
 
+PAIR_SCHEMA = ("pair string, group_a string, group_b string, n_a long, n_b long, statistic double, p_value double, "
+               "significant boolean, method string")
+
+
 def posthoc_pairs(df: DataFrame, by: str, value: str, min_n: int = 2) -> DataFrame:
-    """X2 as the reference runs it: the pairs only if the omnibus test is significant."""
-    ok = kruskal(df, by, value).select(F.coalesce(F.col("significant"), F.lit(False))).scalar()
-    return mann_whitney_pairs(df, by, value, min_n).where(ok)
+    """X2 as the reference runs it: the pairs only if the omnibus test is significant;
+    otherwise nothing is computed for them."""
+    if kruskal(df, by, value).first()["significant"]:
+        return mann_whitney_pairs(df, by, value, min_n)
+    return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
 
 
 def _mw_p(long: DataFrame, min_n: int) -> DataFrame:

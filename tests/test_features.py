@@ -199,3 +199,31 @@ def test_two_groups_without_python(spark):
     b = [v for h, v in rows if not h and v is not None]
     assert (r.n_a, r.n_b) == (len(a), len(b))
     assert r.statistic == sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+
+
+def test_pairs_over_tiles_of_groups(spark, monkeypatch):
+    """More groups than a tile holds: every pair comes from exactly one pair of tiles."""
+    monkeypatch.setattr(X, "_TILE", 5)
+    rng = np.random.default_rng(6)
+    rows = [(f"g{i % 23:02d}", float(v)) for i, v in enumerate(rng.integers(0, 12, 700))]
+    got = X.mann_whitney_pairs(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v)
+    assert len(got) == 23 * 22 // 2 == len({r.pair for r in got})
+    for r in got:
+        a, b = by[r.group_a], by[r.group_b]
+        assert r.statistic == sum((x > y) + 0.5 * (x == y) for x in a for y in b), r.pair
+        n = len(a) + len(b)
+        t = sum(c ** 3 - c for c in np.unique(a + b, return_counts=True)[1])
+        sigma = math.sqrt(len(a) * len(b) / 12 * (n + 1 - t / (n * (n - 1))))
+        z = (max(r.statistic, len(a) * len(b) - r.statistic) - len(a) * len(b) / 2 - 0.5) / sigma
+        assert r.p_value == pytest.approx(min(1.0, math.erfc(z / math.sqrt(2))), rel=1e-6, abs=1e-12)
+
+
+def test_shut_gate_computes_no_pairs(spark, monkeypatch):
+    same = spark.createDataFrame([(g, float(i)) for g in "abc" for i in range(10)], "g string, v double")
+    monkeypatch.setattr(X, "mann_whitney_pairs", lambda *a, **k: pytest.fail("the gate is shut"))
+    out = X.posthoc_pairs(same, "g", "v")
+    assert out.count() == 0 and out.columns == ["pair", "group_a", "group_b", "n_a", "n_b", "statistic", "p_value",
+                                                "significant", "method"]
