@@ -101,7 +101,8 @@ prs1 AS (
   SELECT *, CASE WHEN state = 'merged' THEN closed_at END AS merged_at,
          (epoch_us(closed_at) - epoch_us(created_at)) / 1000000.0 AS pr_duration_seconds
   FROM prs0),
-tt AS (SELECT o_orderkey AS id, lower(c_mktsegment) AS type FROM orders JOIN customer ON o_custkey = c_custkey),
+tt AS (SELECT o_orderkey AS id, lower(c_mktsegment) AS type FROM orders JOIN customer ON o_custkey = c_custkey
+       WHERE c_custkey % 10 <> 0),
 prs AS (
   SELECT p.*, coalesce(tt.type, 'unknown') AS pr_type, {repo_path('p.repo_url')} AS repo_path
   FROM prs1 p LEFT JOIN tt ON tt.id = p.id
@@ -110,7 +111,7 @@ comments AS (
   SELECT l.l_orderkey * 16 + l.l_linenumber AS item_id, d.text AS body,
          CASE WHEN l.l_suppkey % 10 = 0 THEN 'ci-runner-' || CAST(l.l_suppkey AS VARCHAR) || '[bot]'
               ELSE 'dev' || CAST(l.l_suppkey AS VARCHAR) END AS "user",
-         'User' AS user_type,
+         CASE WHEN l.l_suppkey % 9 = 0 THEN 'Bot' ELSE 'User' END AS user_type,
          '{API}' || {owner_repo('l.l_orderkey')} || '/pulls/' || CAST(l.l_orderkey AS VARCHAR)
            AS pull_request_url,
          l.l_shipdate AS item_created_at
@@ -186,11 +187,12 @@ def chi2_sql(src: str, a: str, b: str, name: str) -> str:
                WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
 ra AS (SELECT a, sum(o) AS r FROM cells GROUP BY a),
 cb AS (SELECT b, sum(o) AS c FROM cells GROUP BY b),
-tot AS (SELECT sum(o) AS N FROM cells)
-SELECT '{name}' AS test, CAST(N AS BIGINT) AS n,
-       CAST(((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1) AS BIGINT) AS dof,
-       round(N * (sum(o * o / (r * c)) - 1), {D}) AS statistic
-FROM cells JOIN ra USING (a) JOIN cb USING (b), tot GROUP BY N"""
+tot AS (SELECT sum(o) AS N, ((SELECT count(*) FROM ra) - 1) * ((SELECT count(*) FROM cb) - 1) AS dof FROM cells),
+every AS (SELECT coalesce(o, 0) AS o, r * c / N AS e, N, dof
+  FROM ra CROSS JOIN cb CROSS JOIN tot LEFT JOIN cells ON cells.a = ra.a AND cells.b = cb.b)
+SELECT '{name}' AS test, CAST(max(N) AS BIGINT) AS n, CAST(max(dof) AS BIGINT) AS dof,
+       round(CASE WHEN max(dof) = 1 THEN sum(pow(greatest(abs(o - e) - 0.5, 0), 2) / e) ELSE sum(pow(o - e, 2) / e) END, {D}) AS statistic
+FROM every"""
 
 
 def spearman_sql(src: str, x: str, y: str, name: str, by: str = "") -> str:
@@ -255,7 +257,7 @@ c AS (SELECT count(*) AS s0, count(*) FILTER (WHERE text IS NOT NULL) AS s1,
       FROM s)
 SELECT step_no, step, CASE step_no WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END AS n_rows
 FROM (VALUES (0, 'input'), (1, 'has_text'), (2, 'long_enough'), (3, 'negative')) v(step_no, step), c""",
-    "value_counts": """SELECT event_type, count(*) AS "count" FROM events GROUP BY 1""",
+    "value_counts": """SELECT event_type, count(*) AS "count" FROM events WHERE event_type IS NOT NULL GROUP BY 1""",
     "shares": f"""SELECT event_type, count(*) AS "count",
        round(100.0 * count(*) / (SELECT count(*) FROM events), {D}) AS pct FROM events GROUP BY 1""",
     "sentiment_summary": f"""{SI}
@@ -307,13 +309,13 @@ SELECT pr_type, {", ".join(f"round(avg(friction_score) FILTER (WHERE agent = {_q
 FROM scored_items GROUP BY 1""",
     "negative_rate": f"""{SI}
 SELECT pr_type, round(avg(CAST(is_negative AS INTEGER)), {D}) AS negative_rate,
-       round((SELECT avg(CAST(is_negative AS INTEGER)) FROM scored_items), {D}) AS overall_rate
-FROM scored_items GROUP BY 1""",
+       round((SELECT avg(CAST(is_negative AS INTEGER)) FROM scored_items WHERE pr_type <> 'unknown'), {D}) AS overall_rate
+FROM scored_items WHERE pr_type <> 'unknown' GROUP BY 1""",
     "type_stats": f"""{SI}
 SELECT pr_type, round(round(avg(friction_score), 4), {D}) AS mean_friction,
        round(round(stddev_samp(friction_score), 4), {D}) AS std_friction, count(*) AS "count",
        round(round(avg(CAST(is_negative AS INTEGER)), 4), {D}) AS negative_rate
-FROM scored_items GROUP BY 1""",
+FROM scored_items WHERE pr_type <> 'unknown' GROUP BY 1""",
     "top_topics": f"""WITH {SCORED_DOCS},
 c AS (SELECT lang, source, count(*) AS n FROM scored_docs GROUP BY 1, 2)
 SELECT * FROM (SELECT lang, source, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS rank
@@ -410,7 +412,7 @@ cnt AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(terms) AS
 kept AS (SELECT * FROM cnt WHERE term IN (SELECT term FROM cnt GROUP BY term HAVING count(*) >= 2)),
 pt AS (SELECT source, sum(n) AS tn FROM kept GROUP BY 1),
 pf AS (SELECT term, sum(n) AS f FROM kept GROUP BY 1),
-a AS (SELECT floor((SELECT sum(n) FROM kept) / (SELECT count(DISTINCT source) FROM clean_docs)) AS avg_n),
+a AS (SELECT floor((SELECT sum(n) FROM kept) / (SELECT count(DISTINCT source) FROM kept)) AS avg_n),
 sc AS (SELECT k.source, k.term, k.n, sqrt(k.n / pt.tn) * ln(1 + a.avg_n / pf.f) AS score
        FROM kept k JOIN pt USING (source) JOIN pf USING (term), a),
 top AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM sc)"""
@@ -485,8 +487,7 @@ UNION ALL SELECT 'reviews', 3, 'long_enough', (SELECT count(*) FROM jr WHERE NOT
 
 def _terms_of(topic: str) -> str:
     """The c-TF-IDF tables of TERMS for another topic expression."""
-    return TERMS.replace("SELECT doc_id, source, lang, list_filter", f"SELECT doc_id, {topic} AS source, lang, list_filter") \
-        .replace("count(DISTINCT source) FROM clean_docs", "count(DISTINCT source) FROM kept")
+    return TERMS.replace("SELECT doc_id, source, lang, list_filter", f"SELECT doc_id, {topic} AS source, lang, list_filter")
 
 
 _COSINE = """nrm AS (SELECT source, sqrt(sum(score * score)) AS nrm FROM sc GROUP BY 1),
@@ -577,3 +578,10 @@ SELECT strftime(created_at, '%Y-%m') AS year_month, agent, round(avg(friction_sc
        count(*) AS "count" FROM scored_items WHERE created_at IS NOT NULL AND source = 'review' GROUP BY 1, 2""",
     "temporal_trend_agents": ORACLE["spearman_temporal_agents"],
 })
+
+ORACLE["merge_rates_by_time"] = f"""{SI}
+SELECT agent, round(avg(CAST(merged_at IS NOT NULL AS INTEGER)), {D}) AS merge_rate, count(*) AS "count"
+FROM scored_items GROUP BY agent"""
+ORACLE["chi2_two_by_two"] = f"""WITH e AS (SELECT event_type = 'click' AS a, value > 50 AS b FROM events
+  WHERE event_type IS NOT NULL AND value IS NOT NULL),
+{chi2_sql('e', 'a', 'b', 'chi2_two_by_two')}"""

@@ -642,3 +642,17 @@ def temporal_trend_agents(spark, d):
     """X8 with the guard of P25: agents with at least ten timestamps."""
     return rounded(X.temporal_trend(scored_items(spark, d), "created_at", "agent", "friction_score")
                    .select("agent", "n", "statistic"))
+
+
+@register("merge_rates_by_time")
+def merge_rates_by_time(spark, d):
+    """Merged means that a merge time exists."""
+    return rounded(A.merge_rates(scored_items(spark, d).withColumn("is_merged", tx.merged_at_flag("merged_at"))))
+
+
+@register("chi2_two_by_two")
+def chi2_two_by_two(spark, d):
+    """X5 with one degree of freedom, where Yates' correction applies."""
+    ev = load_table(spark, d, "events").where(F.col("event_type").isNotNull() & F.col("value").isNotNull())
+    ev = ev.select((F.col("event_type") == "click").alias("is_click"), (F.col("value") > 50).alias("is_large"))
+    return _stat(X.chi2_independence(ev, "is_click", "is_large", test="chi2_two_by_two"))

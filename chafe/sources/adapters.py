@@ -27,6 +27,8 @@ from .tables import load_table
 API_ROOT = "https://api.github.com/repos/"
 ORDER_STATE = {"F": "closed", "O": "open", "P": "merged"}
 OWNERS, REPOS = 53, 11
+UNTYPED_CUSTOMERS = 10     # orders of every tenth customer have no task type
+BOT_ACCOUNTS = 9           # comments of every ninth supplier come from an account of type Bot
 # --------------------------------------------------------------------------------
 
 
@@ -57,7 +59,8 @@ def pull_requests(spark: SparkSession, base: str) -> DataFrame:
 
 def task_types(spark: SparkSession, base: str) -> DataFrame:
     orders = load_table(spark, base, "orders").select("o_orderkey", "o_custkey")
-    cust = load_table(spark, base, "customer").select("c_custkey", "c_mktsegment")
+    cust = load_table(spark, base, "customer").select("c_custkey", "c_mktsegment") \
+        .where(F.pmod(F.col("c_custkey"), F.lit(UNTYPED_CUSTOMERS)) != 0)
     return orders.join(cust, orders.o_custkey == cust.c_custkey, "inner").select(
         F.col("o_orderkey").alias("id"), F.lower("c_mktsegment").alias("type"),
         F.lit(1.0).alias("confidence"))
@@ -86,7 +89,8 @@ def review_comments(spark: SparkSession, base: str, texts: DataFrame | None = No
     c = lines.join(side, lines["_doc"] == side["doc_id"], "left" if texts is None or keep_all else "inner")
     return c.select(
         (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"),
-        *[x for x in side.columns if x != "doc_id"], user.alias("user"), F.lit("User").alias("user_type"),
+        *[x for x in side.columns if x != "doc_id"], user.alias("user"),
+        F.when(F.pmod(F.col("l_suppkey"), F.lit(BOT_ACCOUNTS)) == 0, F.lit("Bot")).otherwise(F.lit("User")).alias("user_type"),
         F.concat(F.lit(API_ROOT), _owner_repo("l_orderkey"), F.lit("/pulls/"),
                  F.col("l_orderkey").cast("string")).alias("pull_request_url"),
         F.col("l_shipdate").cast("timestamp").alias("created_at"))

@@ -1,6 +1,6 @@
 """The four (or six) domain tables as users have them: S1, S4, P1, J6.
 
-Tables are Parquet folders or files named as in ``tables.DOMAIN_SCHEMAS``.
+Tables are Parquet folders or files: pull_request, pr_review_comments, pr_reviews, pr_task_type.
 Columns are probed by their usual names, missing ones become null, and
 timestamps given as strings are parsed at the source (a bad one is null).
 """

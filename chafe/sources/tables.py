@@ -8,51 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Declared schemas of the reference's input tables.  Timestamps arrive as
-# ISO strings and are parsed with ``parse_ts`` so bad values become null.
-PR_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("number", T.LongType()),
-    T.StructField("agent", T.StringType()),
-    T.StructField("state", T.StringType()),
-    T.StructField("created_at", T.StringType()),
-    T.StructField("merged_at", T.StringType()),
-    T.StructField("closed_at", T.StringType()),
-    T.StructField("repo_url", T.StringType()),
-    T.StructField("body", T.StringType()),
-])
-COMMENT_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("body", T.StringType()),
-    T.StructField("user", T.StringType()),
-    T.StructField("user_type", T.StringType()),
-    T.StructField("pull_request_url", T.StringType()),
-    T.StructField("created_at", T.StringType()),
-    T.StructField("diff_hunk", T.StringType()),
-    T.StructField("path", T.StringType()),
-])
-REVIEW_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("pr_id", T.LongType()),
-    T.StructField("user", T.StringType()),
-    T.StructField("user_type", T.StringType()),
-    T.StructField("state", T.StringType()),
-    T.StructField("body", T.StringType()),
-    T.StructField("submitted_at", T.StringType()),
-])
-TASK_TYPE_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-])
-DOMAIN_SCHEMAS = {
-    "pull_request": PR_SCHEMA,
-    "human_pull_request": PR_SCHEMA,
-    "pr_review_comments": COMMENT_SCHEMA,
-    "pr_reviews": REVIEW_SCHEMA,
-    "pr_task_type": TASK_TYPE_SCHEMA,
-}
-
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations")
@@ -65,9 +20,8 @@ def table_path(base: str, name: str) -> str:
 
 def load_table(spark: SparkSession, base: str, name: str,
                schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
-    """Read one named table.  Parquet carries its own schema; a declared
-    schema is applied for the reference's domain tables or when given."""
-    schema = schema or DOMAIN_SCHEMAS.get(name)
+    """Read one named table.  Parquet carries its own schema; columns of a given
+    ``schema`` are cast to it, a value that doesn't fit becoming null."""
     reader = spark.read.format(fmt)
     if schema is not None and fmt != "parquet":
         reader = reader.schema(schema)
@@ -75,7 +29,7 @@ def load_table(spark: SparkSession, base: str, name: str,
         reader = reader.option("header", "true")
     df = reader.load(table_path(base, name) if fmt == "parquet" else f"{base.rstrip('/')}/{name}.{fmt}")
     if schema is not None and fmt == "parquet":
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
+        df = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name)
                          for f in schema.fields if f.name in df.columns])
     return df
 
