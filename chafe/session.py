@@ -10,6 +10,7 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings every session used by this library should carry.  Shuffle partition
 # count is left to the caller: on a cluster it is sized to the data, locally to
@@ -111,16 +112,32 @@ def keep_here(predicate: Column) -> Column:
     return predicate | (F.rand(0) < F.lit(0.0))
 
 
-# Largest per-group table that is broadcast; beyond it the join is shuffled.
-MAX_BROADCAST_ROWS = 200_000
+# Largest per-group table that is broadcast, in bytes of its values; beyond it the join is shuffled.
+MAX_BROADCAST_BYTES = 16 << 20
 
 
-def group_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def value_bytes(df: DataFrame) -> Column:
+    """Bytes that a row's values take: strings, binaries and arrays as long as they are."""
+    total = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(F.struct(c))) + 16
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(8))
+    return total.cast("long")
+
+
+def group_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """A table of one row per group, ready to be joined to facts on its key.
 
-    It is written and counted first.  Up to ``max_rows`` rows it is broadcast, so
-    a group with a third of all facts is not gathered in one task; beyond
-    that a sort-merge join is left to AQE, which splits a hot group because
+    It is written and its bytes are summed up first.  Up to ``max_bytes`` it is
+    broadcast, so a group with a third of all facts is not gathered in one task;
+    beyond that a sort-merge join is left to AQE, which splits a hot group because
     neither side is an aggregate's own output."""
     small = cut_lineage(df)
-    return F.broadcast(small) if small.count() <= max_rows else small
+    size = small.agg(F.coalesce(F.sum(value_bytes(small)), F.lit(0))).first()[0]
+    return F.broadcast(small) if size <= max_bytes else small

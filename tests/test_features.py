@@ -227,3 +227,17 @@ def test_shut_gate_computes_no_pairs(spark, monkeypatch):
     out = X.posthoc_pairs(same, "g", "v")
     assert out.count() == 0 and out.columns == ["pair", "group_a", "group_b", "n_a", "n_b", "statistic", "p_value",
                                                 "significant", "method"]
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    """Few rows of long keys are too large; many short ones are not."""
+    from chafe.session import group_side, value_bytes
+    long = spark.range(40).selectExpr("repeat('k', 1000000) || id AS g", "id AS n")
+    short = spark.range(5000).selectExpr("CAST(id AS string) AS g", "id AS n", "array(1.0D, 2.0D) AS v")
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert not hinted(group_side(long)) and hinted(group_side(short)) and not hinted(group_side(short, max_bytes=1000))
+    assert long.agg({"n": "count"}).first()[0] == 40
+    assert spark.createDataFrame([("é", None, b"ab")], "a string, b int, c binary").select(
+        value_bytes(spark.createDataFrame([("é", None, b"ab")], "a string, b int, c binary"))).first()[0] == (2 + 16) + 8 + (2 + 16)
