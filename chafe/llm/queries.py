@@ -219,14 +219,14 @@ found AS (
 cand AS (
   SELECT * FROM found f WHERE k < 3 OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM found b WHERE b.k < 3 AND b.doc_id = f.doc_id AND b.s < f.e AND b.e > f.s))),
-own AS (SELECT val, count(DISTINCT owner) AS owners FROM cand GROUP BY val),
-judged AS (SELECT cand.*, owners FROM cand JOIN own USING (val)),
+own AS (SELECT val, count(DISTINCT owner) >= 2 OR count(DISTINCT (owner, repo)) >= 3 AS example FROM cand GROUP BY val),
+judged AS (SELECT cand.*, example FROM cand JOIN own USING (val)),
 per AS (
   SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
          count(*) FILTER (WHERE k = 2) AS n_hex,
          string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) FILTER (WHERE k < 3) AS base,
-         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) FILTER (WHERE k < 3 OR owners < 2) AS spans,
-         count(*) FILTER (WHERE k < 3 AND owners < 2) AS n_live, count(*) FILTER (WHERE k < 3 AND owners >= 2) AS n_example
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) FILTER (WHERE k < 3 OR NOT example) AS spans,
+         count(*) FILTER (WHERE k < 3 AND NOT example) AS n_live, count(*) FILTER (WHERE k < 3 AND example) AS n_example
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,

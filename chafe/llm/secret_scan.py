@@ -3,17 +3,22 @@
 Built-in functions only.  Three base kinds are found by regular expression; a
 fourth, looser kind collects long mixed tokens.  Every candidate's value is
 hashed, and the hashes are counted over distinct repositories and owners of the
-whole corpus: a value that two or more owners hold is a copied example, one
-that a single owner holds looks live.  Base spans always stay; the looser
-candidates become spans only if one owner alone holds them.
+whole corpus: a value that two or more owners hold, or three or more repositories
+of one owner, is a copied example; any other looks live.  Base spans always
+stay; the looser candidates become spans only if they look live.
 
 Positions come from the text between matches: the lengths of the gaps
-(``split``) and of the matches (``regexp_extract_all``) add up to them.
+(``split``) and of the matches (``regexp_extract_all``) are summed up by a running
+sum over the matches of a text.  Loose candidates that overlap base spans are
+found by running extremes over the spans in order, so the work grows with the
+number of matches, also where one text holds very many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -33,26 +38,21 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: A text that this finds nothing in has no candidate of any kind.
 ANY = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{14}"
        r"|(?<![0-9a-f])[0-9a-f]{16}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}")
-EXAMPLE_OWNERS = 2      # owners that make a value a copied example
+EXAMPLE_OWNERS = 2      # owners that make a value a copied example,
+EXAMPLE_REPOS = 3       # or repositories, also of one owner
 
 
-def _matches(text: Column, pattern: str, group: int, kind: int, least: int = 0) -> Column:
-    """Array of (start, kind, end, value) of the leftmost non-overlapping matches
-    whose value (a group of the match) has ``least`` characters or more."""
+def _matches(text: Column, pattern: str, group: int, kind: int, keep: Callable[[Column], Column]) -> Column:
+    """All leftmost non-overlapping matches in order, as (kind, nth, skip, size, value): the
+    characters in front of it since the last match, its own, and the hash of its value
+    (a group of the match); null for a value that is not kept."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["whole"])
-        hit = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        kept = F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), kept.alias("found"))
     # the last gap has no match: its row in the zip is left out
-    return F.aggregate(F.slice(rows, F.lit(1), F.size(whole)), start, step, lambda acc: acc["found"])
+    return F.transform(F.slice(rows, F.lit(1), F.size(whole)), lambda x, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["gap"]).alias("skip"), F.length(x["whole"]).alias("size"),
+        F.when(keep(x["value"]), F.sha2(x["value"], 256)).alias("value")))
 
 
 def _spelled(spans: Column) -> Column:
@@ -64,22 +64,32 @@ def _spelled(spans: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source",
                repo: str = "lang") -> DataFrame:
-    """(rid, doc_id, owner, repo, base, loose), one row per input row; base and loose
-    are arrays of (start, kind, end, value hash), sorted."""
+    """(rid, doc_id, owner, repo, matches), one row per input row."""
     t = F.coalesce(F.col("__t"), F.lit(""))
-    looks_live = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"),
                        F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
                        F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"), F.col(text).alias("__t"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    some = t.rlike(ANY)
-    rows = rows.withColumn("__base", F.when(some, F.array_sort(F.concat(
-        _matches(t, ASSIGN, 2, 0, MIN_ASSIGN), _matches(t, ACCESS_LONG, 0, 1), _matches(t, HEX_LONG, 0, 2)))).otherwise(none)) \
-        .withColumn("__loose", F.when(some, F.filter(_matches(t, TOKEN, 0, 3), looks_live)).otherwise(none))
-    apart = F.filter("__loose", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    hashed = lambda a: F.transform(a, lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value")))
-    return rows.select("rid", "doc_id", "owner", "repo", hashed(F.col("__base")).alias("base"), hashed(apart).alias("loose"))
+    every = F.concat(_matches(t, ASSIGN, 2, 0, lambda v: F.length(v) >= MIN_ASSIGN),
+                     _matches(t, ACCESS_LONG, 0, 1, lambda v: F.lit(True)),
+                     _matches(t, HEX_LONG, 0, 2, lambda v: F.lit(True)),
+                     _matches(t, TOKEN, 0, 3, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")))
+    return rows.select("rid", "doc_id", "owner", "repo", F.when(t.rlike(ANY), every).alias("matches"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """(rid, owner, repo, kind, start, end, value) of base candidates, and of the loose ones
+    that overlap none of them."""
+    hits = rows.select("rid", "owner", "repo", F.explode("matches").alias("m")).select("rid", "owner", "repo", "m.*")
+    so_far = Window.partitionBy("rid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    spans = hits.withColumn("end", F.sum(F.col("skip") + F.col("size")).over(so_far).cast("int")) \
+        .withColumn("start", F.col("end") - F.col("size")).where(F.col("value").isNotNull())
+    base = F.col("kind") < 3
+    behind = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    reach, next_ = F.max(F.when(base, F.col("end"))).over(behind), F.min(F.when(base, F.col("start"))).over(ahead)
+    apart = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
+    return spans.withColumn("reach", reach).withColumn("next", next_).where(base | apart) \
+        .select("rid", "owner", "repo", "kind", "start", "end", "value")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -96,28 +106,27 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example), one
     row per input row.
 
-    n_live and n_example split the base spans by owners of their value.  Defined
-    cases: null and empty texts have no spans (the hash is that of an empty
-    string); a null owner or repository counts as one of its own; repeated rows
-    each return a row (and count as one holder); a null doc_id stays; a table
+    n_live and n_example split the base spans by owners and repositories of their
+    value.  Defined cases: null and empty texts have no spans (the hash is that of
+    an empty string); a null owner or repository counts as one of its own; repeated
+    rows each return a row (and count as one holder); a null doc_id stays; texts of
+    any length are searched whole, in time linear in their matches; a table
     without rows returns none; other columns are not read.
     """
     rows = written(candidates(docs, text, doc_id, owner, repo))
-    found = rows.where((F.size("base") > 0) | (F.size("loose") > 0)) \
-        .select("rid", "owner", "repo", F.explode(F.concat("base", "loose")).alias("s")) \
-        .select("rid", "owner", "repo", "s.start", "s.kind", "s.end", "s.value")
+    found = written(placed(rows))
     counted = written(ownership(found))
-    example = F.col("owners") >= EXAMPLE_OWNERS
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
     base = F.col("kind") < 3
+    of = lambda k: F.count_if(F.col("kind") == k).alias(KINDS[k])
     # both inputs are scans, so a hot value's rows can be split
     spans = found.select("rid", "start", "kind", "end", "value").join(counted, "value") \
         .where(base | ~example).groupBy("rid") \
-        .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"),
+        .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("all"), of(0), of(1), of(2),
              F.count_if(base & ~example).alias("live"), F.count_if(base & example).alias("example"))
-    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    zero = F.lit(0).cast("long")
-    return rows.join(spans, "rid", "left").select(
-        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
-        F.sha2(_spelled(F.col("base")), 256).alias("base_sha256"),
-        F.coalesce(_spelled(F.col("all")), F.lit("")).alias("spans"),
-        F.coalesce("live", zero).alias("n_live"), F.coalesce("example", zero).alias("n_example"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    listed = F.coalesce(F.col("all"), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    return rows.select("rid", "doc_id").join(spans, "rid", "left").select(
+        "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
+        F.sha2(_spelled(F.filter(listed, lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        _spelled(listed).alias("spans"), number("live").alias("n_live"), number("example").alias("n_example"))
