@@ -585,3 +585,17 @@ FROM scored_items GROUP BY agent"""
 ORACLE["chi2_two_by_two"] = f"""WITH e AS (SELECT event_type = 'click' AS a, value > 50 AS b FROM events
   WHERE event_type IS NOT NULL AND value IS NOT NULL),
 {chi2_sql('e', 'a', 'b', 'chi2_two_by_two')}"""
+
+
+def _named_test(name: str, query: str) -> str:
+    return f"SELECT '{name}' AS test, n, statistic FROM ({query})"
+
+
+ORACLE["tests_six_statistics"] = " UNION ALL ".join([
+    _named_test("kruskal_wallis_agents", ORACLE["kruskal_agents"]),
+    _named_test("pointbiserial", f"""{SI} SELECT count(*) AS n, round(corr(friction_score,
+        CAST(coalesce(contains(lower(state), 'merge'), false) AS INTEGER)), {D}) AS statistic FROM scored_items"""),
+    _named_test("time_to_merge", ORACLE["spearman_time"]),
+    _named_test("iterations", ORACLE["spearman_iterations"]),
+    _named_test("kruskal_wallis_categories", ORACLE["kruskal_categories"]),
+    _named_test("chi2_category_agent", ORACLE["chi2_category_agent"])])

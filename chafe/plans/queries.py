@@ -656,3 +656,9 @@ def chi2_two_by_two(spark, d):
     ev = load_table(spark, d, "events").where(F.col("event_type").isNotNull() & F.col("value").isNotNull())
     ev = ev.select((F.col("event_type") == "click").alias("is_click"), (F.col("value") > 50).alias("is_large"))
     return _stat(X.chi2_independence(ev, "is_click", "is_large", test="chi2_two_by_two"))
+
+
+@register("tests_six_statistics")
+def tests_six_statistics(spark, d):
+    """X11: the six named tests' rows and statistics (``tests_six`` adds the p-values)."""
+    return rounded(tests_six(spark, d).select("test", "n", "statistic"))
