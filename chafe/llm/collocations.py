@@ -41,7 +41,7 @@ from .common import byte_batches, written
 SCALE = 2_000_000
 TOP, MIN_COUNT, SHARE, LONGEST = 2000, 30, 80, 4
 UNKNOWN = "und"
-BLOCK = 8 << 20            # bytes of text that a task tokenises at once
+BLOCK = 4 << 20            # bytes of text that a task tokenises at once
 BITS_PER_ENTRY = 16
 MAX_BITS = 1 << 27         # of a bit array that tasks share: 16 MB
 BUCKET = 1000              # scores are binned to find a threshold
