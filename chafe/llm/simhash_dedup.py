@@ -182,7 +182,7 @@ def keep_first_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
 
     All columns stay.  Rows are judged by (doc_id, text), so the other texts of
     a repeated id stay with their own groups; of rows equal in both one stays.
-    Rows without an id can't be named by a group: one of them stays as well.
+    A row without an id stays only where no member of its group has an id.
     Only ids and hashes are shuffled, and the rows of repeated ones.
     """
     rows = written(fingerprints(docs, words=words))
@@ -194,7 +194,7 @@ def keep_first_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame
     labelled = _labelled(reps)
     least = labelled.groupBy("label").agg(F.min("named").alias("keep"), F.min("unnamed").alias("keep_unnamed"))
     by_fp = written(labelled.select("fp", "label").join(written(least), "label").select("fp", "keep", "keep_unnamed"))
-    stays = F.when(noid, F.col("key") == F.col("keep_unnamed")).otherwise(mine == F.col("keep"))
+    stays = F.when(noid, F.col("keep").isNull() & (F.col("key") == F.col("keep_unnamed"))).otherwise(mine == F.col("keep"))
     gone = written(rows.join(by_fp, "fp").where(~stays)
                    .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct())
     twice = written(rows.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).count()

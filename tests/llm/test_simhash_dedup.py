@@ -87,7 +87,9 @@ def test_empty_table_and_kept_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (3, "quite another text it is"), (None, "a b c d")]
     kept = S.keep_first_of_each(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "fp", "component_id"]
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3]
+    alone = S.keep_first_of_each(frame(spark, [(None, "a b c d"), (None, "a b c d"), (2, "quite another text it is")]))
+    assert sorted((r.doc_id for r in alone.collect()), key=repr) == [2, None]
 
 
 def test_kept_rows_of_repeated_and_null_ids(spark):
