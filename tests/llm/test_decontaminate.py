@@ -122,3 +122,34 @@ def test_blocks_cover_the_radius():
     for _ in range(2000):
         x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, D.MAX_BITS)))
         assert any(x >> 8 * j & 255 in near for j in range(8))
+
+
+def test_block_join_emits_few_of_all_pairs(spark):
+    rng = random.Random(11)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    windows = [(20, signed(rng.getrandbits(64)), str(i)) for i in range(600)]
+    items = [(i, 20, signed(rng.getrandbits(64))) for i in range(200)]
+    near = [(20, signed((items[i][2] & (1 << 64) - 1) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, D.MAX_BITS)))),
+             f"near {i}") for i in range(200)]
+    w = spark.createDataFrame(windows + near, "size int, fp long, window string")
+    got = {(r.window, r.item) for r in D.block_pairs(w, spark.createDataFrame(items, "item long, size int, fp long")).collect()}
+    assert {(f"near {i}", i) for i in range(200)} <= got
+    assert len(got) < 0.05 * len(items) * (len(windows) + len(near))
+
+
+def test_recall_at_the_threshold():
+    """Pairs of 60-word windows whose similarity lies just over 0.8."""
+    rng, cache, near = random.Random(12), D._WordHashes(), set(D._near_block_values())
+    met = pairs = 0
+    while pairs < 1500:
+        a = [b"w%d" % rng.randrange(10_000) for _ in range(60)]
+        b = a.copy()
+        cut = rng.randint(1, 2)
+        for _ in range(cut):
+            b[rng.randrange(60)] = b"changed"
+        if not 0.8 <= D.weighted_similarity(a, b) <= 0.86:
+            continue
+        x = (D.simhash(D.shingle_hashes(a, 5, cache)) ^ D.simhash(D.shingle_hashes(b, 5, cache))) & (1 << 64) - 1
+        met += any(x >> D.BLOCK_BITS * j & (1 << D.BLOCK_BITS) - 1 in near for j in range(D.BLOCKS))
+        pairs += 1
+    assert met / pairs > 0.98
