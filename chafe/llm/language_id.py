@@ -4,13 +4,17 @@ For each language a suffix automaton of labelled text recognises every
 substring of it.  A text is cross-parsed: from each point the longest match in
 the language's text is one phrase, and the next phrase starts behind it; the
 language needing fewest phrases wins, with the phrases normalised to
-phrases * log2(length of the language's text) / symbols of the document.
-
-Texts are read as symbols: one for each letter of the training sample, one for
-any letter never seen there, and one for each run of non-letters.  A phrase ends at
-every 512th symbol (the same for all languages), so pieces of all texts of an
-Arrow batch walk all automata at once, one vectorised step per symbol.
-Learning reads a bounded hash sample of documents per language; every text
+phrases * (LENGTH_BITS + log2(length of the language's text)) / symbols of the document:
+a phrase names a place in that text and a length.  (Without the length's bits a
+language of one short text would win short documents, its places being cheap.)
+
+Texts are read as symbols: the code point of a letter, and one symbol for each run of
+non-letters.  Pieces of PIECE symbols walk all automata at once, one vectorised step
+per symbol.  Each piece is parsed from its own start; its last phrase then runs on into the
+next pieces until it ends where a phrase of theirs begins.  From there on the two
+parses are the same, so following these meeting points from the start of a text
+gives its parse as a whole, whatever the piece length.
+Learning reads a bounded number of documents per language, whole; every text
 is parsed whole.  Transitions are kept sparse, so the alphabet may have any size.
 """
 
@@ -20,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_bucket, small_batches
+from ..session import group_side
+from .common import byte_batches, crc32_bucket, text_key
 
-TRAIN_CHARS = 16_000        # characters of the text that a language's automaton is built from
-TRAIN_DOCS = 100            # documents sampled for a language, about
-PIECE = 512                 # symbols parsed at a time
-SPACE, OTHER = 0, 1
+TRAIN_DOCS = 40             # rows that a language's automaton is built from, at most
+LENGTH_BITS = 8.0           # what the length of a phrase costs
+PIECE = 512                 # symbols that a piece is parsed for
+BLOCK_SYMBOLS = 4_000_000   # symbols x languages parsed at a time (one text at least)
+SPACE = 0
 UNDETERMINED = "und"
 
 
@@ -85,7 +91,7 @@ class Transitions:
 
     @classmethod
     def of_edges(cls, width: int, state: np.ndarray, symbol: np.ndarray, to: np.ndarray) -> Transitions:
-        slots = 1 << max(4, (4 * len(state)).bit_length())
+        slots = 1 << max(4, (2 * len(state)).bit_length())
         t = cls(width, np.full(slots, -1, np.int64), np.zeros(slots, np.int32))
         key = state.astype(np.int64) * width + symbol
         at = t._slot(key)
@@ -129,10 +135,10 @@ def code_points(text: str | None) -> np.ndarray:
 
 
 def _letters() -> np.ndarray:
-    """Symbol OTHER for each code point that is a letter, else SPACE."""
+    """Symbol of each code point: itself if it is a letter, else SPACE."""
     import sys
-    return np.fromiter((OTHER if chr(c).isalpha() else SPACE for c in range(sys.maxunicode + 1)),
-                       np.uint8, sys.maxunicode + 1)
+    return np.fromiter((c if chr(c).isalpha() else SPACE for c in range(sys.maxunicode + 1)),
+                       np.int32, sys.maxunicode + 1)
 
 
 def symbols_of(text: str | None, symbol: np.ndarray) -> np.ndarray:
@@ -143,7 +149,7 @@ def symbols_of(text: str | None, symbol: np.ndarray) -> np.ndarray:
 
 class LanguageModel:
     """names; symbol of each code point; the transitions of all automata, as parts of
-    Transitions or a dense table (their starts in ``starts``), and the log of each one's length."""
+    Transitions or a dense table (their starts in ``starts``), and what a phrase costs in each."""
 
     def __init__(self, names: list[str], symbol: np.ndarray, table: tuple | np.ndarray, starts: np.ndarray,
                  logs: np.ndarray):
@@ -155,45 +161,84 @@ class LanguageModel:
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Phrases of each document (rows) in each language (columns)."""
-        n_lang, width = len(self.names), self.table.width
-        owner = np.repeat(np.arange(len(docs)), [-(-len(d) // PIECE) for d in docs])
-        total = np.zeros((len(docs), n_lang), np.int64)
-        if not len(owner):
-            return total
-        pieces = [d[a:a + PIECE] for d in docs for a in range(0, len(d), PIECE)]
-        size = np.array([len(p) for p in pieces])
-        order = np.argsort(-size, kind="stable")      # long pieces first: lanes drop off at the end
-        owner, size = owner[order], size[order]
-        lanes = np.zeros((size[0], len(order)), np.int64)
-        for j, o in enumerate(order):
-            lanes[:size[j], j] = pieces[o]
-        first = self.table.step(np.repeat(self.starts[:, None], width, axis=1), np.arange(width)[None, :])
-        start = np.repeat(self.starts[:, None], len(order), axis=1)
-        state, count = start.copy(), np.ones((n_lang, len(order)), np.int64)     # the first phrase is open
-        fresh = np.ones_like(state, dtype=bool)       # the open phrase is still empty
-        live = np.searchsorted(-size, -np.arange(size[0]), side="left")          # pieces longer than i
-        for i in range(size[0]):
+        total = np.zeros((len(docs), len(self.names)), np.int64)
+        ends = np.cumsum([len(d) for d in docs])
+        a = 0
+        while a < len(docs):
+            room = max(1, BLOCK_SYMBOLS // len(self.names)) + (ends[a - 1] if a else 0)
+            b = max(a + 1, int(np.searchsorted(ends, room, side="right")))
+            # a text too long for all languages at once takes them in turns
+            n_lang = max(1, min(len(self.names), BLOCK_SYMBOLS // max(1, sum(len(d) for d in docs[a:b]))))
+            for lang in range(0, len(self.names), n_lang):
+                total[a:b, lang:lang + n_lang] = self._phrases(docs[a:b], self.starts[lang:lang + n_lang])
+            a = b
+        return total
+
+    def _advance(self, state: np.ndarray, start: np.ndarray, symbol: np.ndarray):
+        """(state behind the symbol, whether a phrase begins at it); a state equal to its
+        automaton's start: the open phrase is empty."""
+        to = self.table.step(state, symbol)
+        stop = np.flatnonzero(to == 0)
+        begins = state == start
+        if len(stop):
+            begins[stop] = True
+            again = self.table.step(start[stop], symbol[stop])
+            # a symbol that the language never has is a phrase of its own
+            to[stop] = np.where(again == 0, start[stop], again)
+        return to, begins
+
+    def _phrases(self, docs: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+        n_lang, size = len(starts), np.array([len(d) for d in docs])
+        flat = np.concatenate(docs).astype(np.int64) if size.sum() else np.empty(0, np.int64)
+        n, pieces = len(flat), -(-size // PIECE)
+        n_pieces = int(pieces.sum())
+        if not n_pieces:
+            return np.zeros((len(docs), n_lang), np.int64)
+        doc = np.repeat(np.arange(len(docs)), pieces)
+        doc_at, first = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(pieces)]
+        at = doc_at[doc] + PIECE * (np.arange(n_pieces) - first[doc])      # where each piece begins
+        end = np.minimum(at + PIECE, doc_at[doc + 1])
+        # every piece from its own start; lanes are (language, piece), long pieces first
+        order = np.argsort(at - end, kind="stable")
+        live = np.searchsorted((at - end)[order], -np.arange(PIECE), side="left")
+        state = np.repeat(starts[:, None], n_pieces, axis=1)               # in the order of ``order``
+        start = state.copy()
+        begins = np.zeros((n_lang, n), bool)                               # a phrase begins at this symbol
+        for i in range(PIECE):
             m = live[i]
-            c, st = lanes[i, :m], state[:, :m]
-            to = self.table.step(st, c)
-            stop = to == 0
-            if stop.any():
-                # the phrase ends in front of this symbol; an empty one takes the symbol itself
-                again = first[:, c]
-                empty = fresh[:, :m]
-                count[:, :m] += stop & ~empty
-                alone = stop & (again == 0)
-                to = np.where(stop, again, to)
-                # a symbol that the language never has is a phrase of its own
-                count[:, :m] += alone
-                to = np.where(alone, start[:, :m], to)
-                fresh[:, :m] = alone
-            else:
-                fresh[:, :m] = False
-            state[:, :m] = to
-        count -= fresh                                 # nothing follows the last phrase
-        for lang in range(n_lang):
-            total[:, lang] = np.bincount(owner, weights=count[lang], minlength=len(docs))
+            if not m:
+                break
+            where = at[order[:m]] + i
+            to, b = self._advance(state[:, :m].reshape(-1), start[:, :m].reshape(-1), np.tile(flat[where], n_lang))
+            state[:, :m] = to.reshape(n_lang, m)
+            begins[:, where] = b.reshape(n_lang, m)
+        before = np.zeros((n_lang, n + 1), np.int32)                       # phrases that begin in front of a symbol
+        np.cumsum(begins, axis=1, out=before[:, 1:])
+        # the last phrase of each piece, and what follows, up to where it meets another parse
+        lang, lane = np.repeat(np.arange(n_lang), n_pieces), np.tile(order, n_lang)
+        meets = np.full((n_lang, n_pieces), -1)                            # -1: at the end of the text
+        extra = np.zeros((n_lang, n_pieces), np.int64)                     # phrases begun behind the piece
+        state, start, pos, stop = state.reshape(-1), start.reshape(-1), end[lane], doc_at[doc[lane] + 1]
+        while True:
+            on = np.flatnonzero(pos < stop)
+            if not len(on):
+                break
+            lang, lane, state, start, pos, stop = (v[on] for v in (lang, lane, state, start, pos, stop))
+            state, b = self._advance(state, start, flat[pos])
+            met = b & begins[lang, pos]
+            meets[lang[met], lane[met]] = pos[met]
+            extra[lang, lane] += b & ~met
+            pos = np.where(met, stop, pos + 1)
+        # follow the meeting points through each text
+        total = np.zeros((len(docs), n_lang), np.int64)
+        d, lang = (v.reshape(-1) for v in np.meshgrid(np.flatnonzero(size), np.arange(n_lang), indexing="ij"))
+        pos = doc_at[d]
+        while len(d):
+            piece = first[d] + (pos - doc_at[d]) // PIECE
+            total[d, lang] += before[lang, end[piece]] - before[lang, pos] + extra[lang, piece]
+            pos = meets[lang, piece]
+            on = pos >= 0
+            d, lang, pos = d[on], lang[on], pos[on]
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -210,51 +255,49 @@ class LanguageModel:
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """(lang, text) of a bounded hash sample: TRAIN_DOCS per language or so, from
-    rows whose crc32 of the id as text, modulo 5, is not 0."""
+    """(lang, text): TRAIN_DOCS rows of each language at most, whole and with different
+    texts, the first ones by a hash of id and text, from rows whose crc32 of the id as
+    text, modulo 5, is not 0."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                       & (crc32_bucket("doc_id", 5) != 0))
+                       & (crc32_bucket("doc_id", 5) != 0)) \
+        .select("lang", "text", F.xxhash64("doc_id", "text").alias("__h"), text_key().alias("__key"))
     per = learn.groupBy("lang").agg(F.count("*").alias("__n"))
-    share = F.broadcast(per.select(F.col("lang").alias("__lang"), (F.lit(float(TRAIN_DOCS)) / F.col("__n")).alias("__p")))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    return learn.select("doc_id", "lang", "text").join(share, F.col("lang") == F.col("__lang")) \
-        .where(part < F.col("__p")) \
-        .select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS + 1).alias("text"))
+    # a first cut for cheap sorting: eight times as many rows as needed
+    share = group_side(per.select(F.col("lang").alias("__lang"), (F.lit(8.0 * TRAIN_DOCS) / F.col("__n")).alias("__p")))
+    part = F.pmod("__h", F.lit(1_000_000)) / F.lit(1_000_000.0)
+    some = learn.join(share, F.col("lang") == F.col("__lang")).where(part < F.col("__p")) \
+        .groupBy("lang", "__key").agg(F.min("__h").alias("__h"), F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__key"))
+    return some.withColumn("__nth", nth).where(F.col("__nth") <= TRAIN_DOCS).select("lang", "text", "__nth")
 
 
-def _fitting(texts: list[str]) -> list[str]:
-    """Whole documents, in order, that fit into TRAIN_CHARS together; where not even
-    one fits, a part of the first."""
-    out, room = [], TRAIN_CHARS
-    for t in texts:
-        if len(t) <= room:
-            out.append(t)
-            room -= len(t)
-    return out if any(out) else [t[:TRAIN_CHARS] for t in texts[:1]]
+def _automaton(rows: pd.DataFrame) -> pd.DataFrame:
+    """The automaton of one language's sampled texts, its arrays as bytes."""
+    symbol = _letters()
+    text = np.concatenate([symbols_of(t, symbol) for t in rows.sort_values("__nth")["text"]])
+    n, *edges = suffix_edges(text)
+    return pd.DataFrame([[rows["lang"].iloc[0], n, len(text), *(e.astype(np.int32).tobytes() for e in edges)]],
+                        columns=["lang", "states", "symbols", "state", "symbol", "to"])
 
 
 def learn(docs: DataFrame) -> LanguageModel | None:
-    """One automaton for each label; None without labelled text."""
-    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in training_sample(docs).toLocalIterator())
+    """One automaton for each label, built by a task each; None without labelled text.
+    The driver and every worker hold the model: some 6 transitions for each sampled character."""
+    rows = training_sample(docs).groupBy("lang").applyInPandas(
+        _automaton, "lang string, states long, symbols long, state binary, symbol binary, to binary").collect()
     if not rows:
         return None
-    symbol = _letters().astype(np.int32)
-    counts = np.bincount(np.concatenate([code_points(t) for _, _, t in rows]), minlength=len(symbol))
-    counts[symbol[:len(counts)] == SPACE] = 0
-    seen = np.flatnonzero(counts)
-    symbol[seen] = np.arange(2, 2 + len(seen))
-    width = 2 + len(seen)
-    names = sorted({r[0] for r in rows})
     edges, starts, logs, at = [], [], [], 0
-    for name in names:
-        text = np.concatenate([symbols_of(t, symbol) for t in _fitting([t for lang, _, t in rows if lang == name])])
-        n, state, c, to = suffix_edges(text)
+    rows.sort(key=lambda r: r["lang"])
+    for r in rows:
+        state, c, to = (np.frombuffer(r[k], np.int32).astype(np.int64) for k in ("state", "symbol", "to"))
         starts.append(at + 1)
         edges.append((state + at, c, to + at))
-        logs.append(np.log2(max(2, len(text))))
-        at += n
-    table = Transitions.of_edges(width, *map(np.concatenate, zip(*edges)))
-    return LanguageModel(names, symbol, table.parts(), np.array(starts), np.array(logs))
+        logs.append(LENGTH_BITS + np.log2(max(2, r["symbols"])))
+        at += r["states"]
+    symbol = _letters()
+    table = Transitions.of_edges(len(symbol), *map(np.concatenate, zip(*edges)))
+    return LanguageModel([r["lang"] for r in rows], symbol, table.parts(), np.array(starts), np.array(logs))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -266,7 +309,7 @@ def identify(docs: DataFrame) -> DataFrame:
     learnt from, and not held out; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_batches(spark)
     model = learn(docs)
     shared = spark.sparkContext.broadcast(model.parts() if model else None)
 

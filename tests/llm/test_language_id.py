@@ -4,26 +4,27 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from chafe.llm import language_id as N
 
 
 def brute_phrases(symbols, text):
-    """Greedy longest-match parse by substring search, piece by piece."""
-    known, n = text.tobytes(), 0
-    for a in range(0, len(symbols), N.PIECE):
-        p = symbols[a:a + N.PIECE].astype(np.uint8).tobytes()
-        i = 0
-        while i < len(p):
-            j = i + 1
-            while j <= len(p) and p[i:j] in known:
-                j += 1
-            i = max(i + 1, j - 1)
-            n += 1
+    """Greedy longest-match parse of the whole text by substring search."""
+    known, p, n, i = text.tobytes(), symbols.astype(np.uint8).tobytes(), 0, 0
+    while i < len(p):
+        j = i + 1
+        while j <= len(p) and p[i:j] in known:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
     return n
 
 
-def test_parse_equals_brute_force():
+@pytest.mark.parametrize("piece, block", [(512, 4_000_000), (7, 4_000_000), (1, 50), (64, 900)])
+def test_parse_equals_brute_force(piece, block, monkeypatch):
+    monkeypatch.setattr(N, "PIECE", piece)
+    monkeypatch.setattr(N, "BLOCK_SYMBOLS", block)
     rng = np.random.default_rng(3)
     texts = [rng.integers(0, w, 600).astype(np.uint8) for w in (3, 5)]
     tables, starts, at = [], [], 0
@@ -34,7 +35,7 @@ def test_parse_equals_brute_force():
         at += len(x)
     m = N.LanguageModel(["a", "b"], N._letters(), np.concatenate(tables).astype(np.int32), np.array(starts), np.ones(2))
     docs = [rng.integers(0, 7, n).astype(np.uint8) for n in (0, 1, 2, 30, 511, 512, 513, 1500)]
-    docs += [texts[0][50:300], np.full(40, 7, np.uint8)]
+    docs += [texts[0][50:300], np.full(40, 7, np.uint8), np.tile(texts[1], 3), np.zeros(2000, np.uint8)]
     got = m.phrases(docs)
     for d, row in zip(docs, got):
         assert row.tolist() == [brute_phrases(d, t) for t in texts]
@@ -108,3 +109,13 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in N.identify(df).collect()] == ["und"]
     assert N.identify(df.where("false")).count() == 0
+
+
+def test_sampled_rows_are_bounded_and_whole(spark):
+    """A hot id and a hot text take one place; texts past 16,000 characters stay whole."""
+    long = "wort " * 20_000
+    rows = [(1, "immer derselbe text", "de")] * 200 + [(1, f"text {i}", "de") for i in range(200)] + [(2, long, "en")]
+    got = N.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    texts = [r.text for r in got if r.lang == "de"]
+    assert len(texts) == len(set(texts)) == N.TRAIN_DOCS
+    assert [r.text for r in got if r.lang == "en"] == [long]
