@@ -10,19 +10,15 @@ from chafe.llm import topk_search as K
 
 
 def brute(rows, k=5):
-    x = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v):
-            x.setdefault(i, []).append([math.floor(256 * float(np.float32(c))) for c in v])
+    """Every row whose id is a multiple of 50 against all other rows."""
+    x = [(i, [math.floor(256 * float(np.float32(c))) for c in v]) for i, v in rows
+         if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
-    for q in sorted(i for i in x if i % 50 == 0):
-        best = {}
-        for i, vs in x.items():
-            if i != q:
-                best[i] = max(sum(a * b for a, b in zip(v, w)) for v in vs for w in x[q])
-        top = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]
-        out += [(q, r + 1, i, s) for r, (i, s) in enumerate(top)]
-    return out
+    for n, (q, w) in enumerate(x):
+        if q % 50 == 0:
+            scores = [(i, sum(a * b for a, b in zip(v, w))) for m, (i, v) in enumerate(x) if m != n]
+            out += [(q, r + 1, i, s) for r, (i, s) in enumerate(sorted(scores, key=lambda p: (-p[1], p[0]))[:k])]
+    return sorted(out)
 
 
 def result(spark, rows):
@@ -56,13 +52,14 @@ def test_few_rows(spark):
 
 @pytest.mark.parametrize("copies", [2, 6, 40])
 @pytest.mark.parametrize("block", [4096, 16])
-def test_rows_of_one_id_take_one_place(spark, copies, block, monkeypatch):
+def test_rows_of_one_id_are_candidates_each(spark, copies, block, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_ROWS", block)
     rng = random.Random(8)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(1, 140)]
     rows += [(0, [0.5] * 12), (50, [-0.5] * 12)]
     rows += [(7, [0.9] * 12)] * copies                                      # equal rows
     rows += [(9, [-0.8 - 0.001 * j] * 12) for j in range(copies)]           # different rows
+    rows += [(50, [-0.4] * 12)]                                             # a query id twice
     assert result(spark, rows) == brute(rows)
 
 
@@ -78,3 +75,26 @@ def test_bounds_enclose_scores():
         assert width is None or gap <= width
         width = gap
     assert width == 0
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_most_queries_stop_before_a_full_read(spread):
+    """Vectors without structure, of equal or of different lengths."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (8000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(spread * rng.normal(0, 1, (8000, 1))))
+    x = x[np.argsort(-(x ** 2).sum(axis=1), kind="stable")]
+    asked = np.arange(0, 8000, 50)
+    floor, depths = np.full(len(asked), -np.inf), []
+    for a in range(0, 8000, 4000):
+        K.search_block(K.SortedLists(np.arange(a, a + 4000), x[a:a + 4000]), asked, x[asked], floor, 5, depths)
+    early = sum(n for depth, n in depths if depth < 1)
+    assert early > 0.8 * 2 * len(asked)
+    if spread:                                       # short vectors are not read at all
+        assert sum(n for depth, n in depths if depth == 0) > 0.3 * len(asked)
+
+
+def test_a_hot_id_is_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 50)
+    rows = [(7, [0.1 * (i % 5)] * 4) for i in range(150)] + [(i, [0.01 * i] * 4) for i in range(100)]
+    assert result(spark, rows) == brute(rows)
