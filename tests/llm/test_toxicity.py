@@ -1,7 +1,12 @@
 """Toxicity: held-out accuracy and defined cases."""
 
+import math
 import random
 import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from chafe.llm import toxicity as X
 
@@ -51,3 +56,58 @@ def test_nothing_to_learn(spark):
     y = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in X.classify(d, y).collect()] == [0.0, 0.0]
     assert X.classify(d.where("false"), y).count() == 0
+
+
+def brute_grams(text):
+    """Distinct n-gram buckets, one character at a time."""
+    chars, out = [ord(c) for c in f" {' '.join((text or '').lower().split())} "], set()
+    for n in X.SIZES:
+        for i in range(len(chars) - n + 1):
+            h = n
+            for c in chars[i:i + n]:
+                h = (h ^ c) * 0x01000193 % (1 << 32)
+            h = (h ^ h >> 15) * 0x2C1B3C6D % (1 << 32)
+            out.add((h ^ h >> 12) % X.BUCKETS)
+    return out
+
+
+def brute_scores(docs, labels):
+    """Ratios counted gram by gram, and a dense logistic regression on the scaled features."""
+    truth = {i: t for i, _, t in labels}
+    learn = [(brute_grams(t), truth[i]) for i, t, *_ in docs if i in truth and zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = [Counter(), Counter()]
+    for grams, y in learn:
+        seen[y].update(grams)
+    size = [X.BUCKETS + sum(c.values()) for c in seen]
+    chosen = {}
+    for g in seen[0].keys() | seen[1].keys():
+        neg, pos = seen[0][g] + 1, seen[1][g] + 1
+        ratio = math.log(pos / size[1]) - math.log(neg / size[0])
+        if neg + pos - 2 >= 3 and ratio / math.sqrt(1 / pos + 1 / neg) >= X.MIN_Z:
+            chosen[g] = ratio
+    assert 5 < len(chosen) <= X.MAX_FEATURES
+    grams = sorted(chosen)
+    x = np.array([[chosen[g] * (g in have) for g in grams] for have, _ in learn])
+    y = np.array([t for _, t in learn], float)
+    w, b = np.zeros(len(grams)), 0.0
+    m, v = np.zeros(len(grams) + 1), np.zeros(len(grams) + 1)
+    for t in range(1, X.ROUNDS + 1):
+        err = 1 / (1 + np.exp(-(x @ w + b))) - y
+        g = np.r_[x.T @ err / len(y) + X.RIDGE * w, err.mean()]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = X.RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return {i: 1 / (1 + math.exp(-(sum(w[k] * chosen[g] for k, g in enumerate(grams) if g in have) + b)))
+            for i, have in ((i, brute_grams(t)) for i, t, *_ in docs)}
+
+
+def test_ratios_and_scores_equal_brute_force(spark):
+    docs, labels = planted(900, seed=3)
+    long = (6000, "vexing words of a very long text " * 5000, "en", 0.0)
+    docs = docs + [long, (6001, "", "en", 0.0), (6002, "v", "en", 0.0)]
+    want = brute_scores(docs, labels)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, score double")
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in X.classify(d, y).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
