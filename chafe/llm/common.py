@@ -68,6 +68,18 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores appended until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
                 schema: str) -> DataFrame:
     """One Arrow batch in, one out; the plan keeps its partitioning."""

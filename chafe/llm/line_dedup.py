@@ -8,6 +8,12 @@ only the words it touched.  Merging is ``twice = t1 | t2 | (o1 & o2)`` and
 anywhere is in ``twice``.  Pass 2 shuffles only the lines found there, counts
 their documents exactly on the line itself, and picks the document that keeps
 it.  Documents with no suspected line are never shuffled.
+
+The merged ``twice`` set is broadcast while its size at BITS_PER_LINE is within
+MAX_FILTER_BITS.  Beyond that the filters are dealt by hash: only hashes
+shuffle, every task keeps the two bit sets of its range of hashes, and the hashes that
+it saw twice come back to the rows that hold them.  Both ways suspect about the
+same lines, at every size.
 """
 
 from __future__ import annotations
@@ -19,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, utf8, written
+from .common import fresh, map_batches, small_batches, text_key, utf8, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 BITS_PER_LINE = 16
 MAX_FILTER_BITS = 1 << 31   # 256 MB: proven bound of what is broadcast
+RANGE_LINES = 1 << 22       # lines of a range when the filters are dealt: two bit sets of 8 MB
+_COMBINE = 1 << 20          # hashes that a task holds to merge equal ones
 MIN_FILTER_BITS = 1 << 16
 _MAX_CHUNKS = 1024
 
@@ -51,17 +59,20 @@ def _hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64)
 
 
-def filter_bits(docs: DataFrame, text: str) -> int:
-    """Filter size for the number of lines, a power of two within fixed bounds."""
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
-                     .alias("n")).first()["n"] or 0
-    bits = 1 << max(0, int(lines * BITS_PER_LINE - 1).bit_length())
-    return max(MIN_FILTER_BITS, min(MAX_FILTER_BITS, bits))
+def line_count(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
+                    .alias("n")).first()["n"] or 0
+
+
+def filter_bits(lines: int) -> int:
+    """Filter size for the number of lines, a power of two of at least MIN_FILTER_BITS."""
+    return max(MIN_FILTER_BITS, 1 << max(0, int(lines * BITS_PER_LINE - 1).bit_length()))
 
 
-def twice_seen_filter(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> np.ndarray:
+def twice_seen_filter(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS,
+                      lines: int | None = None) -> np.ndarray:
     """The merged ``twice`` bit set as 64-bit words, at most MAX_FILTER_BITS."""
-    bits = filter_bits(docs, text)
+    bits = min(MAX_FILTER_BITS, filter_bits(line_count(docs, text) if lines is None else lines))
     n_words = bits // 64
     per_chunk = max(1024, n_words // _MAX_CHUNKS)
     n_chunks = -(-n_words // per_chunk)
@@ -124,30 +135,20 @@ def _suspects(keys: list[bytes], twice: np.ndarray) -> list[bytes]:
     return [k for k, hit in zip(keys, (twice[word] & mask) == mask) if hit]
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with repeated lines removed from ``text``; all columns stay, and
-    ``__n_lines`` (before) and ``__n_dropped`` are added.
-
-    A line whose key has at least ``min_chars`` code points and is held by at
-    least ``min_docs`` documents goes everywhere but in the largest doc_id
-    holding it (where each of its repeats stays).  Defined cases: a null text
-    has one empty line and stays null; rows that share a doc_id are one document
-    for the count and are treated alike; a row with a null doc_id counts as no
-    document and keeps its lines; a document that loses all its lines becomes
-    an empty text; an empty table stays empty.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    twice = spark.sparkContext.broadcast(twice_seen_filter(docs, text, min_chars))
+def _by_broadcast(docs: DataFrame, lines: int, text: str, doc_id: str, row: str, mark: str,
+                  min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row, key) of suspected lines, and ``docs`` with ``mark``: it may hold one."""
+    twice = docs.sparkSession.sparkContext.broadcast(twice_seen_filter(docs, text, min_chars, lines))
 
     def suspected(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys = [], []
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        at, keys = [], []
+        for i, t in enumerate(b.column(2).to_pylist()):
             own = _suspects(list({k for k in map(line_key, t.split(b"\n")) if eligible(k, min_chars)}), twice.value)
-            ids += [d] * len(own)
+            at += [i] * len(own)
             keys += own
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
+        at = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(keys, pa.binary())],
+                                          ["id", "row", "key"])
 
     @F.pandas_udf("boolean")
     def has_suspect(texts: pd.Series) -> pd.Series:
@@ -155,12 +156,107 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             [k for k in map(line_key, t.split(b"\n")) if eligible(k, min_chars)], twice.value)))
 
     named = docs.where(F.col(doc_id).isNotNull())
-    pairs = written(map_batches(named.select(F.col(doc_id).cast("long"), utf8(text)), suspected,
-                                "id long, key binary"))
+    pairs = map_batches(named.select(F.col(doc_id).cast("long"), row, utf8(text)), suspected,
+                        "id long, row long, key binary")
+    return pairs, docs.withColumn(mark, has_suspect(utf8(text)))
+
+
+def _by_ranges(docs: DataFrame, lines: int, text: str, doc_id: str, row: str, mark: str,
+               min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """As ``_by_broadcast``, with the filters dealt over tasks by hash."""
+    n_words = filter_bits(RANGE_LINES) // 64
+
+    def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, out = [], []
+        for i, t in enumerate(b.column(2).to_pylist()):
+            h = np.unique(_hashes({k for k in map(line_key, t.split(b"\n")) if eligible(k, min_chars)}))
+            at.append(np.full(len(h), i, np.int64))
+            out.append(h)
+        at = pa.array(np.concatenate(at))
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at),
+                                           pa.array(np.concatenate(out).view(np.int64))], ["id", "row", "h"])
+
+    def combine(batches):
+        """Equal hashes of a task become one row, so that a line of many documents is no hot key."""
+        def merged(held):
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n > 1)], ["h", "many"])
+        held, size = [], 0
+        for b in batches:
+            held.append(b.column(0).to_numpy(zero_copy_only=False))
+            size += b.num_rows
+            if size >= _COMBINE:
+                yield merged(held)
+                held, size = [], 0
+        if size:
+            yield merged(held)
+
+    def seen_twice(batches):
+        once, twice = np.zeros(n_words, np.uint64), np.zeros(n_words, np.uint64)
+        for b in batches:
+            h, at, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+            many = (n > 1) | (np.bincount(at, weights=b.column(1).to_numpy(zero_copy_only=False)) > 0)
+            word, mask = _word_and_mask(h.view(np.uint64), n_words)
+            again = many | ((once[word] & mask) == mask)
+            np.bitwise_or.at(twice, word[again], mask[again])
+            np.bitwise_or.at(once, word, mask)
+            yield pa.RecordBatch.from_arrays([pa.array(h[(twice[word] & mask) == mask])], ["h"])
+
+    named = docs.where(F.col(doc_id).isNotNull())
+    owned = written(map_batches(named.select(F.col(doc_id).cast("long"), row, utf8(text)), hashed,
+                                "id long, row long, h long"))
+    repeated = written(owned.select("h").mapInArrow(combine, "h long, many boolean")
+                       .repartition(max(1, -(-lines // RANGE_LINES)), "h").mapInArrow(seen_twice, "h long").distinct())
+    id_, row_of, hs = fresh(docs, "__hash_id", "__hash_row", "__hashes")
+    own = written(owned.join(repeated, "h", "left_semi").groupBy(F.col("id").alias(id_), F.col("row").alias(row_of))
+                  .agg(F.collect_set("h").alias(hs)))
+    held = docs.join(own, (F.col(doc_id).cast("long") == F.col(id_)) & (F.col(row) == F.col(row_of)), "left")
+
+    def suspected(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, keys = [], []
+        for i, (t, mine) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            every = list({k for k in map(line_key, t.split(b"\n")) if eligible(k, min_chars)})
+            hit = np.isin(_hashes(every).view(np.int64), np.array(mine, np.int64))
+            own_keys = [k for k, h in zip(every, hit) if h]
+            at += [i] * len(own_keys)
+            keys += own_keys
+        at = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(keys, pa.binary())],
+                                          ["id", "row", "key"])
+
+    pairs = map_batches(held.where(F.col(hs).isNotNull()).select(id_, row, utf8(text), hs), suspected,
+                        "id long, row long, key binary")
+    return pairs, held.withColumn(mark, F.col(hs).isNotNull()).drop(id_, row_of, hs)
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+                counts: tuple[str, str] = ("__n_lines", "__n_dropped")) -> DataFrame:
+    """``docs`` with repeated lines removed from ``text``; all columns stay, and
+    the numbers of lines before and of lines dropped are added in the columns
+    named by ``counts`` (columns of these names are replaced).
+
+    A line whose key has at least ``min_chars`` code points and is held by at
+    least ``min_docs`` documents goes everywhere but in the largest doc_id
+    holding it (where each of its repeats stays).  Defined cases: a null text
+    has one empty line and stays null; rows that share a doc_id are one document
+    for the count and are treated alike; a row with a null doc_id counts as no
+    document and keeps its lines; a document that loses all its lines becomes
+    an empty text; an empty table stays empty.
+    """
+    small_batches(docs.sparkSession)
+    cols = [c for c in docs.columns if c not in counts]
+    row, mark, id_, row_of, gone, new = fresh(docs, "__row", "__suspect", "__of_id", "__of_row", "__keys", "__new")
+    # a row is known by its id and its text: what is gathered for it never exceeds its own lines
+    docs = docs.select(*cols).withColumn(row, text_key(text))
+    lines = line_count(docs, text)
+    split = _by_broadcast if filter_bits(lines) <= MAX_FILTER_BITS else _by_ranges
+    pairs, counted = split(docs, lines, text, doc_id, row, mark, min_chars)
+    pairs = written(pairs)
     repeated = written(pairs.groupBy("key").agg(F.countDistinct("id").alias("docs"), F.max("id").alias("keeper"))
                        .where(F.col("docs") >= min_docs).select("key", "keeper"))
     drops = written(pairs.join(repeated, "key").where(F.col("id") != F.col("keeper"))
-                    .groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__keys")))
+                    .groupBy(F.col("id").alias(id_), F.col("row").alias(row_of)).agg(F.collect_set("key").alias(gone)))
 
     @F.pandas_udf("text string, n long")
     def without(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
@@ -173,13 +269,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             n.append(len(lines) - len(kept))
         return pd.DataFrame({"text": out, "n": n})
 
-    cols = docs.columns
-    n_lines = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))), F.lit(0)) + 1
-    counted = docs.withColumn("__n_lines", n_lines.cast("long")).withColumn("__suspect", has_suspect(utf8(text)))
-    clean = counted.where(~F.col("__suspect")).withColumn("__n_dropped", F.lit(0).cast("long"))
-    changed = counted.where("__suspect").join(drops, F.col(doc_id) == F.col("__id"), "left") \
-        .withColumn("__new", F.when(F.col("__keys").isNotNull(), without(utf8(text), F.col("__keys")))) \
-        .withColumn(text, F.coalesce("__new.text", text)) \
-        .withColumn("__n_dropped", F.coalesce("__new.n", F.lit(0)).cast("long"))
-    out = [*cols, "__n_lines", "__n_dropped"]
+    n_lines, n_dropped = counts
+    total = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    counted = counted.withColumn(n_lines, total.cast("long"))
+    clean = counted.where(~F.col(mark)).withColumn(n_dropped, F.lit(0).cast("long"))
+    changed = counted.where(mark) \
+        .join(drops, (F.col(doc_id).cast("long") == F.col(id_)) & (F.col(row) == F.col(row_of)), "left") \
+        .withColumn(new, F.when(F.col(gone).isNotNull(), without(utf8(text), F.col(gone)))) \
+        .withColumn(text, F.coalesce(F.col(new)["text"], F.col(text))) \
+        .withColumn(n_dropped, F.coalesce(F.col(new)["n"], F.lit(0)).cast("long"))
+    out = [*cols, n_lines, n_dropped]
     return clean.select(*out).unionByName(changed.select(*out))

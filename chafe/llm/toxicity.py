@@ -7,8 +7,9 @@ r = log((p + 1) / |p| / ((q + 1) / |q|)) scales the feature, and a logistic
 regression is fitted on the scaled features.
 
 The model is fitted on a bounded sample of the labelled rows (``sample_rows``,
-a hash sample of ids); counts come from two passes over that sample in Spark,
-and only selected features of sampled rows reach the driver.  Scoring covers
+a hash sample of ids with one row an id); counts come from two passes over that
+sample in Spark and are summed up there, and only the sums and the selected
+features of sampled rows reach the driver.  Scoring covers
 every document in one narrow pass.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_bucket, map_batches, small_batches, written
+from .common import crc32_bucket, fresh, map_batches, small_batches, text_key, written
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -32,6 +33,7 @@ MIN_Z = 3.0
 ROUNDS, RATE, RIDGE = 80, 0.1, 1e-3
 THRESHOLD = 0.3
 _FIT_TASKS = 8            # tasks over the bounded sample
+_SLICE = 1 << 16          # buckets of one row of tallies
 
 
 def gram_buckets(text: str | None) -> np.ndarray:
@@ -93,7 +95,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     """(text, y): a hash sample of about ``sample_rows`` labelled training rows.
 
     Held-out ids (crc32 of the id as text, modulo 4, is 2) are left out.  An id
-    labelled more than once counts as toxic if any label says so.
+    labelled more than once counts as toxic if any label says so.  An id with
+    several rows gives one, that whose text has the least hash, so the number
+    of rows does not grow with the rows of an id.
     """
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc32_bucket("doc_id", 4) != 2)) \
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("__y"))
@@ -104,7 +108,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     # at most about sample_rows rows of 12 bytes: safe to broadcast
     few = F.broadcast(y.where(part))
     return docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text")).where(part) \
-        .join(few, "__id").select("text", F.col("__y").alias("y"))
+        .join(few, "__id").groupBy("__id", "__y").agg(F.min_by("text", text_key("text")).alias("text")) \
+        .select("text", F.col("__y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
@@ -112,19 +117,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     small_batches(spark)
     sample = written(labelled_sample(docs, labels, sample_rows)).repartition(_FIT_TASKS)
 
+    rows = np.zeros(2, np.int64)
+    for r in sample.groupBy("y").count().collect():
+        rows[r["y"]] = r["count"]
+
     def tally(batches):
         c = np.zeros((2, BUCKETS), np.int32)
-        rows = np.zeros(2, np.int64)
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c[y, np.unique(gram_buckets(t))] += 1
-                rows[y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()]), pa.array([rows.tolist()])], ["c", "rows"])
+        if c.any():
+            for at in range(0, BUCKETS, _SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([c[:, at:at + _SLICE].tobytes()])],
+                                                 ["at", "c"])
 
-    counts, rows = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-    for r in sample.mapInArrow(tally, "c binary, rows array<long>").toLocalIterator():
-        counts += np.frombuffer(r["c"], np.int32).reshape(2, BUCKETS)
-        rows += np.array(r["rows"])
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = np.frombuffer(c, np.int32)
+                sums[at] = sums[at] + c if at in sums else c
+        for at, c in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([c.tobytes()])], ["at", "c"])
+
+    slices = sample.mapInArrow(tally, "at int, c binary").repartition(_FIT_TASKS, "at").mapInArrow(add, "at int, c binary")
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for r in slices.collect():    # one row a slice, 8 MB together
+        counts[:, r["at"]:r["at"] + _SLICE] = np.frombuffer(r["c"], np.int32).reshape(2, -1)
     none = ToxicityModel(np.zeros(BUCKETS, np.int32), np.empty(0), 0.0)
     if rows.min() == 0:
         return none
@@ -145,16 +164,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
              b.column(1)], ["f", "y"])
 
     picked = [(np.frombuffer(r["f"], np.int32).astype(np.int64), r["y"])
-              for r in map_batches(sample, pick, "f binary, y int").toLocalIterator()]
+              for r in map_batches(sample, pick, "f binary, y int").collect()]
     picked.sort(key=lambda p: (p[1], p[0].tobytes()))    # the same model whatever the task order
+    slots.destroy()
     weight, bias = _fit_linear([f for f, _ in picked], np.array([y for _, y in picked], float),
                                np.r_[0.0, ratio[top]])
     return ToxicityModel(slot, weight, bias)
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``__score`` (0 to 1).  Null text scores as empty; with
-    nothing learnt (no labels, or one class only) every score is 0."""
+def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "__score") -> DataFrame:
+    """``docs`` with a score (0 to 1) in column ``out``.  Null text scores as empty; with
+    nothing learnt (no labels, or one class only) every score is 0.  A text is scored whole, whatever its
+    length; a column of the name ``out`` is replaced."""
     small_batches(docs.sparkSession)
     # plain arrays: a broadcast is unpickled before the task's closure is
     shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias))
@@ -163,7 +184,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -
     def score(texts: pd.Series) -> pd.Series:
         m = ToxicityModel(*shared.value)
         return texts.map(lambda t: m.score(t), na_action=None).astype(float)
-    return docs.withColumn("__score", score(F.col(text)))
+    return docs.withColumn(out, score(F.col(text)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -179,6 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def drop_toxic(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents scored at THRESHOLD or more."""
-    scored = score_documents(docs, fit(train_docs, labels))
-    return scored.where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    """``docs`` without the documents scored at THRESHOLD or more; all columns stay as they are."""
+    out, = fresh(docs, "__score")
+    scored = score_documents(docs, fit(train_docs, labels), out=out)
+    return scored.where(F.col(out) < THRESHOLD).select(*docs.columns)

@@ -111,3 +111,28 @@ def test_ratios_and_scores_equal_brute_force(spark):
     got = {r.doc_id: r.score for r in X.classify(d, y).collect()}
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_rows_of_one_id_do_not_enlarge_the_sample(spark):
+    docs, labels = planted(300)
+    hot = next(i for i, *_ in docs if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, t) for i, t, *_ in docs] + [(hot, f"another text {k}") for k in range(500)] + [(hot, None)] * 50
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = X.labelled_sample(d, y).collect()
+    assert len(sample) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _, _ in labels)
+    assert {(r.text, r.y) for r in sample} == {(r.text, r.y) for r in X.labelled_sample(d.repartition(7), y).collect()}
+
+
+def test_clashing_names_and_long_texts(spark):
+    docs, labels = planted(300)
+    long = "quiet words " * 60_000
+    rows = [(i, t, "mine", "kept") for i, t, *_ in docs] + [(9000, long, "mine", "kept")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __score string, y string")
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = X.drop_toxic(d, d, y)
+    assert kept.columns == d.columns
+    got = kept.collect()
+    assert 200 < len(got) < 300 and all(r["__score"] == "mine" and r.y == "kept" for r in got)
+    scores = X.score_documents(d, X.fit(d, y), out="toxicity").where("doc_id = 9000").collect()
+    assert len(scores) == 1 and 0 <= scores[0].toxicity <= 1
