@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chafe.llm import decontaminate, line_dedup, sentencepiece_unigram, simhash_dedup, toxicity
-from chafe.llm.common import scratch, table
+from chafe.llm.common import fresh, scratch, table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs, counts=tuple(fresh(docs, "__n_lines", "__n_dropped"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
