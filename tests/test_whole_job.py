@@ -1,4 +1,4 @@
-"""Queries on task types take every customer's orders."""
+"""Queries on task types take every customer's orders; texts are worked on once."""
 
 from pyspark.sql import functions as F
 
@@ -19,3 +19,31 @@ def test_every_customer_gives_its_orders_a_type(spark):
     assert untyped or typed == items.count()
     assert sum(r["count"] for r in q["type_stats"](spark, SF).collect()) == typed
     assert {r.pr_type for r in q["negative_rate"](spark, SF).collect()} == set(types) - {"unknown"}
+
+
+def test_texts_are_cleaned_and_urls_taken_apart_once(spark):
+    from chafe.plans.common import scored_items
+    plan = scored_items(spark, SF).select("agent", "friction_score")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    # two text tables, one cleaning each, above the step that deals rows out
+    assert sum("regexp_replace" in x for x in lines) == 2
+    # the key of a line's URL is made in one place: no pushed filter makes it again
+    assert sum("Contains(concat(/, pull_request_url" in x for x in lines) == 1
+    assert not any("l_orderkey" in x and "/pulls/" in x and " Filter " in x for x in lines)
+
+
+def test_keys_from_odd_urls(spark):
+    from chafe.functions import text as tx
+    urls = ["a/b/c/repos/o/r/7", "repos/o/r/pulls/7", "a/b/repos/o/r/pulls/ 7 ", "a/b/repos/o/r/pulls/x", "a/b/myrepos/o/r/pulls/7",
+            "a/b/repos//r/pulls/7", "a/b/repos/o/r/pulls/7/", "", "a/b/c/o/r/7/repos", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    repo, num = tx.pr_key_from_url("u")
+    got = [tuple(r) for r in df.orderBy("i").select(repo, num, tx.repo_from_url("u")).collect()]
+
+    def want(u):
+        p = u.split("/") if u is not None else []
+        ok = len(p) >= 7 and "repos" in p
+        n = p[-1].strip(" ") if ok else ""
+        return ("/".join(p[-4:-2]) if ok else None, int(n) if n.isdigit() else None,
+                "/".join(p[-2:]) if len(p) >= 5 and "repos" in p else None)
+    assert got == [want(u) for u in urls]
