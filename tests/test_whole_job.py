@@ -47,3 +47,23 @@ def test_keys_from_odd_urls(spark):
         return ("/".join(p[-4:-2]) if ok else None, int(n) if n.isdigit() else None,
                 "/".join(p[-2:]) if len(p) >= 5 and "repos" in p else None)
     assert got == [want(u) for u in urls]
+
+
+def test_items_union_joins_no_texts(spark):
+    plan = E.queries()["items_union"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # no join passes a text on: what a text is needed for is made below them
+    passed = [x.split("Project [")[1] for i, x in enumerate(plan) if "Project [" in x and "Join " in plan[i + 1]]
+    assert passed and not any("clean_body" in x for x in passed)
+
+
+def test_facts_hold_the_key_of_their_text(spark):
+    from chafe.plans.common import counted_items, scored_items
+    from chafe.session import scratch_table
+    items, funnel = counted_items(spark, SF, texts_apart=True)
+    assert "clean_body" not in items.columns
+    facts = scratch_table(items)
+    want = scored_items(spark, SF).select("source", "item_id", "friction_score", F.md5("clean_body").alias("text_md5"))
+    got = facts.select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    counts = {(t, s): n for t, _, s, n in funnel.counts()}
+    assert counts["comments", "long_enough"] + counts["reviews", "long_enough"] == facts.count()
