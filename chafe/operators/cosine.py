@@ -58,8 +58,11 @@ def cosine_pairs(vectors: DataFrame, key: str, threshold: float, term: str = "te
         raise ValueError("threshold must be above 0 and at most 1")
     units = unit_vectors(vectors, key, term, value)
     pairs = cut_lineage(meetings(units, threshold).distinct())
-    left = units.select(F.col("key").alias("a"), "term", F.col("x").alias("xa"))
-    right = units.select(F.col("key").alias("b"), "term", F.col("x").alias("xb"))
-    return pairs.join(left, "a").join(right, ["b", "term"]) \
-        .groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine")) \
-        .where(F.col("cosine") >= threshold)
+    # the vectors meet by term and products are summed up in the same tasks: copying each
+    # pair's vectors to look its terms up would shuffle pairs x terms rows
+    shared = units.where(F.col("df") > 1)
+    left = shared.select(F.col("key").alias("a"), "term", F.col("x").alias("xa"))
+    right = shared.select(F.col("key").alias("b"), "term", F.col("x").alias("xb"))
+    dots = left.join(right, "term").where(F.col("a") < F.col("b")) \
+        .groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine"))
+    return dots.join(pairs, ["a", "b"], "left_semi").where(F.col("cosine") >= threshold)

@@ -67,3 +67,15 @@ def test_facts_hold_the_key_of_their_text(spark):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     counts = {(t, s): n for t, _, s, n in funnel.counts()}
     assert counts["comments", "long_enough"] + counts["reviews", "long_enough"] == facts.count()
+
+
+def test_cosine_copies_no_vector_for_each_pair(spark):
+    from chafe.operators.cosine import cosine_pairs
+    vectors = spark.createDataFrame([(f"k{i}", f"t{j}", 1.0 + (i * j) % 3) for i in range(6) for j in range(5)],
+                                    "key string, term string, score double")
+    pairs = cosine_pairs(vectors, "key", 0.5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    # the pairs only filter; vectors meet by term alone
+    inner = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert "Join LeftSemi" in plan and len(inner) == 1 and "(term#" in inner[0]
+    assert pairs.count() == 15
