@@ -22,6 +22,7 @@ from ..functions.lexicon import (CATEGORY_KEYWORDS, NEGATIVE_WORDS, OTHER_CATEGO
                                  POSITIVE_WORDS, SENTIMENT_LABELS, argmax_label, friction,
                                  is_negative, keyword_category)
 from ..functions.text import col_
+from ..session import scratch_table
 
 _TOKEN = re.compile(r"[^\w]+")
 
@@ -121,8 +122,12 @@ def classify(df: DataFrame, text: str, labels: Sequence[str] | None = None,
 
 def fit_scorer(df: DataFrame, text: str, label: str, num_features: int = 1 << 18,
                max_iter: int = 50):
-    """Trainable scorer (tokens -> hashed TF -> IDF -> logistic regression)."""
-    from pyspark.ml import Pipeline
+    """Trainable scorer (tokens -> hashed TF -> IDF -> logistic regression).
+
+    The counted tokens are written once.  The IDF and each step of the regression sum
+    up arrays of ``num_features`` in every task and send them on, so the rows are
+    read in one partition a core: what is sent doesn't grow with the rows."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[^\p{L}\p{N}_]+")
@@ -130,7 +135,11 @@ def fit_scorer(df: DataFrame, text: str, label: str, num_features: int = 1 << 18
     idf = IDF(inputCol="_tf", outputCol="_feat")
     lr = LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter,
                             probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
-    return Pipeline(stages=[tok, tf, idf, lr]).fit(df.withColumn(label, F.col(label).cast("double")))
+    rows = df.select(text, F.col(label).cast("double").alias(label))
+    rows = scratch_table(PipelineModel(stages=[tok, tf]).transform(rows).select("_tf", label))
+    rows = rows.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    idf = idf.fit(rows)
+    return PipelineModel(stages=[tok, tf, idf, lr.fit(idf.transform(rows))])
 
 
 def apply_scorer(model, df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from chafe.operators import scoring as U
 from chafe.operators import topics as Tp
 
 WORDS = {"tests": ["coverage", "mock", "assert", "pytest"], "locks": ["thread", "mutex", "race", "deadlock"],
@@ -28,3 +29,19 @@ def test_a_study_works_its_rows_out_once(spark):
     study = Tp.topic_study(df, "body", "kind", "doc_id", k=3)
     assert study.top.count() > 0 and study.assigned.count() == 120
     assert seen.value == 120
+
+
+def test_the_fit_sends_arrays_from_few_tasks(spark):
+    """60 partitions: every pass of the IDF and the regression ran in 60 tasks before."""
+    df, seen = counted_texts(spark)
+    df = df.withColumn("label", (F.col("kind") == "locks").cast("int")).repartition(60)
+    sc = spark.sparkContext
+    sc.setJobGroup("fit-scorer", "")
+    model = U.fit_scorer(df, "body", "label", num_features=1 << 10, max_iter=5)
+    sc._jsc.clearJobGroup()
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("fit-scorer") for s in tracker.getJobInfo(j).stageIds}
+    wide = [s for s in stages if tracker.getStageInfo(s).numTasks >= 60]
+    assert len(stages) > 5 and len(wide) <= 1 and seen.value == 120
+    got = U.apply_scorer(model, df).where(F.col("is_negative") == (F.col("label") == 1)).count()
+    assert got == 120
