@@ -1,7 +1,10 @@
 """What texts come from is worked out once, however often an operator reads them."""
 
 import random
+import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from chafe.operators import scoring as U
@@ -45,3 +48,37 @@ def test_the_fit_sends_arrays_from_few_tasks(spark):
     assert len(stages) > 5 and len(wide) <= 1 and seen.value == 120
     got = U.apply_scorer(model, df).where(F.col("is_negative") == (F.col("label") == 1)).count()
     assert got == 120
+
+
+def brute_counts(rows, min_df):
+    n = Counter()
+    for topic, text in rows:
+        tok = [w for w in re.split(r"[^\w]+", (text or "").lower()) if len(w) >= 2 and w not in Tp.STOP_WORDS]
+        n.update((topic, t) for t in tok + [f"{a} {b}" for a, b in zip(tok, tok[1:])])
+    df, f = Counter(t for _, t in n), Counter()
+    for (_, t), k in n.items():
+        f[t] += k
+    return {(topic, t, k, f[t]) for (topic, t), k in n.items() if df[t] >= min_df}
+
+
+@pytest.mark.parametrize("held,batch,min_df", [(1 << 21, 10000, 2), (7, 3, 1), (1, 1, 2)])
+def test_counts_of_odd_rows_in_one_shuffle(spark, monkeypatch, held, batch, min_df):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "Beta", "the", "x", "gamma", "\u00e9t\u00e9", "a_1"]
+    rows = [(rng.choice(["p", "q", "r", None]), " ".join(rng.choices(words, k=rng.randrange(9)))) for _ in range(60)]
+    rows += [("p", None), ("q", ""), ("r", "alpha"), (None, "the x")] + [("q", "hot hot hot")] * 20
+    monkeypatch.setattr(Tp, "HELD_TERMS", held, raising=False)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        sc = spark.sparkContext
+        sc.setJobGroup(f"counts-{held}", "")
+        got = Tp.term_counts(spark.createDataFrame(rows, "topic string, body string").repartition(3), "body", "topic", min_df)
+        sc._jsc.clearJobGroup()
+        assert Counter(map(tuple, got.select("topic", "term", "n", "f").collect())) == Counter(brute_counts(rows, min_df))
+        tracker = sc.statusTracker()
+        ran = {s for j in tracker.getJobIdsForGroup(f"counts-{held}") for s in tracker.getJobInfo(j).stageIds
+               if tracker.getStageInfo(s).numCompletedTasks}
+        assert len(ran) == 3      # the test's own repartition, the counts, their sums
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
