@@ -82,3 +82,19 @@ def test_counts_of_odd_rows_in_one_shuffle(spark, monkeypatch, held, batch, min_
         assert len(ran) == 3      # the test's own repartition, the counts, their sums
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_topic_info_works_its_texts_out_once(spark):
+    df, seen = counted_texts(spark)
+    got = {r["kind"]: r for r in Tp.topic_info(df, "body", "kind", "doc_id", k=4, n_docs=2, min_df=1).collect()}
+    assert seen.value == 120 and {k: r["count"] for k, r in got.items()} == {g: 40 for g in WORDS}
+    rows = {r["doc_id"]: r for r in df.collect()}
+    for kind, r in got.items():
+        top = set(r["representation"].split(", "))
+        held = {}
+        for i, x in rows.items():
+            if x["kind"] == kind:
+                tok = x["body"].split()
+                held[i] = len(top & {*tok, *(f"{a} {b}" for a, b in zip(tok, tok[1:]))})
+        best = sorted((i for i in held if held[i]), key=lambda i: (-held[i], i))[:2]
+        assert len(top) == 4 and r["representative_docs"] == ", ".join(map(str, best))
